@@ -23,3 +23,12 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Se
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Repartition a scan that has too few splits for the cluster's cores, ahead of work that is heavy per row.
+
+    Inputs with enough splits (any large table) are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores, *by)
