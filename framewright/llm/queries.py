@@ -5,11 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewright.llm import leaks
+from framewright.llm import canon, leaks, overlap, packing, proportions
 from framewright.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found_pairs(table(spark, d, "images"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "images"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    ref, alias = table(spark, d, "ref_classes"), table(spark, d, "class_alias")
+    boxes = canon.meant(table(spark, d, "cvat_boxes"), F.col("box_id"), F.col("label"), "cvat_boxes", ref, alias)
+    return boxes.unionByName(canon.meant(table(spark, d, "classes"), F.col("class_row_id"), F.col("name"), "classes", ref, alias))
+
+
+def p5_class_map(spark: SparkSession, d: str) -> DataFrame:
+    return canon.new_class_map(table(spark, d, "classes"), table(spark, d, "ref_classes"), table(spark, d, "class_alias"))
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canon.unmatched(table(spark, d, "cvat_boxes"), "label", table(spark, d, "ref_classes"), table(spark, d, "class_alias"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = proportions.draw(table(spark, d, "annotations"), table(spark, d, "sample_targets"))
+    return report.where("short").select("plan_id", "cls_id").distinct()
+
+
+def p7_sample(spark: SparkSession, d: str) -> DataFrame:
+    return proportions.draw(table(spark, d, "annotations"), table(spark, d, "sample_targets"))[0]
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return proportions.draw(table(spark, d, "annotations"), table(spark, d, "sample_targets"))[1]
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    specs = table(spark, d, "pack_specs")
+    return packing.fill_report(packing.packed(table(spark, d, "documents"), specs), specs)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.found_passages(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -18,5 +63,10 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p9_found, p9_report)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_class_map, p5_unmatched, p7_found, p7_sample, p7_report, p8_packed, p8_fill, p9_found, p9_report)}
+FRAMES = """(select distinct dataset, image_id, lower(content_hash) h, ahash, case when lower(trim(split)) in ('train', 'training') then 't' when lower(trim(split)) in ('val', 'valid', 'validation', 'test', 'testing') then 'e' end side from images where dataset is not null and image_id is not null)"""
+LINES = """(select image_id, line_no, arg_max(dataset, loaded_at) dataset, arg_max(case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation') then 'val' when lower(trim(split)) in ('test', 'testing') then 'test' end, loaded_at) split, arg_max(cls_id, loaded_at) cls_id from annotations group by 1, 2)"""
+ORACLES: dict[str, str] = {
+    "p2_found": f"""select distinct least(a.image_id, b.image_id) image_a, greatest(a.image_id, b.image_id) image_b from {FRAMES} a join {FRAMES} b on a.dataset = b.dataset and a.side = 't' and b.side = 'e' and a.image_id <> b.image_id and (a.h = b.h or bit_count(xor(a.ahash, b.ahash)) <= 5)""",
+    "p7_found": f"""select distinct plan_id, cls_id from (select t.plan_id, t.cls_id, greatest(t.min_items, ceil(t.target_pct * t.sample_size / 100.0)) need, count(l.image_id) have from sample_targets t left join {LINES} l on l.dataset = t.dataset and l.cls_id = t.cls_id and l.split = t.split group by all) where have < need""",
+}
