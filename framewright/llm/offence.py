@@ -1,7 +1,7 @@
 """Abusive, hateful and sexual content: class-conditional Kneser-Ney models of letters, one toxic and one ordinary.
 
-A sentence's score is the difference of its log-likelihoods under both models, divided by its length (plus SHRINK, so that a few
-letters prove little); a document's score is that of its worst sentence. Orders above SHARED have counts of their own class, the
+A passage's score is the difference of its log-likelihoods under both models, divided by its length (plus SHRINK, so that a few
+letters prove little); a sentence scores as its worst window of WINDOW letters, a document as its worst sentence. Orders above SHARED have counts of their own class, the
 lower ones pool both, so a rare expression is smoothed alike in both models and only what the classes really differ in counts.
 
 The reviews label documents, not sentences, and slip at times. Training therefore alternates: models fitted on other folds score the
@@ -30,11 +30,12 @@ from framewright.operators.skew import spread
 
 ORDER = 6
 SHARED = 2
-SHRINK = 6
-FOLDS = 4
-ROUNDS = 3
-MAX_LABELLED = 20_000
-PIECE = 240
+SHRINK = 15
+WINDOW = 48
+FOLDS = 3
+ROUNDS = 2
+MAX_LABELLED = 8_000
+PIECE = 160
 CACHE = 300_000
 DISCOUNT = 0.75
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -138,9 +139,8 @@ class Model:
         self.own = [{k: t for k, t in own.items() if k > SHARED} for own in self.own]
         self.shared = {k: t for k, t in self.shared.items() if k <= SHARED}
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
+    def letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood ratio of each letter (and end mark) of all texts, and the text it is of."""
         full, owner = grams(texts)
         base = np.full(len(owner), 1e-4)
         for k in range(1, SHARED + 1):
@@ -153,18 +153,38 @@ class Model:
                 u, share, h, back = own[k]
                 p = lookup(u, share, full[k], 0.0) + lookup(h, back, full[ORDER + k], 1.0) * p
             both.append(np.log(p))
-        size = np.bincount(owner, minlength=len(texts))
-        return np.bincount(owner, weights=both[0] - both[1], minlength=len(texts)) / (size + SHRINK)
-
+        return both[0] - both[1], owner
 
-def split_sentences(docs: list[tuple[int, int, list[str]]], scores: dict[str, float], least: float) -> tuple[set[str], set[str]]:
-    """(toxic, ordinary) sentences of labelled documents under the present scores."""
-    toxic: set[str] = set()
-    ordinary: set[str] = set()
-    for _, label, sents in docs:
-        for s in sents:
-            (toxic if scores.get(s, 0.0) > least and label else ordinary).add(s)
-    return toxic, ordinary - toxic
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
+        ratio, owner = self.letters(texts)
+        first = np.searchsorted(owner, np.arange(len(texts)))
+        total = np.concatenate([[0.0], np.cumsum(ratio)])
+        at = np.arange(len(owner))
+        start = np.maximum(first[owner], at - WINDOW + 1)
+        value = (total[at + 1] - total[start]) / (at + 1 - start + SHRINK)
+        # Only whole windows count, or the whole of a shorter text: a text's first letters alone say little.
+        size = np.bincount(owner, minlength=len(texts))
+        value[at + 1 - first[owner] < np.minimum(size, WINDOW)[owner]] = -np.inf
+        return np.maximum.reduceat(value, first)
+
+    def core(self, texts: list[str], least: float) -> list[str]:
+        """Of each text the stretch of whole words in which the ratio exceeds `least` by most; a text may run two sentences together."""
+        ratio, owner = self.letters(texts)
+        first = [*np.searchsorted(owner, np.arange(len(texts))), len(owner)]
+        out = []
+        for i, t in enumerate(texts):
+            run, best, begin, span = 0.0, -np.inf, 0, (0, len(t))
+            for j, v in enumerate(ratio[first[i] : first[i + 1]].tolist()):
+                if run <= 0:
+                    run, begin = 0.0, j
+                run += v - least
+                if run > best:
+                    best, span = run, (begin, j + 1)
+            low, high = t.rfind(" ", 0, span[0] + 1) + 1, t.find(" ", min(span[1], len(t)))
+            out.append(t[low : high if high >= 0 else len(t)].strip() or t)
+        return out
 
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -186,41 +206,45 @@ def trained(labelled: list[tuple[int, int, str]]) -> tuple[Model, float] | None:
     if {y for _, y, _ in docs} != {0, 1}:
         return None
     fold_of = [zlib.crc32(str(d).encode()) % FOLDS for d, _, _ in docs]
-    known = {s for _, y, sents in docs if not y for s in sents}
-    # First guess: what documents held to be clean also say is ordinary.
-    guess = {s: 1.0 for _, y, sents in docs if y for s in sents if s not in known}
+    clean = {s for _, y, sents in docs if not y for s in sents}
+    # First guess: what toxic documents say and clean ones do not. Later: what models of the other folds find toxic.
+    bad: dict[str, str] = {s: s for _, y, sents in docs if y for s in sents if s not in clean}
     slips: set[str] = set()
-    held: dict[int, float] = {}
     threshold = 0.0
-    for round_ in range(ROUNDS + 1):
-        new: dict[str, list[float]] = {}
+    for _ in range(ROUNDS + 1):
+        got: dict[str, list[float]] = {}
+        cut: dict[str, str] = {}
+        held: list[tuple[float, int]] = []
         for f in range(FOLDS):
-            train = [x for x, g in zip(docs, fold_of, strict=True) if g != f]
-            toxic, ordinary = split_sentences(train, guess, threshold if round_ else 0.5)
-            ordinary -= slips
+            toxic, ordinary = training_sets([x for x, g in zip(docs, fold_of, strict=True) if g != f], bad, slips)
             if not toxic or not ordinary:
                 continue
-            model = Model(sorted(toxic), sorted(ordinary))
+            model = Model(toxic, ordinary)
             test = [x for x, g in zip(docs, fold_of, strict=True) if g == f]
             every = sorted({s for _, _, sents in test for s in sents})
-            got = dict(zip(every, model.scores(every).tolist(), strict=True))
-            for s, v in got.items():
-                new.setdefault(s, []).append(v)
-            for d, _, sents in test:
-                held[d] = max(got[s] for s in sents)
-        if not new:
+            value = dict(zip(every, model.scores(every).tolist(), strict=True))
+            for s, v in value.items():
+                got.setdefault(s, []).append(v)
+            suspect = sorted({s for _, y, sents in test if y for s in sents if value[s] > 0})
+            cut.update(zip(suspect, model.core(suspect, 0.2), strict=True) if suspect else ())
+            held += [(max(value[s] for s in sents), y) for _, y, sents in test]
+        if not held:
             break
-        guess = {s: float(np.mean(v)) for s, v in new.items()}
-        have = [(held[d], y) for d, y, _ in docs if d in held]
-        threshold = best_threshold(np.array([a for a, _ in have]), np.array([y for _, y in have]))
-        slips = {s for _, y, sents in docs if not y for s in sents if guess.get(s, 0.0) > threshold}
-    toxic, ordinary = split_sentences(docs, guess, threshold)
-    for _, y, sents in docs:
-        # A toxic document with nothing above the threshold still gives its worst sentence, if it leans to the toxic side.
-        if y and not any(s in toxic for s in sents) and guess.get(worst := max(sents, key=lambda s: guess.get(s, -9.0)), -9.0) > threshold / 3:
-            toxic.add(worst)
-            ordinary.discard(worst)
-    return (Model(sorted(toxic), sorted(ordinary - slips)), threshold) if toxic else None
+        guess = {s: float(np.mean(v)) for s, v in got.items()}
+        threshold = best_threshold(np.array([v for v, _ in held]), np.array([y for _, y in held]))
+        bad = {s: c for s, c in cut.items() if guess[s] > threshold}
+        # A clean document's sentence counts as a slip of the review only if it is as toxic as the plainly toxic ones.
+        plainly = float(np.median([guess[s] for s in bad])) if bad else np.inf
+        slips = {s for s in clean if guess.get(s, 0.0) > plainly}
+    toxic, ordinary = training_sets(docs, bad, slips)
+    return (Model(toxic, ordinary), threshold) if toxic and ordinary else None
+
+
+def training_sets(docs: list[tuple[int, int, list[str]]], bad: dict[str, str], slips: set[str]) -> tuple[list[str], list[str]]:
+    """(toxic passages, ordinary sentences) of labelled documents: of a toxic document the bad sentences' cores are toxic."""
+    toxic = {bad[s] for _, y, sents in docs if y for s in sents if s in bad}
+    ordinary = {s for _, y, sents in docs for s in sents if not (y and s in bad) and s not in slips}
+    return sorted(toxic), sorted(ordinary - toxic)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[tuple[int, int, str]]:

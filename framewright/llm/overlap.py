@@ -64,7 +64,7 @@ def written_out(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
         size = classes_of(rows, column, side).select("dataset", F.col("key").alias(f"{side}_key"), "slots")
         own = own.join(size.where("slots > 1"), ["dataset", f"{side}_key"], "left")
         own = own.withColumn("_slot", F.pmod("_h", F.coalesce("slots", F.lit(1)))).drop("_h", "slots")
-        pairs = pairs.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col(f"{side}_slots") - 1)).cast("long")).join(own, ["dataset", f"{side}_key", "_slot"]).drop("_slot")
+        pairs = pairs.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{side}_slots").cast("long") - 1))).join(own, ["dataset", f"{side}_key", "_slot"]).drop("_slot")
     return pairs.select("dataset", "train_id", "eval_id")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import canon, leaks, overlap, packing, proportions
+from framewright.llm import canon, leaks, offence, overlap, packing, proportions
 from framewright.session import table
 
 
@@ -63,7 +63,19 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_class_map, p5_unmatched, p7_found, p7_sample, p7_report, p8_packed, p8_fill, p9_found, p9_report)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return offence.scored(table(spark, d, "documents"), table(spark, d, "review_labels")).where("offensive").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return offence.scored(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return offence.source_rates(offence.scored(table(spark, d, "documents"), table(spark, d, "review_labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_class_map, p5_unmatched, p7_found, p7_sample, p7_report, p8_packed, p8_fill, p9_found, p9_report, p10_found, p10_scores, p10_rates)}
 FRAMES = """(select distinct dataset, image_id, lower(content_hash) h, ahash, case when lower(trim(split)) in ('train', 'training') then 't' when lower(trim(split)) in ('val', 'valid', 'validation', 'test', 'testing') then 'e' end side from images where dataset is not null and image_id is not null)"""
 LINES = """(select image_id, line_no, arg_max(dataset, loaded_at) dataset, arg_max(case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation') then 'val' when lower(trim(split)) in ('test', 'testing') then 'test' end, loaded_at) split, arg_max(cls_id, loaded_at) cls_id from annotations group by 1, 2)"""
 ORACLES: dict[str, str] = {
