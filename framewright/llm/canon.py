@@ -36,8 +36,11 @@ RESULT = "class_id int, distance int, how string"
 
 
 def limit(length: int) -> int:
-    """Edits allowed for a name of so many letters."""
-    return 0 if length < 5 else 1 if length < 8 else 2 if length < 14 else 3
+    """Edits allowed to a reference entry of so many letters."""
+    return 0 if length < 5 else 1 if length < 8 else 2
+
+
+MOST = limit(MAX_LENGTH)
 
 
 def plain(text: str) -> str:
@@ -106,19 +109,19 @@ class ReferenceTrie:
                         node = node.setdefault(char, {})
                     node.setdefault("", set()).add(class_id)
 
-    def within(self, word: str, most: int) -> dict[int, int]:
-        """class id -> least distance, of all entries within most edits of the word."""
-        machine, found = Automaton(word, most), {}
-        stack = [(self.root, machine.start())]
+    def within(self, word: str) -> dict[int, int]:
+        """class id -> least distance, of all entries within as many edits of the word as their length allows."""
+        machine, found = Automaton(word, MOST), {}
+        stack = [(self.root, machine.start(), 0)]
         while stack:
-            node, state = stack.pop()
+            node, state, depth = stack.pop()
             for char, child in node.items():
                 if char == "":
-                    if (d := machine.distance(state)) is not None:
+                    if (d := machine.distance(state)) is not None and d <= limit(depth):
                         for class_id in child:
                             found[class_id] = min(d, found.get(class_id, d))
                 elif (after := machine.step(state, char))[2] or state[2]:
-                    stack.append((child, after))
+                    stack.append((child, after, depth + 1))
         return found
 
     def shortened(self, typed: list[str]) -> set[int]:
@@ -134,7 +137,7 @@ class ReferenceTrie:
         word = "".join(typed)
         if not word or len(word) > MAX_LENGTH:
             return None, None, "none"
-        found = self.within(word, limit(len(word)))
+        found = self.within(word)
         if found:
             nearest = min(found.values())
             best = [c for c, d in found.items() if d == nearest]
