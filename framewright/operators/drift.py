@@ -151,7 +151,7 @@ def consistent_table(files: DataFrame) -> DataFrame:
 
     A value is cast to number where it reads as one; any other value stays in text. Nulls stay as rows with neither.
     """
-    name = F.udf(canonical_name, "string")
+    name = F.udf(canonical_name, "string", useArrow=False)
     long = parsed_files(files).select("raw_path", *SERIES, "written_at", F.explode("fields").alias("f")).select("raw_path", *SERIES, "written_at", F.col("f.name").alias("field"), F.col("f.type").alias("type"), F.col("f.value").alias("value"))
     names = long.select("field").distinct().withColumn("metric", name("field"))
     number = F.expr("try_cast(value as double)")
