@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from framewright.operators.evaluation import iou_matrix
 
-RANK = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).when(F.col("split") == "test", 2).otherwise(3)
+
+def split_rank():
+    return F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).when(F.col("split") == "test", 2).otherwise(3)
 
 
 def exact_groups(frames: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def duplicate_counts(frames: DataFrame) -> DataFrame:
 
 def pruned_duplicates(frames: DataFrame) -> DataFrame:
     """Frames dropped by deduplication: all but the lowest (split rank, image_id) of each hash; null hashes are kept."""
-    keep = frames.where("content_hash is not null").groupBy("content_hash").agg(F.min(F.struct(RANK.alias("r"), "image_id")).alias("k")).select("k.image_id")
+    keep = frames.where("content_hash is not null").groupBy("content_hash").agg(F.min(F.struct(split_rank().alias("r"), "image_id")).alias("k")).select("k.image_id")
     return frames.where("content_hash is not null").join(keep, "image_id", "left_anti")
 
 
@@ -55,7 +57,7 @@ def merged_labels(labels: DataFrame, frames: DataFrame, thr: float = 0.95) -> Da
     Arrival order is (split rank, image_id, line_no). Equal lines are removed by aggregation first, so that a large group of copies
     brings each different box once to the fold. A frame without copies keeps its labels and is not folded.
     """
-    f = frames.where("content_hash is not null").select("image_id", "content_hash", RANK.alias("r"))
+    f = frames.where("content_hash is not null").select("image_id", "content_hash", split_rank().alias("r"))
     copies = f.groupBy("content_hash").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("content_hash", F.lit(True).alias("_many"))
     b = labels.where("kind = 'bbox'").join(f, "image_id").join(copies, "content_hash", "left")
     alone = b.where("_many is null").select("content_hash", "cls_id", "cx", "cy", "w", "h")
