@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.geometry import visibility
+from framewright.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -96,6 +97,8 @@ def size_baseline(geo: DataFrame, c: EdgeConfig = EdgeConfig()) -> DataFrame:
 
 def decisions(geo: DataFrame, c: EdgeConfig = EdgeConfig()) -> DataFrame:
     """Every label with reason (null: kept): edge reasons first, then small_size against the stable baseline of its class."""
+    # The geometry feeds both passes; it is written once instead of being derived four times.
+    geo = cut_lineage(geo)
     base = baseline(geo, c).select("dataset", "cls_id", "w_p50", "h_p50")
     size = size_baseline(geo, c).select("dataset", "cls_id", "min_w", "min_h")
     g = geo.join(base, ["dataset", "cls_id"], "left").join(size, ["dataset", "cls_id"], "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.geometry import iou
 from framewright.operators.ordered import numbered
+from framewright.session import cut_lineage
 
 # The IoU thresholds of mAP50-95, and the points of the confidence grid.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -76,6 +77,7 @@ def recall_grid(points: DataFrame, n: int = 101) -> DataFrame:
 
 def map_by_threshold(pred: DataFrame, gt: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """Per threshold: mean AP over the classes that have predictions."""
+    pred = cut_lineage(pred)
     m = matches(iou_pairs(pred, gt, min(thresholds)), thresholds)
     every = pred.select("image_id", "cls_id", "pred_idx", "conf").withColumn("thr", F.explode(F.array(*[F.lit(x) for x in thresholds])))
     flags = every.join(m.select("thr", "image_id", "cls_id", "pred_idx", F.lit(1).alias("tp")), ["thr", "image_id", "cls_id", "pred_idx"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))

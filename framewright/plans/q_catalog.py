@@ -37,17 +37,17 @@ DUP = "dup as (select dataset, n_bytes, content_hash, count(*) as n_files, count
 
 @query("exact_duplicates", V.with_(V.IMG, DUP) + "select * from dup")
 def _(s, d):
-    return D.exact_groups(V.frames(s, d))
+    return D.exact_groups(V.frames(s, d, "n_bytes", "content_hash"))
 
 
 @query("duplicate_counts", V.with_(V.IMG, DUP) + "select dataset, count(*) as groups, sum(n_files)::bigint as files, count(*) filter (cross_split) as duplicate_cross_split_groups from dup group by 1")
 def _(s, d):
-    return D.duplicate_counts(V.frames(s, d))
+    return D.duplicate_counts(V.frames(s, d, "n_bytes", "content_hash"))
 
 
 @query("prune_dedup", V.with_(V.IMG) + "select image_id from img where content_hash is not null qualify row_number() over (partition by content_hash order by case split when 'train' then 0 when 'val' then 1 when 'test' then 2 else 3 end, image_id) > 1")
 def _(s, d):
-    return D.pruned_duplicates(V.frames(s, d)).select("image_id")
+    return D.pruned_duplicates(V.frames(s, d, "content_hash")).select("image_id")
 
 
 NEAR = "h as (select distinct dataset, ahash from img where ahash is not null), near as (select a.dataset, a.ahash, b.ahash as other from h a join h b on a.dataset = b.dataset and a.ahash < b.ahash and bit_count(xor(a.ahash, b.ahash)) <= 5)"
@@ -55,27 +55,27 @@ NEAR = "h as (select distinct dataset, ahash from img where ahash is not null),
 
 @query("near_duplicate_pairs", V.with_(V.IMG, NEAR) + "select * from near")
 def _(s, d):
-    return D.near_pairs(V.frames(s, d))
+    return D.near_pairs(V.frames(s, d, "ahash"))
 
 
 @query("near_duplicate_groups", "with recursive " + V.IMG + ", " + NEAR + ", e as (select dataset, ahash as a, other as b from near union all select dataset, other, ahash from near), r as (select dataset, a, a as l from e union select r.dataset, e.b, r.l from r join e on e.dataset = r.dataset and e.a = r.a) select dataset, a as ahash, min(l) as leader from r group by 1, 2")
 def _(s, d):
-    return D.leaders(D.near_pairs(V.frames(s, d)))
+    return D.leaders(D.near_pairs(V.frames(s, d, "ahash")))
 
 
 @query("label_signatures", V.with_(V.ANN) + "select dataset, image_id, md5(string_agg(line, '|' order by line)) as signature, count(*) as n_boxes from (select dataset, image_id, concat_ws(' ', coalesce(cls_id::varchar, '-'), printf('%.6f', cx), printf('%.6f', cy), printf('%.6f', w), printf('%.6f', h)) as line from ann where kind = 'bbox') group by 1, 2")
 def _(s, d):
-    return D.label_signatures(V.annotations(s, d))
+    return D.label_signatures(V.annotations(s, d, "kind", "cls_id", "cx", "cy", "w", "h"))
 
 
 @query("merge_label_union")
 def _(s, d):
-    return D.merged_labels(V.annotations(s, d), V.frames(s, d)).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_boxes"))
+    return D.merged_labels(V.annotations(s, d, "kind", "cls_id", "cx", "cy", "w", "h"), V.frames(s, d, "content_hash")).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_boxes"))
 
 
 @query("dataset_fingerprint", V.with_(V.IMG) + "select dataset, substr(md5(cast(sum(('0x' || substr(md5(concat_ws(':', stem, n_bytes::varchar)), 1, 10))::hugeint) as varchar)), 1, 8) as dataset_hash, count(*) as n from img group by 1")
 def _(s, d):
-    return D.dataset_hashes(V.frames(s, d))
+    return D.dataset_hashes(V.frames(s, d, "stem", "n_bytes"))
 
 
 REFS = "refs as (select label, vec_id as ref_id, embedding as ref from embeddings qualify row_number() over (partition by label order by vec_id) <= 3)"
@@ -140,7 +140,7 @@ def _(s, d):
 
 @query("labels_remapped", V.with_(V.ANN, CMAP) + "select a.dataset, m.new_id, count(*) as n from ann a join (select distinct dataset, old_id, new_id from cmap) m on m.dataset = a.dataset and m.old_id = a.cls_id group by 1, 2")
 def _(s, d):
-    return C.remapped(V.annotations(s, d), cmap(s, d)).groupBy("dataset", "new_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.remapped(V.annotations(s, d, "cls_id"), cmap(s, d)).groupBy("dataset", "new_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("catalog_diff", "select dataset, 'added' as change from (select distinct dataset from images except select dataset from dataset_catalog where images > 100) union all select dataset, 'removed' from (select dataset from dataset_catalog where images > 100 except select distinct dataset from images)")
@@ -157,7 +157,7 @@ def _(s, d):
 
 @query("catalog_refresh", V.with_(V.IMG, "f as (select dataset, substr(md5(cast(sum(('0x' || substr(md5(concat_ws(':', stem, n_bytes::varchar)), 1, 10))::hugeint) as varchar)), 1, 8) as dataset_hash from img group by 1)") + "select f.dataset, f.dataset_hash, coalesce(c.modified, false) or (c.dataset_hash is not null and c.dataset_hash is distinct from f.dataset_hash) as modified from f left join dataset_catalog c using (dataset)")
 def _(s, d):
-    return C.refreshed(D.dataset_hashes(V.frames(s, d)).drop("n"), table(s, d, "dataset_catalog"))
+    return C.refreshed(D.dataset_hashes(V.frames(s, d, "stem", "n_bytes")).drop("n"), table(s, d, "dataset_catalog"))
 
 
 @query("rename_plan", "select distinct 'runs' as table_name, run_dir as old_value, replace(run_dir || '/', '/yard_north/', '/yard_south/')[:-2] as new_value from runs where ('/' || run_dir || '/') like '%/yard_north/%'")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators import evaluation as E
 from framewright.plans import views as V
+from framewright.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +37,8 @@ PR = "pr as (select *, max(precision) over (partition by cls_id order by pos des
 
 
 def tables(s, d):
-    return V.predictions(s, d), V.ground_truth(s, d)
+    # Both sides derive from the same label lines: written once, read by every later step.
+    return cut_lineage(V.predictions(s, d)), cut_lineage(V.ground_truth(s, d))
 
 
 def flags(s, d):

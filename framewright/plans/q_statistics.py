@@ -33,7 +33,7 @@ COUNTS = "cnt as (select dataset, cls_id, count(*) as n, count(distinct image_id
 
 @query("class_split_counts", V.with_(V.ANN) + "select dataset, cls_id, count(*) filter (split = 'train') as n_train, count(*) filter (split = 'val') as n_val, count(*) filter (split = 'test') as n_test, count(*) as n_total, count(distinct image_id) as n_images, round(count(*) / count(distinct image_id), 6) as per_image from ann where cls_id is not null group by 1, 2")
 def _(s, d):
-    return S.class_split_counts(V.annotations(s, d))
+    return S.class_split_counts(V.annotations(s, d, "cls_id"))
 
 
 @query("class_ids_by_name", "select name, case when count(distinct cls_id) = 1 then min(cls_id)::varchar else 'mixed(' || string_agg(distinct cls_id::varchar, ',' order by cls_id::varchar) || ')' end as id_set, n_datasets from (select name, cls_id, count(distinct dataset) over (partition by name) as n_datasets from classes where name is not null and cls_id is not null) group by name, n_datasets having count(distinct cls_id) = 1 union all select name, 'mixed(' || array_to_string(list_sort(list(distinct cls_id)), ',') || ')', count(distinct dataset) from classes where name is not null and cls_id is not null group by name having count(distinct cls_id) > 1")
@@ -43,23 +43,23 @@ def _(s, d):
 
 @query("class_imbalance", V.with_(V.ANN, COUNTS) + "select dataset, count(*) as n_classes, sum(n)::bigint as n_instances, round(max(n) / min(n), 6) as max_min, round(stddev_pop(n) / avg(n), 6) as cv, round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) as gini, round(avg(n) / quantile_cont(n, 0.5), 6) as mean_median from (select *, row_number() over (partition by dataset order by n) as i from cnt) group by 1")
 def _(s, d):
-    c = V.annotations(s, d).where("cls_id is not null").groupBy("dataset", "cls_id").agg(F.count(F.lit(1)).alias("n"))
+    c = V.annotations(s, d, "cls_id").where("cls_id is not null").groupBy("dataset", "cls_id").agg(F.count(F.lit(1)).alias("n"))
     return S.imbalance(c, ["dataset"], "n")
 
 
 @query("dataset_profile", V.with_(V.ANN, V.IMG, "known as (select distinct dataset, cls_id from classes where cls_id is not null)", "per as (select a.dataset, a.image_id, count(*) filter (kind = 'bbox') as b, count(*) filter (kind = 'segment') as s, count(*) filter (k.cls_id is null) as u from ann a left join known k on a.dataset = k.dataset and a.cls_id = k.cls_id group by 1, 2)", "x as (select coalesce(i.dataset, p.dataset) as dataset, i.image_id as f, i.split, p.b, p.s, p.u from img i full join per p on i.dataset = p.dataset and i.image_id = p.image_id)") + "select *, round(100.0 * empty_frames / greatest(n_frames, 1), 4) as empty_pct, case when unknown_ids + labels_without_frame = 0 then 'OK' else 'CHECK' end as quality from (select dataset, count(f) as n_frames, count(f) filter (split = 'train') as frames_train, count(f) filter (split = 'val') as frames_val, count(f) filter (split = 'test') as frames_test, count(f) filter (coalesce(b + s, 0) = 0) as empty_frames, sum(coalesce(b, 0))::bigint as n_boxes, sum(coalesce(s, 0))::bigint as n_polygons, sum(coalesce(u, 0))::bigint as unknown_ids, count(*) filter (f is null) as labels_without_frame from x group by 1)")
 def _(s, d):
-    return S.quality_flag(S.dataset_profile(V.frames(s, d), V.annotations(s, d), table(s, d, "classes")))
+    return S.quality_flag(S.dataset_profile(V.frames(s, d, "split"), V.annotations(s, d, "cls_id", "kind"), table(s, d, "classes")))
 
 
 @query("balance_ready", V.with_(V.ANN, COUNTS) + "select *, round(n_max / greatest(1, n_min), 6) as ratio, case when n_classes >= 2 and n_max / greatest(1, n_min) > 20 then 'hybrid' else 'weights' end as strategy from (select dataset, count(*) as n_classes, sum(n)::bigint as n_instances, max(n) as n_max, min(n) as n_min, quantile_cont(n, 0.5) as n_median, round(sum((1 - pow(0.999, n)) / (1 - 0.999)), 4) as effective, count(*) filter (n < 0.1 * top) as tail_classes, round(sum(case when n < 0.1 * top then n else 0 end) / sum(n), 6) as tail_share from (select *, max(n) over (partition by dataset) as top from cnt) group by 1)")
 def _(s, d):
-    return S.balance_ready(V.annotations(s, d))
+    return S.balance_ready(V.annotations(s, d, "cls_id"))
 
 
 @query("dataset_compare", V.with_(V.ANN) + "select cls_id, count(*) filter (dataset = 'yard_north') as left_n, count(*) filter (dataset <> 'yard_north') as right_n, count(*) filter (dataset <> 'yard_north') - count(*) filter (dataset = 'yard_north') as delta, case when count(*) filter (dataset <> 'yard_north') = 0 then 'left_only' when count(*) filter (dataset = 'yard_north') = 0 then 'right_only' else 'common' end as side from ann where dataset in ('yard_north', 'mill_deep_00020') and cls_id is not null group by 1")
 def _(s, d):
-    return S.compare_datasets(V.annotations(s, d), "yard_north", "mill_deep_00020")
+    return S.compare_datasets(V.annotations(s, d, "cls_id"), "yard_north", "mill_deep_00020")
 
 
 @query("class_size_percentiles", V.with_(V.ANN, V.IMG, V.GEO) + "select cls_id, round(quantile_cont(w_px, 0.1), 6) as p10, round(quantile_cont(w_px, 0.5), 6) as p50, round(quantile_cont(w_px, 0.9), 6) as p90 from geo where cls_id is not null group by 1")
@@ -69,17 +69,17 @@ def _(s, d):
 
 @query("label_kinds", V.with_(V.ANN) + "select label_kind, count(*) as n_frames from (select dataset, image_id, case when count(*) filter (kind = 'bbox') = count(*) then 'bbox' when count(*) filter (kind = 'segment') = count(*) then 'segment' else 'mixed' end as label_kind from ann group by 1, 2) group by 1")
 def _(s, d):
-    return S.label_kinds(V.annotations(s, d)).groupBy("label_kind").agg(F.count(F.lit(1)).alias("n_frames"))
+    return S.label_kinds(V.annotations(s, d, "kind")).groupBy("label_kind").agg(F.count(F.lit(1)).alias("n_frames"))
 
 
 @query("presets_harness", V.with_(V.ANN, "cnt as (select dataset, cls_id, count(*) as n from ann where split = 'train' and cls_id is not null group by 1, 2)", "med as (select dataset, quantile_cont(n, 0.5) as med from cnt group by 1)", "p(preset, mult) as (values ('mild', 3.0), ('strong', 1.5))", "x as (select c.dataset, preset, n, least(n, greatest(1, floor(mult::double * med)))::bigint as after from cnt c join med using (dataset) cross join p)") + "select dataset, preset, sum(n)::bigint as before, sum(after)::bigint as after, round(max(after) / min(after), 6) as head_tail from x group by 1, 2")
 def _(s, d):
-    return S.presets_harness(V.annotations(s, d), {"mild": 3.0, "strong": 1.5})
+    return S.presets_harness(V.annotations(s, d, "cls_id"), {"mild": 3.0, "strong": 1.5})
 
 
 @query("empty_frames", V.with_(V.ANN, V.IMG) + "select dataset, image_id from img where image_id not in (select image_id from ann where cls_id is not null)")
 def _(s, d):
-    return E.prune_empty(V.frames(s, d), V.annotations(s, d)).select("dataset", "image_id")
+    return E.prune_empty(V.frames(s, d, "split"), V.annotations(s, d, "cls_id")).select("dataset", "image_id")
 
 
 @query("size_prune", V.with_(V.ANN, V.IMG, V.GEO) + "select cls_id, count(*) as n_kept from geo where not coalesce(w_px < 60 or h_px < 60, false) group by 1")
@@ -135,12 +135,12 @@ TILES = f"tiles as (select image_id, width, height, l::int as left_, t::int as t
 
 @query("tile_windows", V.with_(V.IMG, TILES) + "select width, height, left_ as left, top_ as top, least(left_ + 640, width) as right, least(top_ + 640, height) as bottom, count(*) as n from tiles group by all")
 def _(s, d):
-    return G.tiles(V.frames(s, d).select("image_id", "width", "height"), 640, 640, 0.2).groupBy("width", "height", "left", "top", "right", "bottom").agg(F.count(F.lit(1)).alias("n"))
+    return G.tiles(V.frames(s, d, "width", "height").select("image_id", "width", "height"), 640, 640, 0.2).groupBy("width", "height", "left", "top", "right", "bottom").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("tile_annotations", V.with_(V.ANN, V.IMG, V.GEO, TILES, "c as (select g.cls_id, left_, top_, greatest(x1 * g.width, left_) as a, greatest(y1 * g.height, top_) as b, least(x2 * g.width, least(left_ + 640, g.width)) as c, least(y2 * g.height, least(top_ + 640, g.height)) as e from geo g join tiles t using (image_id))") + "select cls_id, left_ as left, top_ as top, count(*) as n, round(sum((c - a) * (e - b)), 2) as area from c where c > a and e > b group by all")
 def _(s, d):
-    t = G.tiles(V.frames(s, d).select("image_id", "width", "height"), 640, 640, 0.2).drop("width", "height")
+    t = G.tiles(V.frames(s, d, "width", "height").select("image_id", "width", "height"), 640, 640, 0.2).drop("width", "height")
     g = V.geometries(s, d).join(t, "image_id")
     box = tuple(F.col(c) * F.col(k) for c, k in (("x1", "width"), ("y1", "height"), ("x2", "width"), ("y2", "height")))
     g = g.withColumn("c", G.crop_box(box, (F.col("left"), F.col("top"), F.col("right"), F.col("bottom")))).where("c is not null")
@@ -149,7 +149,7 @@ def _(s, d):
 
 @query("rotate_labels", V.with_(V.ANN) + "select image_id, line_no, round(1 - cy, 6) as cx, round(cx, 6) as cy, round(h, 6) as w, round(w, 6) as h from ann where kind = 'bbox'")
 def _(s, d):
-    return V.annotations(s, d).where("kind = 'bbox'").withColumn("r", G.rotate_quarter(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), 1)).select("image_id", "line_no", *[F.round(f"r.{c}", 6).alias(c) for c in ("cx", "cy", "w", "h")])
+    return V.annotations(s, d, "kind", "cx", "cy", "w", "h").where("kind = 'bbox'").withColumn("r", G.rotate_quarter(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), 1)).select("image_id", "line_no", *[F.round(f"r.{c}", 6).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 @query("frame_roi", V.with_(V.ANN, V.IMG, V.GEO) + "select image_id, round(min(x1) * any_value(width), 4) as x1, round(min(y1) * any_value(height), 4) as y1, round(max(x2) * any_value(width), 4) as x2, round(max(y2) * any_value(height), 4) as y2 from geo group by 1")

@@ -12,23 +12,34 @@ from framewright.session import table
 SPLIT_SQL = "case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation') then 'val' when lower(trim(split)) in ('test', 'testing') then 'test' end"
 
 
-def annotations(spark: SparkSession, d: str) -> DataFrame:
-    """Each label line once, as last loaded, with its canonical split. Lines are aggregated before the shuffle, not windowed."""
+COLUMNS = ("dataset", "split", "kind", "cls_id", "cx", "cy", "w", "h", "points")
+
+
+def annotations(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each label line once, as last loaded, with its canonical split. Lines are aggregated before the shuffle, not windowed.
+
+    Name the columns a query needs: the optimizer cannot prune fields of the aggregated struct, so only these are read and moved.
+    """
     a = table(spark, d, "annotations")
-    rest = ["dataset", "split", "kind", "cls_id", "cx", "cy", "w", "h", "points"]
+    rest = ["dataset", "split", *(c for c in columns if c not in ("dataset", "split"))] if columns else list(COLUMNS)
     return a.groupBy("image_id", "line_no").agg(F.max_by(F.struct(*rest), "loaded_at").alias("r")).select("image_id", "line_no", "r.*").withColumn("split", canonical_split(F.col("split")))
 
 
 def geometries(spark: SparkSession, d: str) -> DataFrame:
     """Label lines with the frame's size and their envelope x1 y1 x2 y2 bw bh (0 to 1) and w_px h_px."""
-    return envelope(annotations(spark, d).join(frames(spark, d).select("image_id", "width", "height"), "image_id"))
-
-
-def frames(spark: SparkSession, d: str) -> DataFrame:
-    """Each image once, as last scanned."""
-    i = table(spark, d, "images")
-    rest = ["dataset", "split", "stem", "width", "height", "n_bytes", "content_hash", "ahash", "source_ref"]
-    return i.groupBy("image_id").agg(F.max_by(F.struct(*rest), "scanned_at").alias("r")).select("image_id", "r.*").withColumn("split", canonical_split(F.col("split"))).withColumn("content_hash", F.lower("content_hash"))
+    # The envelope is taken before lines are aggregated and joined: eight numbers move instead of the polygons.
+    a = table(spark, d, "annotations").withColumn("width", F.lit(1.0)).withColumn("height", F.lit(1.0))
+    rest = ["dataset", "split", "kind", "cls_id", "x1", "y1", "x2", "y2", "bw", "bh"]
+    once = envelope(a).groupBy("image_id", "line_no").agg(F.max_by(F.struct(*rest), "loaded_at").alias("r")).select("image_id", "line_no", "r.*").withColumn("split", canonical_split(F.col("split")))
+    g = once.join(frames(spark, d, "width", "height").select("image_id", "width", "height"), "image_id")
+    return g.withColumns({"w_px": F.col("bw") * F.col("width"), "h_px": F.col("bh") * F.col("height")})
+
+
+def frames(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each image once, as last scanned; name the columns a query needs."""
+    i = table(spark, d, "images").withColumn("content_hash", F.lower("content_hash"))
+    rest = list(dict.fromkeys(["dataset", "split", *(columns or ("stem", "width", "height", "n_bytes", "content_hash", "ahash", "source_ref"))]))
+    return i.groupBy("image_id").agg(F.max_by(F.struct(*rest), "scanned_at").alias("r")).select("image_id", "r.*").withColumn("split", canonical_split(F.col("split")))
 
 
 ANN = f"ann as (select image_id, line_no, dataset, {SPLIT_SQL} as split, kind, cls_id, cx, cy, w, h, points from annotations qualify row_number() over (partition by image_id, line_no order by loaded_at desc) = 1)"
