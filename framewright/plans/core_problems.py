@@ -59,4 +59,8 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_valid, p3_report, p4_found, p4_consolidated, p4_parts, p6_found, p6_per_class, p6_tables)}
-ORACLES: dict[str, str] = {}
+FILES = r"""(select *, lower(regexp_extract(p, '(?i)(?:^|/)(cam\d+)/', 1)) as cam, lower(trim(regexp_replace(regexp_replace(regexp_extract(p, '([^/]*)$', 1), '(?i)\.txt\s*$', ''), '(?i)(\s*\(\d+\)|[-_ ]+copy\d*)+$', ''))) as stem
+  from (select *, replace(replace(url_decode(replace(label_path, '+', '%2B')), chr(92), '/'), '//', '/') as p from label_files))"""
+ORACLES: dict[str, str] = {
+    "p4_found": f"select distinct file_id from label_files where file_id not in (select arg_max(file_id, (delivered_at, file_id)) from {FILES} where strlen(content) = n_bytes group by dataset, split, cam, stem)",
+}
