@@ -73,7 +73,10 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
         free[j] = True
         while True:
             at = np.flatnonzero(free)
-            s = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            part = a[:, at]
+            gram = part.T @ part
+            gram.flat[:: len(at) + 1] += 1e-12 * max(1.0, float(gram.max(initial=0)))
+            s = np.linalg.solve(gram, part.T @ b)
             if s.min() > 0:
                 x[:] = 0
                 x[at] = s
