@@ -156,13 +156,25 @@ def reference_entries(ref: DataFrame, alias: DataFrame) -> list[tuple[str, int]]
     return sorted((r["name"], r["class_id"]) for r in rows)
 
 
+#: One trie and its read labels per worker process, by the reference entries; tasks of one worker share it.
+_TRIES: dict[int, tuple[ReferenceTrie, dict]] = {}
+
+
+def worker_trie(entries: list[tuple[str, int]]) -> tuple[ReferenceTrie, dict]:
+    key = hash(tuple(entries))
+    if key not in _TRIES:
+        _TRIES.clear()
+        _TRIES[key] = (ReferenceTrie(entries), {})
+    return _TRIES[key]
+
+
 def reader(ref: DataFrame, alias: DataFrame):
     """A column function: typed name -> struct(class_id, distance, how)."""
     shared = ref.sparkSession.sparkContext.broadcast(reference_entries(ref, alias))
 
     @F.pandas_udf(f"struct<{RESULT.replace(' int', ':int').replace(' string', ':string')}>")
     def read(labels: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        trie, known = ReferenceTrie(shared.value), {}
+        trie, known = worker_trie(shared.value)
         for part in labels:
             for label in part.dropna().unique():
                 if label not in known:
