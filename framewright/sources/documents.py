@@ -62,7 +62,8 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
                             rows = [(i.name, i.size) for i in t.getmembers() if i.isfile()]
                 except (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError):
                     rows = []
-                yield pd.DataFrame({"archive": p, "member": [r[0] for r in rows], "size": [r[1] for r in rows]})
+                if rows:
+                    yield pd.DataFrame({"archive": p, "member": [r[0] for r in rows], "size": [r[1] for r in rows]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(members, "archive string, member string, size long")
@@ -101,7 +102,7 @@ def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
                                 pass
             yield pd.DataFrame(rows, columns=["path", "class", "row_no", "metric", "value"])
 
-    t = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return t.mapInPandas(long, "path string, class string, row_no int, metric string, value double")
 
 

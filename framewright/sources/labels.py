@@ -92,14 +92,14 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """cls_id, name of an obj.names file, in order of its lines."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return text.select(F.posexplode(lines).alias("cls_id", "name"))
 
 
 def read_data_yaml(spark: SparkSession, path: str) -> DataFrame:
     """cls_id, name of data.yaml files (names as a list, inline list or id: name pairs), parsed in SQL from the whole text."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"(?s)(?:^|\n)names:[ \t]*(.*?)(?:\n(?=[A-Za-z_]+:)|\z)", 1).alias("body"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"(?s)(?:^|\n)names:[ \t]*(.*?)(?:\n(?=[A-Za-z_]+:)|\z)", 1).alias("body"))
     bare = lambda c: F.regexp_replace(F.trim(c), r"""^['"]|['"]$""", "")
     inline = F.col("body").rlike(r"^\s*\[")
     listed = F.when(inline, F.split(F.regexp_replace("body", r"[\[\]\n]", ""), ",")).otherwise(F.expr(r"regexp_extract_all(body, '(?m)^[ \\t]*-[ \\t]*(.+)$', 1)"))
