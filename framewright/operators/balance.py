@@ -78,8 +78,8 @@ def sample_without_replacement(items: DataFrame, weight: str, n: int, key: str,
 def sample_with_replacement(items: DataFrame, weight: str, draws: int, key: str, seed: int = 0) -> DataFrame:
     """Draw counts per row for `draws` inverse-CDF draws at systematic points: prefix sums over the whole table, no single-task window."""
     placed = numbered(items, [], [key], weight)
-    total = placed.agg(F.sum(weight).alias("_t"))
-    x = placed.crossJoin(F.broadcast(total))  # one row
+    total = items.agg(F.sum(weight).alias("t")).first().t or 0
+    x = placed.withColumn("_t", F.lit(total))
     u = (F.conv(F.substring(F.md5(F.lit(f"start:{seed}")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0))
     low, high = F.col("cum") / F.col("_t") * draws, (F.col("cum") + F.col(weight)) / F.col("_t") * draws
     return x.withColumn("draws", (F.ceil(high - u) - F.ceil(low - u)).cast("int")).where("draws > 0").drop("_t", "cum", "pos")

@@ -20,7 +20,7 @@ def flip_plan(s: SparkSession, d: str) -> DataFrame:
 def augmented_boxes(s: SparkSession, d: str) -> DataFrame:
     b = V.annotations(s, d, "kind", "cls_id", "cx", "cy", "w", "h").where("kind = 'bbox' and split = 'train'")
     x = A.turned_boxes(A.orthogonal_variants(A.flipped_boxes(A.flip_variants(b, 0.5, seed=3)), 0.5, seed=5))
-    return x.groupBy("cls_id", "flip", "turns").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cx"), 3).alias("cx"), F.round(F.sum("cy"), 3).alias("cy"), F.round(F.sum("w"), 3).alias("w"))
+    return x.groupBy("cls_id", "flip", "turns").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cx"), 4).alias("cx"), F.round(F.sum("cy"), 4).alias("cy"), F.round(F.sum("w"), 4).alias("w"))
 
 
 def donor_turns(s: SparkSession, d: str) -> DataFrame:
@@ -37,6 +37,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 FLIP = f"case when {U(3)} < 0.5 then case floor({U(4)} * 3)::int when 0 then 'horizontal' when 1 then 'vertical' else 'both' end else 'none' end"
 ORACLES = {
     "flip_plan": V.with_(V.IMG) + f"select image_id, {FLIP} as flip from img where split = 'train'",
-    "augmented_boxes": V.with_(V.ANN, f"f as (select cls_id, image_id, {FLIP} as flip, cx, cy, w, h, case when {U(5)} < 0.5 then floor({U(6)} * 3)::int + 1 else 0 end as turns from ann where kind = 'bbox' and split = 'train')", "g as (select cls_id, flip, turns, case when flip in ('horizontal', 'both') then 1 - cx else cx end as cx, case when flip in ('vertical', 'both') then 1 - cy else cy end as cy, w, h from f)") + "select cls_id, flip, turns, count(*) as n, round(sum(case turns when 1 then 1 - cy when 2 then 1 - cx when 3 then cy else cx end), 3) as cx, round(sum(case turns when 1 then cx when 2 then 1 - cy when 3 then 1 - cx else cy end), 3) as cy, round(sum(case when turns in (1, 3) then h else w end), 3) as w from g group by 1, 2, 3",
+    "augmented_boxes": V.with_(V.ANN, f"f as (select cls_id, image_id, {FLIP} as flip, cx, cy, w, h, case when {U(5)} < 0.5 then floor({U(6)} * 3)::int + 1 else 0 end as turns from ann where kind = 'bbox' and split = 'train')", "g as (select cls_id, flip, turns, case when flip in ('horizontal', 'both') then 1 - cx else cx end as cx, case when flip in ('vertical', 'both') then 1 - cy else cy end as cy, w, h from f)") + "select cls_id, flip, turns, count(*) as n, round(sum(case turns when 1 then 1 - cy when 2 then 1 - cx when 3 then cy else cx end), 4) as cx, round(sum(case turns when 1 then cx when 2 then 1 - cy when 3 then 1 - cx else cy end), 4) as cy, round(sum(case when turns in (1, 3) then h else w end), 4) as w from g group by 1, 2, 3",
     "donor_turns": V.with_(V.ANN, V.IMG, V.GEO) + "select cls_id, turn, image_id, line_no from (select cls_id, image_id, line_no, row_number() over (partition by cls_id order by (('0x' || substr(md5(concat_ws(':', image_id, line_no::varchar, '0')), 1, 8))::bigint / 4294967296.0), image_id, line_no) - 1 as turn from geo where split = 'train' and w_px >= 100 and h_px >= 100 and cls_id is not null) where turn < 3",
 }
