@@ -197,11 +197,13 @@ class Packing:
                 put(space, first + full, n - full)
 
 
-def pieces(lengths: DataFrame, specs: DataFrame) -> DataFrame:
-    """spec_id, doc_id, piece_no, token_from, length, whole: the packed piece of each document and spec, and its full pieces."""
-    c = F.col("capacity_tokens").cast("long")
-    every = lengths.crossJoin(F.broadcast(specs)).withColumn("full", F.expr("n_tokens div capacity_tokens")).withColumn("rest", F.col("n_tokens") % c)
-    return every.select("spec_id", "doc_id", "full", "rest", c.alias("capacity"))
+def pieces(lengths: DataFrame, listed: dict[int, int]) -> DataFrame:
+    """spec_id, doc_id, full (pieces of whole capacity), rest (tokens left over) and capacity, per document and specification."""
+    if not listed:
+        return lengths.limit(0).select(F.lit(0).alias("spec_id"), "doc_id", F.lit(0).cast("long").alias("full"), F.col("n_tokens").alias("rest"), F.lit(1).cast("long").alias("capacity"))
+    spec = F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for i, c in listed.items()]))
+    every = lengths.select("doc_id", "n_tokens", spec.alias("s"))
+    return every.select("s.spec_id", "doc_id", F.expr("n_tokens div s.capacity").alias("full"), (F.col("n_tokens") % F.col("s.capacity")).alias("rest"), "s.capacity")
 
 
 def packed(documents: DataFrame, pack_specs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -212,8 +214,7 @@ def packed(documents: DataFrame, pack_specs: DataFrame, tokenizer: str = TOKENIZ
     if len(listed) > MAX_SPECS or max(listed.values(), default=0) > MAX_CAPACITY:
         raise ValueError("too many specifications, or a capacity beyond MAX_CAPACITY")
     lengths = cut_lineage(token_lengths(documents, tokenizer))
-    small = spark.createDataFrame(list(listed.items()), "spec_id int, capacity_tokens int")
-    every = pieces(lengths, small)
+    every = pieces(lengths, listed)
     rest = numbered(every.where("rest > 0").select("spec_id", F.col("rest").alias("length"), "doc_id", "full"), ["spec_id", "length"], ["doc_id"])
     rest = cut_lineage(rest)
     counts = rest.groupBy("spec_id", "length").agg(F.count(F.lit(1)).alias("n")).collect()
