@@ -61,6 +61,17 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_valid, p3_report, p4_found, p4_consolidated, p4_parts, p6_found, p6_per_class, p6_tables)}
 FILES = r"""(select *, lower(regexp_extract(p, '(?i)(?:^|/)(cam\d+)/', 1)) as cam, lower(trim(regexp_replace(regexp_replace(regexp_extract(p, '([^/]*)$', 1), '(?i)\.txt\s*$', ''), '(?i)(\s*\(\d+\)|[-_ ]+copy\d*)+$', ''))) as stem
   from (select *, replace(replace(url_decode(replace(label_path, '+', '%2B')), chr(92), '/'), '//', '/') as p from label_files))"""
+NUM = r"'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$'"
+LINES = rf"""lines as (select line_id, dataset, split, fmt, regexp_replace(raw, '^\s+|\s+$', '', 'g') as t from label_lines where raw is not null),
+cells as (select line_id, dataset, split, fmt, fmt = 'csv' and not regexp_full_match(t, '([^",]*|"([^"]|"")*")(,([^",]*|"([^"]|"")*"))*') as bad_quotes, case when fmt = 'csv' then string_split(regexp_replace(t, '"([^"]|"")*"', 'q', 'g'), ',') else string_split_regex(t, '\s+') end as c from lines where t <> '' and t[1] <> '#'),
+parts as (select *, case when fmt = 'csv' then c[2:6] else c end as g, case when fmt = 'csv' then len(c) <> 7 else len(c) <> 5 and (len(c) < 7 or len(c) % 2 = 0) end as bad_count from cells),
+judged as (select *, case when bad_quotes then 'quoting' when bad_count then 'column_count'
+  when not regexp_full_match(trim(g[1]), '[+-]?[0-9]+') or len(list_filter(g[2:], lambda x: not regexp_matches(trim(x), {NUM}) or coalesce(isinf(try_cast(trim(x) as double)), true))) > 0 then 'number'
+  when len(list_filter(g[2:], lambda x: try_cast(trim(x) as double) < 0 or try_cast(trim(x) as double) > 1)) > 0 or (len(g) = 5 and (try_cast(trim(g[4]) as double) <= 0 or try_cast(trim(g[5]) as double) <= 0)) then 'range'
+  when not exists (select 1 from classes k where k.dataset = parts.dataset and k.cls_id = try_cast(replace(trim(g[1]), '+', '') as bigint)) then 'class_id' end as reason from parts)"""
 ORACLES: dict[str, str] = {
+    "p3_found": f"with {LINES} select distinct line_id, reason from judged where reason is not null",
+    "p3_report": f"with {LINES}, once as (select line_id, max((dataset, split, coalesce(reason, ''))) as r, any_value(dataset) as dataset, any_value(split) as split, any_value(coalesce(reason, '')) as reason from judged group by 1) select dataset, split, count(*) filter (reason = '') as valid_lines, count(*) filter (reason not in ('', 'class_id')) as broken_label_lines, count(*) filter (reason = 'class_id') as unknown_class_ids from once group by 1, 2",
+    "p4_parts": f"with kept as (select arg_max(file_id, (delivered_at, file_id)) as file_id from {FILES} where strlen(content) = n_bytes group by dataset, split, cam, stem), placed as (select k.file_id, f.export_id, f.dataset, f.split, floor((sum(strlen(content) + 1) over (partition by f.dataset, f.split order by cam, stem, f.file_id) - strlen(content) - 1) / 8388608) as part from kept k join {FILES} f using (file_id)), per as (select export_id, count(*) as n, count(distinct (dataset, split, part)) as p from placed group by 1) select e.export_id, e.dataset, parts_count as stated_parts_count, case when export_files_per_dir > 0 then ceil(images_exported / export_files_per_dir)::bigint end as expected_parts_count, coalesce(n, 0) as kept_files, coalesce(p, 0) as new_parts_count from exports e left join per using (export_id)",
     "p4_found": f"select distinct file_id from label_files where file_id not in (select arg_max(file_id, (delivered_at, file_id)) from {FILES} where strlen(content) = n_bytes group by dataset, split, cam, stem)",
 }

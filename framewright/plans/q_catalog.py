@@ -165,12 +165,15 @@ def _(s, d):
     return C.rename_plan({"runs": (table(s, d, "runs"), "run_dir"), "catalog": (table(s, d, "dataset_catalog").where("dataset = '-'"), "dataset")}, "yard_north", "yard_south")
 
 
-@query("lineage_edges")
+LINEAGE = "steps as (select dataset as output, unnest(range(0, json_array_length(catalog_entry, '$.history')::bigint))::int as step, catalog_entry as e from dataset_catalog where json_valid(catalog_entry) and json_type(catalog_entry, '$.history') = 'ARRAY'), edges as (select output, step, command, json_extract_string(i, '$.name') as input, json_extract_string(i, '$.hash') as input_hash from (select output, step, json_extract_string(e, '$.history[' || step || '].command') as command, unnest(json_extract(e, '$.history[' || step || '].inputs')::json[]) as i from steps where json_type(e, '$.history[' || step || '].inputs') = 'ARRAY'))"
+
+
+@query("lineage_edges", V.with_(LINEAGE) + "select * from edges")
 def _(s, d):
     return C.lineage(table(s, d, "dataset_catalog"))
 
 
-@query("lineage_ancestors")
+@query("lineage_ancestors", "with recursive " + LINEAGE + ", e as (select distinct output, input from edges where input is not null and input <> output), r as (select output, input as ancestor, 1 as depth from e union select r.output, e.input, depth + 1 from r join e on e.output = r.ancestor where e.input <> r.output and depth < 20) select output, ancestor, min(depth)::int as depth from r group by 1, 2")
 def _(s, d):
     return C.ancestors(C.lineage(table(s, d, "dataset_catalog")))
 
