@@ -42,7 +42,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_·]){2,}[^\W\d_](?![^\W_])")
 REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|[\r\n]+|\s\|\s")
-MASKED = re.compile(r"(?<=[^\W\d_])[0134578@$](?=[^\W\d_])")
+MASKED = re.compile(r"[0134578@$](?<=[^\W\d_][0134578@$])(?=[^\W\d_])")
+GAPS, OTHER, DIGITS = re.compile(r"[ .*_·]"), re.compile(r"[^\w*]+"), re.compile(r"\d+")
 # Signs that stand for letters inside a word.
 LEET = str.maketrans("0134578@$", "oieastbas")
 
@@ -50,9 +51,8 @@ LEET = str.maketrans("0134578@$", "oieastbas")
 def plain(sentence: str) -> str:
     """Letters, single blanks and masks; spelled-out, stretched and disguised words as written plainly; numbers as 0."""
     s = MASKED.sub(lambda m: m[0].translate(LEET), sentence)
-    s = SPACED.sub(lambda m: re.sub(r"[ .*_·]", "", m[0]), s)
-    s = re.sub(r"[^\w*]+", " ", REPEAT.sub(r"\1", s))
-    return re.sub(r"\d+", "0", s).strip()
+    s = SPACED.sub(lambda m: GAPS.sub("", m[0]), s)
+    return DIGITS.sub("0", OTHER.sub(" ", REPEAT.sub(r"\1", s))).strip()
 
 
 def sentences(text: str) -> list[str]:

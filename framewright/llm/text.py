@@ -16,7 +16,7 @@ FOLD = str.maketrans(LOOKALIKES)
 INVISIBLE = re.compile("[­͏᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|\[/?[A-Za-z]{1,10}\]")
 LINE_QUOTE = re.compile(r"(?m)^[ \t]*(?:[>|]+[ \t]*)+")
-HYPHEN = re.compile(r"(?<=\w)[-‐‑‒–][ \t]*\r?\n\s*(?=\w)|(?<=\w)[-‐‑'’ʼ`´](?=\w)")
+HYPHEN = re.compile(r"[-‐‑‒–](?<=\w[-‐‑‒–])[ \t]*\r?\n\s*(?=\w)|[-‐‑'’ʼ`´](?<=\w[-‐‑'’ʼ`´])(?=\w)")
 ACCENT = re.compile("[̀-̆̉-ͯ]")
 WORD = re.compile(r"[^\W_]+")
 
@@ -27,6 +27,8 @@ def fold(text: str) -> str:
         text = html.unescape(text)
     if "<" in text or "[" in text:
         text = TAG.sub(" ", text)
+    if text.isascii():  # nothing to normalise, and no look-alikes
+        return HYPHEN.sub("", LINE_QUOTE.sub("", text.lower()))
     text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     text = HYPHEN.sub("", LINE_QUOTE.sub("", text))
     text = ACCENT.sub("", unicodedata.normalize("NFD", text.casefold()))
