@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.ordered import numbered
 from framewright.operators.schema_match import canonical_name, match_fields
+from framewright.session import cut_lineage
 
 BLOCK = 2000
 SERIES = ["producer", "namespace"]
@@ -132,14 +133,14 @@ def settle(b: pd.DataFrame) -> pd.DataFrame:
 
 def changes(files: DataFrame) -> DataFrame:
     """raw_path, change (added, removed, renamed, retyped), field: every difference of a file to the one before it in its series."""
-    parsed = parsed_files(files).where("fields is not null")
+    # Written once: ordering samples its input first, and would parse every file twice.
+    types = F.expr("transform(fields, f -> named_struct('name', f.name, 'type', f.type))")
+    parsed = cut_lineage(parsed_files(files).where("fields is not null").select("raw_path", *SERIES, "written_at", types.alias("fields")))
     placed = numbered(parsed, SERIES, ["written_at", "raw_path"])
     block = F.floor(F.col("pos") / BLOCK)
     # The last file of a block is also the context of the next one.
     placed = placed.withColumn("block", F.explode(F.when(F.col("pos") % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))))
-    walked = placed.select(*SERIES, "block", "pos", "raw_path", F.expr("transform(fields, f -> named_struct('name', f.name, 'type', f.type))").alias("fields")).groupBy(*SERIES, "block").applyInPandas(walk_block, "producer string, namespace string, block long, raw_path string, kind string, field string, origin string, type string")
-    from framewright.session import cut_lineage
-
+    walked = placed.select(*SERIES, "block", "pos", "raw_path", "fields").groupBy(*SERIES, "block").applyInPandas(walk_block, "producer string, namespace string, block long, raw_path string, kind string, field string, origin string, type string")
     walked = cut_lineage(walked)
     inner = walked.where("kind not in ('pend', 'end')").select("raw_path", F.col("kind").alias("change"), "field")
     across = walked.where("kind in ('pend', 'end')").groupBy(*SERIES).applyInPandas(settle, "raw_path string, change string, field string")
