@@ -3,7 +3,7 @@
 Packing is decided on the histogram of lengths, never on documents: patterns of up to three length buckets that fill a container
 exactly are enumerated, repeat counts are fitted to the bucket histogram by non-negative least squares, rounded down to what the
 histogram holds, and the residual histogram is packed best-fit by decreasing length. The histogram has at most one entry per token
-up to the capacity (checked against MAX_CAPACITY), however many documents there are. Documents are ranked within their length, and
+up to the capacity (their sum is checked against MAX_CAPACITY), however many documents there are. Documents are ranked within their length, and
 each rank interval of a length is told its containers in closed form, so placing them is one join to a small table.
 
 A document longer than the capacity is cut into full pieces, each a container of its own, and a rest that is packed like any other.
@@ -211,8 +211,8 @@ def packed(documents: DataFrame, pack_specs: DataFrame, tokenizer: str = TOKENIZ
     spark = documents.sparkSession
     specs = pack_specs.where("spec_id is not null and capacity_tokens > 0").groupBy("spec_id").agg(F.max("capacity_tokens").alias("capacity_tokens"))
     listed = {r.spec_id: r.capacity_tokens for r in specs.limit(MAX_SPECS + 1).collect()}
-    if len(listed) > MAX_SPECS or max(listed.values(), default=0) > MAX_CAPACITY:
-        raise ValueError("too many specifications, or a capacity beyond MAX_CAPACITY")
+    if len(listed) > MAX_SPECS or sum(listed.values()) > MAX_CAPACITY:
+        raise ValueError("too many specifications, or capacities beyond MAX_CAPACITY in total")
     lengths = cut_lineage(token_lengths(documents, tokenizer))
     every = pieces(lengths, listed)
     rest = numbered(every.where("rest > 0").select("spec_id", F.col("rest").alias("length"), "doc_id", "full"), ["spec_id", "length"], ["doc_id"])
