@@ -36,6 +36,7 @@ EDITS = 2
 SHINGLE = 3
 LEAST_CONTAINMENT = 0.45
 MAX_FINGERPRINTS = 5_000_000
+WORDS_TOGETHER = 8_000
 ITEMS_PER_BLOCK = 50_000
 
 
@@ -192,18 +193,24 @@ class PassageIndex:
         self.owner, self.place = np.array(owner, dtype=np.int64), np.array(place, dtype=np.int64)
         self.index = HammingIndex(np.concatenate(prints) if prints else np.zeros(0, np.uint64))
 
-    def held(self, doc: list[str], bits: WordBits) -> Iterator[tuple[int, int]]:
-        """(item_id, words held) of every item that the document holds."""
-        if not len(self.owner) or len(doc) < WINDOW:
+    def held(self, docs: list[list[str]], bits: WordBits) -> Iterator[tuple[int, int, int]]:
+        """(place of the document, item_id, words held) of every item that one of the documents holds; documents are looked up together."""
+        if not len(self.owner):
             return
-        q, p = self.index.near(simhashes(doc, bits))
-        if not len(q):
-            return
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for item_id, diagonal in zip(self.owner[p].tolist(), (q - self.place[p]).tolist(), strict=True):
-            by_item[item_id].append(diagonal)
-        for item_id, diagonals in by_item.items():
-            item, best = self.items[item_id], 0
+        sizes = np.array([len(d) for d in docs], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+        prints = simhashes([w for d in docs for w in d], bits)
+        # A window belongs to the document of its first word, and counts only if it ends there too.
+        owner = np.repeat(np.arange(len(docs)), sizes)[: len(prints)]
+        start = np.arange(len(prints)) - first[owner]
+        inside = np.flatnonzero(start + WINDOW <= sizes[owner])
+        q, p = self.index.near(prints[inside])
+        q = inside[q]
+        by_pair: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for d, item_id, diagonal in zip(owner[q].tolist(), self.owner[p].tolist(), (start[q] - self.place[p]).tolist(), strict=True):
+            by_pair[d, item_id].append(diagonal)
+        for (d, item_id), diagonals in by_pair.items():
+            doc, item, best = docs[d], self.items[item_id], 0
             reach = 2 + EDITS * (1 + len(item) // STRETCH)
             runs: list[list[int]] = []
             for x in sorted(set(diagonals)):
@@ -216,7 +223,21 @@ class PassageIndex:
                 if containment(item, piece, self.weight) >= LEAST_CONTAINMENT:
                     best = max(best, longest_stretch(align(item, piece), len(item)))
             if best >= min(STRETCH, len(item)):
-                yield item_id, best
+                yield d, item_id, best
+
+
+def together(texts: list[str], most: int = WORDS_TOGETHER) -> Iterator[tuple[int, list[list[str]]]]:
+    """(place of the first, folded words) of runs of texts with about `most` words; a longer text is a run of its own."""
+    run: list[list[str]] = []
+    begin = n = 0
+    for i, t in enumerate(texts):
+        run.append(words(t))
+        n += len(run[-1])
+        if n >= most:
+            yield begin, run
+            run, begin, n = [], i + 1, 0
+    if run:
+        yield begin, run
 
 
 def found_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -233,7 +254,8 @@ def found_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
         def look(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index, bits = PassageIndex(shared.value), WordBits()
             for b in batches:
-                rows = [(d, *hit) for d, t in zip(b["doc_id"], b["text"], strict=True) for hit in index.held(words(t), bits)]
+                ids = b["doc_id"].tolist()
+                rows = [(ids[begin + d], item_id, n) for begin, docs in together(b["text"].tolist()) for d, item_id, n in index.held(docs, bits)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words_held"])
 
         got = texts.mapInPandas(look, "doc_id long, item_id long, words_held int")
