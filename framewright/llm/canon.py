@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.text import ACCENT, FOLD, INVISIBLE
+from framewright.operators.skew import spread
 
 MAX_ENTRIES = 100_000
 MAX_LENGTH = 200
@@ -196,6 +197,8 @@ def mapped(names: DataFrame, column: str, ref: DataFrame, alias: DataFrame) -> D
 def meant(names: DataFrame, record: Column, label: Column, origin: str, ref: DataFrame, alias: DataFrame) -> DataFrame:
     """origin, record_id, class_id of names that mean a reference class without being its exact name."""
     rows = names.select(record.cast("long").alias("record_id"), label.alias("label")).where("label is not null")
+    # Only inputs with too few splits are moved; a label then goes to at most four tasks, which share its search.
+    rows = spread(rows.withColumn("_salt", F.pmod("record_id", F.lit(4))), ["label", "_salt"]).drop("_salt")
     exact = ref.select(F.col("name").alias("label"), F.col("class_id").alias("_exact")).where("label is not null").distinct()
     got = mapped(rows, "label", ref, alias).where("class_id is not null").join(F.broadcast(exact), "label", "left_anti")
     return got.select(F.lit(origin).alias("origin"), "record_id", "class_id").distinct()
