@@ -2,9 +2,13 @@
 
 Every node of a record gets an ordinal path from the root (0.2.1 ...), so its parent is the path without its last part and its
 table is its schema path (the path without positions). One pass over the text, no shuffle: the flat tables are filters on it.
+Every object is a row with its own scalars as fields (the record itself too, with schema path ''), and so is every scalar in a list
+(field "value"), so each leaf value of a record stands in exactly one row. kind says what a row is: root, element (an object in a
+named list), object (any other) or value. parent_dewey is the row above of any kind, parent_path the nearest element of a named list.
 
 Defined results: text that is not valid JSON, or null, gives no rows; repeated rows of a record count once; null elements keep
-their position and give no row; empty input gives empty output; extra columns are ignored.
+their position and give no row, null fields give no entry; a named list given as JSON text is read and is no field of its parent;
+empty input gives empty output; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 # The lists whose elements become rows of their own tables.
 LISTS = ("artifacts", "models", "runs", "metrics", "predictions", "test_metrics", "per_class", "thresholds", "history", "inputs", "regions")
-SCHEMA = "record_key string, dewey string, parent_dewey string, schema_path string, list_name string, child_path string, parent_path string, fields map<string,string>"
+SCHEMA = "record_key string, dewey string, parent_dewey string, schema_path string, list_name string, child_path string, parent_path string, fields map<string,string>, kind string"
 
 
 def no_constant(name: str) -> float:
@@ -36,38 +40,45 @@ def as_list(value: Any) -> Any:
     return [value] if isinstance(value, dict) else value
 
 
+def as_text(value: Any) -> str:
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
 def nodes(key: str, text: str, lists: frozenset[str]) -> Iterator[tuple]:
-    """One tuple per object that is an element of a named list, in document order, without recursion."""
+    """One tuple per object and per scalar in a list, in document order, without recursion."""
     try:
         root = json.loads(text, parse_constant=no_constant)
     except (ValueError, RecursionError):
         return
-    # path, dewey label, path and label of the nearest list element above, schema path, value
-    stack: list[tuple[str, str, str, str, str, Any]] = [("", "0", "", "", "", root)]
+    # path, dewey label, label of the row above, path of the nearest list element above, schema path, name of the list, kind, value
+    stack: list[tuple[str, str, str, str, str, str, str, Any]] = [("", "0", "", "", "", "", "root", root)]
     while stack:
-        path, label, up, up_label, schema, value = stack.pop()
-        below: list[tuple[str, str, str, str, str, Any]] = []
+        path, label, above, up, schema, name, kind, value = stack.pop()
+        below: list[tuple[str, str, str, str, str, str, str, Any]] = []
         if isinstance(value, dict):
+            fields, inner = {}, path if kind == "element" else up
             for i, (k, v) in enumerate(value.items()):
-                at, place = f"{path}.{k}" if path else k, f"{label}.{i}"
-                table = f"{schema}.{k}" if schema else k
-                if k in lists and isinstance(v := as_list(v), list):
-                    for j, x in enumerate(v):
-                        if isinstance(x, dict):
-                            row, row_label = f"{at}[{j}]", f"{place}.{j}"
-                            yield key, row_label, up_label, table, k, row, up, {a: b if isinstance(b, str) else json.dumps(b, ensure_ascii=False) for a, b in x.items() if b is not None and not isinstance(b, dict | list)}
-                            below.append((row, row_label, row, row_label, table, x))
-                        elif isinstance(x, list):
-                            below.append((f"{at}[{j}]", f"{place}.{j}", up, up_label, table, x))
-                elif isinstance(v, dict | list):
-                    below.append((at, place, up, up_label, table, v))
+                v = as_list(v) if k in lists else v
+                if isinstance(v, dict | list):
+                    below.append((f"{path}.{k}" if path else k, f"{label}.{i}", label, inner, f"{schema}.{k}" if schema else k, k if k in lists else "", "object", v))
+                elif v is not None:
+                    fields[k] = as_text(v)
+            yield key, label, above, schema, name, path, up, fields, kind
         elif isinstance(value, list):
-            below += [(f"{path}[{j}]", f"{label}.{j}", up, up_label, schema, x) for j, x in enumerate(value) if isinstance(x, dict | list)]
+            if kind == "root":
+                yield key, label, above, schema, name, path, up, {}, kind
+                above = label
+            for j, x in enumerate(value):
+                if x is not None:
+                    what = "value" if not isinstance(x, dict | list) else "element" if name and isinstance(x, dict) else "object"
+                    below.append((f"{path}[{j}]", f"{label}.{j}", above, up, schema, "" if isinstance(x, list) else name, what, x))
+        elif value is not None:
+            yield key, label, above, schema, name, path, up, {"value": as_text(value)}, kind
         stack += reversed(below)
 
 
-def flatten(records: DataFrame, key: str, text: str, lists: tuple[str, ...] = LISTS) -> DataFrame:
-    """All list elements of all records: record_key, Dewey label and that of the parent, schema path, paths, and scalar fields as text."""
+def flatten(records: DataFrame, key: str, text: str, lists: tuple[str, ...] = LISTS, kinds: tuple[str, ...] = ("root", "element", "object", "value")) -> DataFrame:
+    """All rows of all records, or those of some kinds: record_key, Dewey label and that of the parent, schema path, paths, scalar fields as text, and kind."""
     wanted = frozenset(lists)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +86,7 @@ def flatten(records: DataFrame, key: str, text: str, lists: tuple[str, ...] = LI
         for b in batches:
             for start in range(0, len(b), 500):
                 part = b.iloc[start : start + 500]
-                yield pd.DataFrame([n for k, t in zip(part["k"], part["t"], strict=True) for n in nodes(k, t, wanted)], columns=columns)
+                yield pd.DataFrame([n for k, t in zip(part["k"], part["t"], strict=True) for n in nodes(k, t, wanted) if n[-1] in kinds], columns=columns)
 
     once = records.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").groupBy("k").agg(F.max("t").alias("t"))
     return once.mapInPandas(run, SCHEMA)
@@ -83,7 +94,7 @@ def flatten(records: DataFrame, key: str, text: str, lists: tuple[str, ...] = LI
 
 def links(records: DataFrame, key: str, text: str) -> DataFrame:
     """record_key, parent_path, child_path of every list element."""
-    return flatten(records, key, text).select("record_key", "parent_path", "child_path").distinct()
+    return flatten(records, key, text, kinds=("element",)).select("record_key", "parent_path", "child_path").distinct()
 
 
 def flat_table(flat: DataFrame, schema_path: str, fields: dict[str, str]) -> DataFrame:
@@ -92,5 +103,5 @@ def flat_table(flat: DataFrame, schema_path: str, fields: dict[str, str]) -> Dat
 
 
 def table_profile(flat: DataFrame) -> DataFrame:
-    """Each flat table with its rows, records and field names seen."""
-    return flat.groupBy("schema_path").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record_key").alias("n_records"), F.count_if(F.col("parent_dewey") == "").alias("n_roots"))
+    """Each flat table with its rows, records, rows under no list element, and values held, by which the tables can be reckoned against the records."""
+    return flat.groupBy("schema_path").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record_key").alias("n_records"), F.count_if(F.col("parent_path") == "").alias("n_roots"), F.sum(F.size("fields")).alias("n_values"))

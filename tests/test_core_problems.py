@@ -160,6 +160,32 @@ def test_dewey_parents_are_truncations(spark, sf):
     assert child.join(parent, ["record_key", "parent_dewey"]).count() == child.count() > 0
 
 
+def test_dewey_tables_hold_every_leaf(spark, sf):
+    def leaves(v, name=""):
+        v = dewey.as_list(v) if name in dewey.LISTS else v
+        below = v.items() if isinstance(v, dict) else ((("", x) for x in v) if isinstance(v, list) else None)
+        if below is None:
+            return [] if v is None else [v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)]
+        return [x for k, y in below for x in leaves(y, k)]
+
+    made = {"id": 7, "runs": [{"test_refs": ["t1", None, "t2"], "test_metrics": {"all": {"map": 0.5, "by": {"x": [[1, 2], [{"y": True}]]}}}}, "odd"], "models": '[{"provenance": {"tool": "t"}}]'}
+    rows = [("a", json.dumps(made)), ("b", "[1, {\"c\": null, \"d\": 2}]"), ("c", '"alone"'), ("d", "null")]
+    for t, k, x in (("run_payloads", "payload_id", "payload"), ("dataset_catalog", "dataset", "catalog_entry")):
+        rows += [(f"{t} {r[0]}", r[1]) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, x).distinct().collect()]
+    flat = dewey.flatten(spark.createDataFrame(rows, "k string, t string"), "k", "t").collect()
+    assert len({(r.record_key, r.dewey) for r in flat}) == len(flat)
+    for key, text in rows:
+        try:
+            want = sorted(leaves(json.loads(text, parse_constant=dewey.no_constant))) if text is not None else []
+        except ValueError:
+            want = []
+        assert sorted(v for r in flat if r.record_key == key for v in r.fields.values()) == want
+    at = {(r.child_path, r.kind): (r.fields, r.parent_dewey, r.dewey) for r in flat if r.record_key == "a"}
+    assert at["", "root"][:2] == ({"id": "7"}, "") and at["runs[0].test_refs[2]", "value"][0] == {"value": "t2"}
+    assert at["runs[0].test_metrics[0].all", "object"][:2] == ({"map": "0.5"}, at["runs[0].test_metrics[0]", "element"][2])
+    assert at["models[0].provenance", "object"][0] == {"tool": "t"} and at["runs[1]", "value"][0] == {"value": "odd"}
+
+
 def test_found_queries_have_their_columns(spark, sf):
     import __spark_entry__
 
