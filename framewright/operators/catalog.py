@@ -10,6 +10,8 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators import dewey
+
 # Fields that a refresh keeps from the former catalog.
 PRESERVED = ("tags", "roi_auto", "data_path", "archive")
 
@@ -124,10 +126,13 @@ def patch_json(column, old: str, new: str):
 
 
 def lineage(catalog: DataFrame) -> DataFrame:
-    """output, step, command, input, input_hash of every history step in the catalog entries, by one schema for the JSON."""
-    entry = F.from_json("catalog_entry", "history array<struct<command:string,inputs:array<struct<name:string,hash:string>>>>")
-    h = catalog.select("dataset", F.posexplode(entry["history"]).alias("step", "h"))
-    return h.select(F.col("dataset").alias("output"), "step", F.col("h.command").alias("command"), F.explode("h.inputs").alias("i")).select("output", "step", "command", F.col("i.name").alias("input"), F.col("i.hash").alias("input_hash"))
+    """output, step, command, input, input_hash of every history step in the catalog entries; a lone object or JSON text stands for its list."""
+    key = F.concat(F.md5("catalog_entry"), "dataset")  # entries of one data set stay apart
+    flat = dewey.flatten(catalog.withColumn("key", key), "key", "catalog_entry", kinds=("element",)).where("schema_path in ('history', 'history.inputs')")
+    at = flat.withColumn("step", F.expr(r"try_cast(regexp_extract(child_path, r'^history\[(\d+)\]', 1) as int)")).where("step is not null")
+    used = F.when(F.col("schema_path") == "history.inputs", F.struct(F.col("fields")["name"].alias("name"), F.col("fields")["hash"].alias("hash")))
+    h = at.groupBy("record_key", "step").agg(F.max(F.when(F.col("schema_path") == "history", F.col("fields")["command"])).alias("command"), F.collect_list(used).alias("inputs"))
+    return h.select(F.expr("substr(record_key, 33)").alias("output"), "step", "command", F.explode("inputs").alias("i")).select("output", "step", "command", F.col("i.name").alias("input"), F.col("i.hash").alias("input_hash"))
 
 
 def ancestors(edges: DataFrame, most: int = 20) -> DataFrame:

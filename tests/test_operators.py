@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, or whose edge cases the tables do not hold, against brute force."""
 
+import json
 import random
 
 import numpy as np
@@ -89,6 +90,16 @@ def test_patched_json_and_ancestors(spark):
     assert {(r.output, r.ancestor, r.depth) for r in catalog.ancestors(edges).collect()} == {("c", "b", 1), ("c", "a", 2), ("b", "a", 1), ("a", "b", 1)}
 
 
+def test_lineage_reads_uneven_shapes(spark):
+    one = {"command": "merge", "inputs": [{"name": "a", "hash": "1"}, {"name": "b", "hash": "2"}]}
+    lone, text = {"command": "filter", "inputs": {"name": "c", "hash": "3"}}, {"command": "split", "inputs": json.dumps([{"name": "d", "hash": "4"}])}
+    entries = [("w", {"history": [one, None, lone, text]}), ("x", {"history": lone}), ("y", {"history": json.dumps([text, one])}), ("z", {"history": None}), ("v", {"other": {"history": [one]}}), ("w", {"history": [lone]})]
+    df = spark.createDataFrame([(d, json.dumps(e)) for d, e in entries] + [("u", '{"history": ['), ("t", None)], "dataset string, catalog_entry string")
+    merge, c, d = [("merge", "a", "1"), ("merge", "b", "2")], ("filter", "c", "3"), ("split", "d", "4")
+    want = [("w", 0, *m) for m in merge] + [("w", 2, *c), ("w", 3, *d), ("w", 0, *c), ("x", 0, *c), ("y", 0, *d)] + [("y", 1, *m) for m in merge]
+    assert sorted(map(tuple, catalog.lineage(df).collect())) == sorted(want)
+
+
 def test_report_table_helpers(spark):
     df = spark.createDataFrame([(1, 1, None, "1"), (2, 2, None, "2")], "a int, b int, c int, d string")
     assert runs.without_empty_columns(df).columns == ["a", "b", "d"]
