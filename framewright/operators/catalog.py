@@ -6,6 +6,7 @@ A catalog row is (dataset, classes MAP name -> id, structure, images, labels, da
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,35 +92,50 @@ def refreshed(fresh: DataFrame, former: DataFrame) -> DataFrame:
     return out.drop("_h", "_m", *[f"_{c}" for c in kept])
 
 
-def rename_plan(tables: dict[str, tuple[DataFrame, str]], old: str, new: str) -> DataFrame:
-    """Every path or name that holds the old data set name as a whole segment, with its new form."""
+def rename_plan(tables: dict[str, tuple[DataFrame, str]], old: str, new: str, documents: tuple[str, ...] = ()) -> DataFrame:
+    """Every path or name that holds the old data set name as a whole segment, with its new form.
+
+    The tables named in documents hold JSON texts, which are patched at any depth. A text that is no valid JSON but holds the name
+    cannot be patched and stands with a null new_value.
+    """
     pattern = rf"(^|[/\\]){old}(?=$|[/\\])"
     out = None
     for name, (df, column) in tables.items():
-        got = df.where(F.col(column).rlike(pattern)).select(F.lit(name).alias("table_name"), F.col(column).alias("old_value"), F.regexp_replace(column, pattern, f"$1{new}").alias("new_value")).distinct()
+        value = F.col(column)
+        if name in documents:
+            named = df.where(value.contains(old)).select(value.alias("old_value")).distinct().withColumn("_p", patch_json(F.col("old_value"), old, new))
+            broken = F.try_parse_json("old_value").isNull() & F.col("old_value").rlike(rf'(^|["/\\]){old}($|["/\\])')
+            got = named.select(F.lit(name).alias("table_name"), "old_value", F.when(F.col("_p") != F.col("old_value"), F.col("_p")).alias("new_value"), broken.alias("_b")).where("new_value is not null or _b").drop("_b")
+        else:
+            got = df.where(value.rlike(pattern)).select(F.lit(name).alias("table_name"), value.alias("old_value"), F.regexp_replace(column, pattern, f"$1{new}").alias("new_value")).distinct()
         out = got if out is None else out.unionByName(got)
     return out
 
 
 def patch_json(column, old: str, new: str):
-    """Data set references renamed at any depth of a JSON text: whole string values and whole path segments."""
+    """Data set references renamed at any depth of a JSON text, in JSON texts inside it too: whole string values and whole path segments. Texts without one stay as they are."""
+    segment = re.compile(rf"(^|[/\\]){re.escape(old)}(?=$|[/\\])")
 
     def walk(v):
         if isinstance(v, dict):
             return {k: walk(x) for k, x in v.items()}
         if isinstance(v, list):
             return [walk(x) for x in v]
-        return "/".join(new if p == old else p for p in v.split("/")) if isinstance(v, str) else v
+        if isinstance(v, str) and old in v:
+            return text(v) if v.lstrip()[:1] in ("[", "{") else segment.sub(lambda m: m[1] + new, v)
+        return v
+
+    def text(t):
+        try:
+            was = json.loads(t)
+            now = walk(was)
+        except (ValueError, RecursionError):
+            return t
+        return t if now == was else json.dumps(now, ensure_ascii=False)
 
     @F.pandas_udf("string")
     def patch(texts):
-        def one(t):
-            try:
-                return json.dumps(walk(json.loads(t)), ensure_ascii=False) if t is not None else None
-            except ValueError:
-                return t
-
-        return texts.map(one)
+        return texts.map(lambda t: text(t) if t is not None and old in t else t)
 
     patch.__annotations__ = {}
     return patch(column)

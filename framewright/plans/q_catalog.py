@@ -160,9 +160,18 @@ def _(s, d):
     return C.refreshed(D.dataset_hashes(V.frames(s, d, "stem", "n_bytes")).drop("n"), table(s, d, "dataset_catalog"))
 
 
+# Where data sets are named besides runs.run_dir: names, paths and JSON documents.
+REFERENCES = {
+    "annotations": "dataset", "classes": "dataset", "cvat_boxes": "dataset", "dataset_catalog": "dataset catalog_entry", "documents": "dataset", "exports": "dataset", "images": "dataset source_ref", "label_files": "dataset label_path",
+    "label_lines": "dataset rel_label", "metric_files": "raw_path run_dir", "run_payloads": "run_dir payload", "runs": "dataset_name", "sample_targets": "dataset",
+}
+DOCUMENTS = ("dataset_catalog.catalog_entry", "run_payloads.payload")
+
+
 @query("rename_plan", "select distinct 'runs' as table_name, run_dir as old_value, replace(run_dir || '/', '/yard_north/', '/yard_south/')[:-2] as new_value from runs where ('/' || run_dir || '/') like '%/yard_north/%'")
 def _(s, d):
-    return C.rename_plan({"runs": (table(s, d, "runs"), "run_dir"), "catalog": (table(s, d, "dataset_catalog").where("dataset = '-'"), "dataset")}, "yard_north", "yard_south")
+    at = {f"{t}.{c}": (table(s, d, t), c) for t, columns in REFERENCES.items() for c in columns.split()}
+    return C.rename_plan({"runs": (table(s, d, "runs"), "run_dir")} | at, "yard_north", "yard_south", DOCUMENTS)
 
 
 LINEAGE = "steps as (select dataset as output, unnest(range(0, json_array_length(catalog_entry, '$.history')::bigint))::int as step, catalog_entry as e from dataset_catalog where json_valid(catalog_entry) and json_type(catalog_entry, '$.history') = 'ARRAY'), edges as (select output, step, command, json_extract_string(i, '$.name') as input, json_extract_string(i, '$.hash') as input_hash from (select output, step, json_extract_string(e, '$.history[' || step || '].command') as command, unnest(json_extract(e, '$.history[' || step || '].inputs')::json[]) as i from steps where json_type(e, '$.history[' || step || '].inputs') = 'ARRAY'))"
