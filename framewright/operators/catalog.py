@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,13 +152,13 @@ def lineage(catalog: DataFrame) -> DataFrame:
     return h.select(F.expr("substr(record_key, 33)").alias("output"), "step", "command", F.explode("inputs").alias("i")).select("output", "step", "command", F.col("i.name").alias("input"), F.col("i.hash").alias("input_hash"))
 
 
-def ancestors(edges: DataFrame, most: int = 20) -> DataFrame:
-    """All ancestors of each output with their least distance: frontier joins, each round only over what it newly found."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """All ancestors of each output with their least distance: frontier joins, each round only over what it newly found, until nothing is new."""
     from framewright.session import cut_lineage
 
     step = cut_lineage(edges.where("input is not null and output <> input").select("output", "input").distinct())
     known = frontier = step.withColumn("depth", F.lit(1))
-    for depth in range(2, most + 1):
+    for depth in count(2):
         reach = frontier.select("output", F.col("input").alias("mid")).join(step.select(F.col("output").alias("mid"), "input"), "mid").where("output <> input").select("output", "input").distinct()
         frontier = cut_lineage(reach.join(known, ["output", "input"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.limit(1).count() == 0:

@@ -115,6 +115,12 @@ def test_rename_plan_reaches_every_reference(spark):
     assert all(f"{t}.{c}" in {f"{n}.{x}" for n, cs in q_catalog.REFERENCES.items() for x in cs.split()} for t in q_catalog.REFERENCES for c in spark.read.parquet(f"{sf}/{t}.parquet").columns if c == "dataset")
 
 
+def test_ancestors_of_long_chains(spark):
+    edges = spark.createDataFrame([(f"v{i + 1}", f"v{i}") for i in range(25)] + [("v0", "v24")], "output string, input string")
+    got = {(r.output, r.ancestor): r.depth for r in catalog.ancestors(edges).collect()}
+    assert got["v25", "v0"] == 25 and got["v0", "v1"] == 24 and len(got) == 25 * 24 + 25
+
+
 def test_report_table_helpers(spark):
     df = spark.createDataFrame([(1, 1, None, "1"), (2, 2, None, "2")], "a int, b int, c int, d string")
     assert runs.without_empty_columns(df).columns == ["a", "b", "d"]
