@@ -24,13 +24,13 @@ def augmented_boxes(s: SparkSession, d: str) -> DataFrame:
 
 
 def donor_turns(s: SparkSession, d: str) -> DataFrame:
-    return A.donor_turns(A.donor_pool(V.geometries(s, d).where("split = 'train'"), 100)).where("turn < 3").select("cls_id", "turn", "image_id", "line_no")
+    return A.donor_turns(A.donor_pool(V.geometries(s, d).where("split = 'train'"), 100)).select("cls_id", "turn", "image_id", "line_no")
 
 
 def paste_positions(s: SparkSession, d: str) -> DataFrame:
-    g = V.geometries(s, d).where("split = 'val'").select("image_id", *[(F.col(c) * F.col(k)).alias(c) for c, k in (("x1", "width"), ("y1", "height"), ("x2", "width"), ("y2", "height"))])
-    f = V.frames(s, d, "split", "width", "height").where("split = 'val'").select("image_id", "width", "height")
-    return A.grid_positions(f, g, 200, 200, 160, 3)
+    g = V.geometries(s, d).where("split = 'train'").select("image_id", *[(F.col(c) * F.col(k)).alias(c) for c, k in (("x1", "width"), ("y1", "height"), ("x2", "width"), ("y2", "height"))])
+    f = V.frames(s, d, "split", "width", "height").where("split = 'train'").select("image_id", "width", "height")
+    return A.grid_positions(f, g, 200, 200, 160)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (flip_plan, augmented_boxes, donor_turns, paste_positions)}

@@ -40,3 +40,16 @@ def test_grid_positions_avoid_boxes(spark):
 def test_noise_parameters(spark):
     r = spark.range(1).select(A.noise_parameters("impulse", F.lit(2.0)).alias("p")).first().p
     assert abs(r.share - 0.15) < 1e-9
+
+
+def test_donors_and_places_are_whole(spark, sf):
+    import __spark_entry__
+    from framewright.plans import views as V
+
+    q = __spark_entry__.queries()
+    pool = A.donor_pool(V.geometries(spark, sf).where("split = 'train'"), 100)
+    turns = q["donor_turns"](spark, sf).collect()
+    assert len(turns) == pool.count() and max(r.turn for r in turns) > 2
+    places = q["paste_positions"](spark, sf).collect()
+    train = {r.image_id for r in V.frames(spark, sf, "split").where("split = 'train'").select("image_id").collect()}
+    assert {r.image_id for r in places} <= train and len({r.image_id for r in places}) > 0.9 * len(train) and max(r.rank for r in places) == 9
