@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.dedup import leaders
 from framewright.operators.ordered import numbered
 from framewright.operators.schema_match import canonical_name, match_fields
 from framewright.session import cut_lineage
@@ -101,7 +102,7 @@ def walk_block(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         come = [n for n in fields if n not in state]
         renamed = {new: old for old, new in match_fields(*(tuple(sorted((n, s) for n, s in x)) for x in ([(n, state[n][1] if state[n][0] == "type" else None) for n in gone], [(n, fields[n]) for n in come])))} if gone and come else {}
         out += [(row.raw_path, "removed", n, None, None) for n in gone if n not in renamed.values()]
-        out += [(row.raw_path, "renamed" if n in renamed else "added", n, None, None) for n in come]
+        out += [(row.raw_path, "renamed" if n in renamed else "added", n, renamed.get(n), None) for n in come]
         new: dict[str, tuple[str, str | None]] = {}
         for n, t in fields.items():
             kept = state.get(renamed.get(n, n)) if n in state or n in renamed else ("type", None)
@@ -131,29 +132,47 @@ def settle(b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["raw_path", "change", "field"])
 
 
-def changes(files: DataFrame) -> DataFrame:
-    """raw_path, change (added, removed, renamed, retyped), field: every difference of a file to the one before it in its series."""
+def walked_blocks(parsed: DataFrame) -> DataFrame:
+    """The rows of walk_block over all series of parsed files; a renamed row has the field's old name as its origin."""
     # Written once: ordering samples its input first, and would parse every file twice.
     types = F.expr("transform(fields, f -> named_struct('name', f.name, 'type', f.type))")
-    parsed = cut_lineage(parsed_files(files).where("fields is not null").select("raw_path", *SERIES, "written_at", types.alias("fields")))
+    parsed = cut_lineage(parsed.where("fields is not null").select("raw_path", *SERIES, "written_at", types.alias("fields")))
     placed = numbered(parsed, SERIES, ["written_at", "raw_path"])
     block = F.floor(F.col("pos") / BLOCK)
     # The last file of a block is also the context of the next one.
     placed = placed.withColumn("block", F.explode(F.when(F.col("pos") % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))))
     walked = placed.select(*SERIES, "block", "pos", "raw_path", "fields").groupBy(*SERIES, "block").applyInPandas(walk_block, "producer string, namespace string, block long, raw_path string, kind string, field string, origin string, type string")
-    walked = cut_lineage(walked)
+    return cut_lineage(walked)
+
+
+def changes(files: DataFrame) -> DataFrame:
+    """raw_path, change (added, removed, renamed, retyped), field: every difference of a file to the one before it in its series."""
+    walked = walked_blocks(parsed_files(files))
     inner = walked.where("kind not in ('pend', 'end')").select("raw_path", F.col("kind").alias("change"), "field")
     across = walked.where("kind in ('pend', 'end')").groupBy(*SERIES).applyInPandas(settle, "raw_path string, change string, field string")
     return inner.unionByName(across).distinct()
 
 
+def metric_names(fields: DataFrame, renames: DataFrame) -> DataFrame:
+    """field, metric: one metric for all fields (field) that renames (origin, field) or an equal canonical name link, named by the shortest canonical name among them."""
+    canonical = F.udf(canonical_name, "string", useArrow=False)
+    named = cut_lineage(fields.select("field").distinct().withColumn("canonical", canonical("field")))
+    of = lambda c: named.select(F.col("field").alias(c), F.col("canonical").alias(f"{c}_canonical"))
+    linked = renames.join(of("origin"), "origin").join(of("field"), "field").where("origin_canonical <> field_canonical").select(F.lit("").alias("dataset"), F.col("origin_canonical").alias("ahash"), F.col("field_canonical").alias("other")).distinct()
+    led = leaders(linked).select(F.col("ahash").alias("canonical"), "leader")
+    led = led.join(led.groupBy("leader").agg(F.min(F.struct(F.length("canonical"), "canonical")).alias("m")), "leader").select("canonical", F.col("m.canonical").alias("metric"))
+    return named.join(led, "canonical", "left").select("field", F.coalesce("metric", "canonical").alias("metric"))
+
+
 def consistent_table(files: DataFrame) -> DataFrame:
     """All files in one table: raw_path, producer, namespace, written_at, metric (one name for all its spellings), field, type, number, text.
 
+    The renames that the walk selects are carried through every series, so a metric keeps its name along a chain of spellings.
     A value is cast to number where it reads as one; any other value stays in text. Nulls stay as rows with neither.
     """
-    name = F.udf(canonical_name, "string", useArrow=False)
-    long = parsed_files(files).select("raw_path", *SERIES, "written_at", F.explode("fields").alias("f")).select("raw_path", *SERIES, "written_at", F.col("f.name").alias("field"), F.col("f.type").alias("type"), F.col("f.value").alias("value"))
-    names = long.select("field").distinct().withColumn("metric", name("field"))
+    parsed = cut_lineage(parsed_files(files))
+    renames = walked_blocks(parsed).where("kind = 'renamed'").select("origin", "field").distinct()
+    long = parsed.select("raw_path", *SERIES, "written_at", F.explode("fields").alias("f")).select("raw_path", *SERIES, "written_at", F.col("f.name").alias("field"), F.col("f.type").alias("type"), F.col("f.value").alias("value"))
+    names = metric_names(long, renames)
     number = F.expr("try_cast(value as double)")
     return long.join(names, "field").select("raw_path", *SERIES, "written_at", "metric", "field", "type", F.when(F.col("type") == "number", number).alias("number"), F.when(F.coalesce(F.col("type"), F.lit("number")) != "number", F.col("value")).alias("text"))

@@ -74,6 +74,14 @@ def test_drift_edge_cases(spark):
     assert drift.consistent_table(f).where("metric = 'x' and number is not null").count() == 2
 
 
+def test_consistent_table_follows_renames(spark):
+    rows = files(spark, [("a.json", '{"grad_norm_clip": 1, "mAP50": 2}'), ("b.json", '{"grad_norm": 3, "mAP50": 4}'), ("c.json", '{"Grad_Norm": 5, "mAP50-95": 6}')])
+    rows = rows.unionByName(files(spark, [("d.json", '{"grad_norm_clip": 7}')], "s2"))
+    got = {(r.raw_path, r.field): r.metric for r in drift.consistent_table(rows).collect()}
+    assert {m for (_, f), m in got.items() if f.lower().startswith("g")} == {"grad_norm"} and len(got) == 7
+    assert got["a.json", "mAP50"] == got["b.json", "mAP50"] != got["c.json", "mAP50-95"]
+
+
 def test_flooding_keeps_different_metrics_apart():
     assert name_affinity("mAP50", "mAP50-95") == 0
     n = "number"
