@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.operators import compaction, dewey, drift, quarantine
-from framewright.session import table
+from framewright.session import cut_lineage, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +39,11 @@ def p4_consolidated(spark: SparkSession, d: str) -> DataFrame:
     return compaction.consolidated(table(spark, d, "label_files")).select("dataset", "split", "part_no", "n_files", "n_records", "n_bytes", F.md5("content").alias("content_md5"))
 
 
+def p4_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "label_files")
+    return compaction.reconcile(files, cut_lineage(compaction.consolidated(files)))
+
+
 def p4_parts(spark: SparkSession, d: str) -> DataFrame:
     return compaction.export_parts(table(spark, d, "label_files"), table(spark, d, "exports"))
 
@@ -58,9 +63,13 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
     return dewey.table_profile(flat)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_valid, p3_report, p4_found, p4_consolidated, p4_parts, p6_found, p6_per_class, p6_tables)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_valid, p3_report, p4_found, p4_consolidated, p4_reconcile, p4_parts, p6_found, p6_per_class, p6_tables)}
 FILES = r"""(select *, lower(regexp_extract(p, '(?i)(?:^|/)(cam\d+)/', 1)) as cam, lower(trim(regexp_replace(regexp_replace(regexp_extract(p, '([^/]*)$', 1), '(?i)\.txt\s*$', ''), '(?i)(\s*\(\d+\)|[-_ ]+copy\d*)+$', ''))) as stem
   from (select *, replace(replace(url_decode(replace(label_path, '+', '%2B')), chr(92), '/'), '//', '/') as p from label_files))"""
+SPLIT = "case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation') then 'val' when lower(trim(split)) in ('test', 'testing') then 'test' else split end"
+KEPT = rf"""kept as (select arg_max(file_id, (delivered_at, file_id)) as file_id from {FILES} where strlen(content) = n_bytes group by dataset, {SPLIT}, cam, stem),
+one as (select distinct f.file_id, f.dataset, {SPLIT} as split, cam, stem, content, '# ' || cam || '/' || stem || chr(10) || case when content = '' or right(content, 1) = chr(10) then content else content || chr(10) end as txt, len(list_filter(string_split_regex(content, '\r\n|\n|\r'), lambda x: trim(x) <> '' and left(ltrim(x), 1) <> '#')) as n from kept join {FILES} f using (file_id)),
+placed as (select *, floor((sum(strlen(content) + 1) over (partition by dataset, split order by cam, stem, file_id) - strlen(content) - 1) / 8388608) as part from one)"""
 NUM = r"'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$'"
 LINES = rf"""lines as (select line_id, dataset, split, fmt, regexp_replace(raw, '^\s+|\s+$', '', 'g') as t from label_lines where raw is not null),
 cells as (select line_id, dataset, split, fmt, fmt = 'csv' and not regexp_full_match(t, '([^",]*|"([^"]|"")*")(,([^",]*|"([^"]|"")*"))*') as bad_quotes, case when fmt = 'csv' then string_split(regexp_replace(t, '"([^"]|"")*"', 'q', 'g'), ',') else string_split_regex(t, '\s+') end as c from lines where t <> '' and t[1] <> '#'),
@@ -73,5 +82,7 @@ ORACLES: dict[str, str] = {
     "p3_found": f"with {LINES} select distinct line_id, reason from judged where reason is not null",
     "p3_report": f"with {LINES}, once as (select line_id, max((dataset, split, coalesce(reason, ''))) as r, any_value(dataset) as dataset, any_value(split) as split, any_value(coalesce(reason, '')) as reason from judged group by 1) select dataset, split, count(*) filter (reason = '') as valid_lines, count(*) filter (reason not in ('', 'class_id')) as broken_label_lines, count(*) filter (reason = 'class_id') as unknown_class_ids from once group by 1, 2",
     "p4_parts": f"with kept as (select arg_max(file_id, (delivered_at, file_id)) as file_id from {FILES} where strlen(content) = n_bytes group by dataset, split, cam, stem), placed as (select k.file_id, f.export_id, f.dataset, f.split, floor((sum(strlen(content) + 1) over (partition by f.dataset, f.split order by cam, stem, f.file_id) - strlen(content) - 1) / 8388608) as part from kept k join {FILES} f using (file_id)), per as (select export_id, count(*) as n, count(distinct (dataset, split, part)) as p from placed group by 1) select e.export_id, e.dataset, parts_count as stated_parts_count, case when export_files_per_dir > 0 then ceil(images_exported / export_files_per_dir)::bigint end as expected_parts_count, coalesce(n, 0) as kept_files, coalesce(p, 0) as new_parts_count from exports e left join per using (export_id)",
+    "p4_consolidated": f"with {KEPT} select dataset, split, part::bigint as part_no, count(*) as n_files, sum(n)::bigint as n_records, sum(strlen(txt))::bigint as n_bytes, md5(string_agg(txt, '' order by cam, stem, file_id)) as content_md5 from placed group by 1, 2, 3",
+    "p4_reconcile": f"with {KEPT} select dataset, split, count(*) as files_wanted, count(*) as files_written, 0::bigint as files_lost, 0::bigint as files_repeated, sum(n)::bigint as records_wanted, sum(n)::bigint as records_written, count(distinct part) as parts_count, true as whole from placed group by 1, 2",
     "p4_found": f"select distinct file_id from label_files where file_id not in (select arg_max(file_id, (delivered_at, file_id)) from {FILES} where strlen(content) = n_bytes group by dataset, split, cam, stem)",
 }

@@ -149,6 +149,24 @@ def test_consolidation_loses_and_repeats_nothing(spark, sf, tmp_path):
     assert max(sizes) < 6000
 
 
+def test_repeated_rows_and_comments_are_not_multiplied(spark, tmp_path):
+    text = "# cam1/own remark\n1 0.5 0.5 0.1 0.1\n"
+    row = (1, 1, "d", "train", "d/p/train/labels/cam1/a.txt", len(text), text, at(0), "q", "q", 1)
+    rows = [row, row, row] + [(2, 1, None, None, "x/cam2/b.txt", 4, "1 2\n", at(0), "q", "q", 1)] * 2 + [(3, 1, "d", None, None, 0, "", at(0), "q", "q", 1), (None, 1, "d", "train", "d/cam9/z.txt", 1, "a", at(0), "q", "q", 1)]
+    rows += [(4, 1, "d", "val", "d/cam1/c.txt", 2, "ab", at(1), "q", "q", 1), (4, 1, "d", "val", "d/cam1/c.txt", 3, "abc", at(2), "q", "q", 1), (1, 1, "d", "val", "d/cam1/other.txt", 2, "xy", at(0), "q", "q", 1)]
+    df = spark.createDataFrame(rows, LABELS)
+    got = {(r.dataset, r.split): (r.n_files, r.n_records, r.file_ids) for r in compaction.consolidated(df).collect()}
+    assert got == {("d", "train"): (1, 1, [1]), (None, None): (1, 1, [2]), ("d", None): (1, 0, [3]), ("d", "val"): (2, 2, [4, 1])}
+    report = compaction.write_consolidated(df, str(tmp_path / "out")).collect()
+    assert len(report) == 4 and all(r.whole and r.files_lost == r.files_repeated == 0 for r in report)
+    assert compaction.superseded_files(df).count() == 0
+    short = compaction.reconcile(df, compaction.consolidated(df).where("dataset is not null")).where("not whole").collect()
+    assert [(r.dataset, r.files_lost, r.records_wanted, r.records_written) for r in short] == [(None, 1, 1, 0)]
+    empty = df.limit(0)
+    assert compaction.consolidated(empty).count() == 0 and compaction.reconcile(empty, compaction.consolidated(empty)).count() == 0
+    assert [r.kept_files for r in compaction.export_parts(df, spark.createDataFrame([(1, "d", 10, 1, 3)], "export_id long, dataset string, export_files_per_dir int, parts_count int, images_exported int")).collect()] == [5]
+
+
 def test_dewey_links(spark):
     payload = {"runs": {"test_metrics": json.dumps([{"per_class": [None, {"thresholds": []}, {"thresholds": {"iou": 1}}]}, None])}, "models": [{}, {"provenance": {"inputs": [{"a": 1}]}}], "other": [{"metrics": [{"x": 1}]}]}
     rows = [("a", json.dumps(payload), "z"), ("a", json.dumps(payload), "z"), ("b", '{"runs": [', "z"), ("c", None, "z"), (None, "{}", "z"), ("d", '{"runs": NaN}', "z"), ("e", "[" * 30000, "z"), ("f", "", "z")]
