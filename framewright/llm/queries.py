@@ -78,7 +78,23 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_class_map, p5_unmatched, p7_found, p7_sample, p7_report, p8_packed, p8_fill, p9_found, p9_report, p10_found, p10_scores, p10_rates)}
 FRAMES = """(select distinct dataset, image_id, lower(content_hash) h, ahash, case when lower(trim(split)) in ('train', 'training') then 't' when lower(trim(split)) in ('val', 'valid', 'validation', 'test', 'testing') then 'e' end side from images where dataset is not null and image_id is not null)"""
 LINES = """(select image_id, line_no, arg_max(dataset, loaded_at) dataset, arg_max(case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation') then 'val' when lower(trim(split)) in ('test', 'testing') then 'test' end, loaded_at) split, arg_max(cls_id, loaded_at) cls_id from annotations group by 1, 2)"""
+HEX = "('0x' || substr(md5(concat_ws(':', {})), 1, 15))::bigint"
+DRAW = f"""with lines as (select *, {HEX.format("image_id, line_no::varchar, '17'")} as r from {LINES} where dataset is not null and split is not null and cls_id is not null and image_id is not null and line_no is not null),
+rk as (select *, row_number() over (partition by dataset, split, cls_id order by r, image_id, line_no) - 1 as pos from lines),
+st as (select dataset, split, cls_id, count(*) as available from rk group by all),
+tg as (select plan_id, dataset, case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation') then 'val' when lower(trim(split)) in ('test', 'testing') then 'test' end as split, cls_id, max(coalesce(target_pct, 0)::bigint * coalesce(sample_size, 0)) as quota, max(coalesce(min_items, 0)::bigint) as low, max(coalesce(sample_size, 0)::bigint) as size from sample_targets where plan_id is not null group by 1, 2, 3, 4),
+q1 as (select t.*, greatest(low, (quota + 99) // 100) as need, coalesce(available, 0) as available, least(quota, 100 * coalesce(available, 0)) as n, {HEX.format("plan_id::varchar, '17'")} % 100 as u from tg t left join st using (dataset, split, cls_id)),
+q2 as (select *, coalesce(sum(n) over (partition by plan_id order by dataset nulls first, split nulls first, cls_id nulls first rows between unbounded preceding and 1 preceding), 0)::bigint as start from q1),
+q3 as (select *, floor((start - u) / 100.0)::bigint + 1 as m0, floor((start + n - u) / 100.0)::bigint - floor((start - u) / 100.0)::bigint as k, least(low, available) as fl from q2),
+q4 as (select *, greatest(fl - k, 0) as up, case when available < need then 0 else greatest(k - low, 0) end as room, greatest(least(need, available) - k - greatest(fl - k, 0), 0) as lack from q3),
+q5 as (select *, (sum(k) over p + sum(up) over p - max(size) over p) as over_, sum(room) over p as rooms, sum(lack) over p as lacks from q4 window p as (partition by plan_id)),
+q6 as (select *, case when over_ > 0 then room else lack end as part, case when over_ > 0 then least(over_, rooms) else least(-over_, lacks) end::hugeint as move, greatest(case when over_ > 0 then rooms else lacks end, 1) as whole from q5),
+q7 as (select *, sum(part) over (partition by plan_id order by dataset nulls first, split nulls first, cls_id nulls first) as upto from q6),
+q8 as (select *, (k + up + (move * upto // whole - move * (upto - part) // whole) * case when over_ > 0 then -1 else 1 end)::bigint as draw from q7)"""
 ORACLES: dict[str, str] = {
+    "p7_report": f"{DRAW} select plan_id, dataset, split, cls_id, need, available, draw as drawn, available < need as short from q8",
+    "p7_sample": f"""{DRAW}, each as (select *, unnest(range(draw)) as j from q8 where draw > 0), picks as (select *, case when draw = k then (((m0 + j) * 100 + u - start)::hugeint * available - 1) // n else (j * 100 + u)::hugeint * available // (draw * 100) end as pos from each)
+select a.plan_id, a.dataset, a.split, a.cls_id, r.image_id, r.line_no from picks a join rk r on r.dataset = a.dataset and r.split = a.split and r.cls_id = a.cls_id and r.pos = a.pos""",
     "p2_found": f"""select distinct least(a.image_id, b.image_id) image_a, greatest(a.image_id, b.image_id) image_b from {FRAMES} a join {FRAMES} b on a.dataset = b.dataset and a.side = 't' and b.side = 'e' and a.image_id <> b.image_id and (a.h = b.h or bit_count(xor(a.ahash, b.ahash)) <= 5)""",
     "p7_found": f"""select distinct plan_id, cls_id from (select t.plan_id, t.cls_id, greatest(t.min_items, ceil(t.target_pct * t.sample_size / 100.0)) need, count(l.image_id) have from sample_targets t left join {LINES} l on l.dataset = t.dataset and l.cls_id = t.cls_id and l.split = t.split group by all) where have < need""",
 }

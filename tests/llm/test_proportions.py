@@ -35,6 +35,24 @@ def test_sample_meets_targets_and_floors(spark):
     assert rep[4, 1].need == math.ceil(33 * 7 / 100)
 
 
+def test_floors_are_repaired_inside_the_sample(spark):
+    t = dt.datetime(2025, 1, 1)
+    lines = [("d", "train", f"i{c}_{i}", 1, c, t, 1, "x") for c, n in ((0, 900), (1, 700), (2, 60), (3, 40), (4, 5)) for i in range(n)]
+    plans = []
+    for p, size in ((1, 100), (2, 137), (3, 1000), (4, 30)):
+        plans += [(p, "d", "train", size, c, pct, least, 1) for c, pct, least in ((0, 53, 0), (1, 31, 10), (2, 13, 25), (3, 3, 12))]
+    plans += [(5, "d", "train", 200, 0, 50, 0, 1), (5, "d", "train", 200, 4, 50, 10, 1)]
+    sample, report = proportions.draw(spark.createDataFrame(lines, LINES), spark.createDataFrame(plans, PLANS))
+    got = {}
+    for r in report.collect():
+        got.setdefault(r.plan_id, {})[r.cls_id] = r.drawn
+    assert {p: sum(x.values()) for p, x in got.items()} == {1: 100, 2: 137, 3: 930, 4: 47, 5: 105}
+    assert got[1][2] == 25 and got[1][3] == 12 and got[2][2] == 25 and got[2][3] == 12 and got[4] == {0: 0, 1: 10, 2: 25, 3: 12}
+    assert got[3] == {0: 530, 1: 310, 2: 60, 3: 30}
+    assert {(r.plan_id, r.cls_id) for r in report.where("short").collect()} == {(3, 2), (5, 4)}
+    assert sample.distinct().count() == sum(sum(x.values()) for x in got.values())
+
+
 def test_every_line_is_equally_likely(spark):
     t = dt.datetime(2025, 1, 1)
     lines = spark.createDataFrame([("d", "train", f"i{i}", 1, i % 2, t, 1, "x") for i in range(40)], LINES)
