@@ -2,12 +2,13 @@
 
 import datetime as dt
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import compaction, dewey, drift, quarantine
-from framewright.operators.schema_match import match_fields, name_affinity
+from framewright.operators.schema_match import Field, match_fields, name_similarity, words_of
 
 FILES = "raw_path string, run_dir string, namespace string, producer string, written_at timestamp_ntz, ingested_at timestamp_ntz, body string, pos int, block int, fields string"
 
@@ -21,14 +22,26 @@ def files(spark, bodies, producer="s1"):
     return spark.createDataFrame(rows, FILES)
 
 
-def walk(rows):
+def shared(files):
+    """word -> the most fields of one file that bear it, over all files."""
+    most = Counter()
+    for path, body in files:
+        n = Counter(w for f in drift.parse_file(path, body) or () for w in words_of(f[0]))
+        most |= Counter({w: k for w, k in n.items() if k > 1})
+    return most
+
+
+def walk(rows, most=None):
     """Changes by one sequential pass."""
-    out, state = set(), None
+    most = shared(rows) if most is None else most
+    field = lambda n, t, x: Field(n, t, x, tuple(sorted((w, most[w]) for w in words_of(n) if w in most)))
+    out, state, shape = set(), None, {}
     for path, body in rows:
-        cur = {n: t for n, t, _ in drift.parse_file(path, body)}
+        found = drift.parse_file(path, body)
+        cur, now = {n: t for n, t, _, _ in found}, {n: x for n, _, _, x in found}
         if state is not None:
             gone, come = [n for n in state if n not in cur], [n for n in cur if n not in state]
-            ren = {b: a for a, b in match_fields(tuple(sorted((n, state[n]) for n in gone)), tuple(sorted((n, cur[n]) for n in come)))} if gone and come else {}
+            ren = {b: a for a, b in match_fields(tuple(sorted(field(n, state[n], shape[n]) for n in gone)), tuple(sorted(field(n, cur[n], now[n]) for n in come)))} if gone and come else {}
             out |= {(path, "removed", n) for n in gone if n not in ren.values()} | {(path, "renamed" if n in ren else "added", n) for n in come}
             new = {}
             for n, t in cur.items():
@@ -39,15 +52,17 @@ def walk(rows):
             state = new
         else:
             state = cur
+        shape = now
     return out
 
 
 def test_drift_equals_a_sequential_pass(spark, sf, monkeypatch):
     m = spark.read.parquet(f"{sf}/metric_files.parquet")
-    series = {}
+    series, every = {}, []
     for r in m.dropDuplicates(["raw_path"]).collect():
         series.setdefault((r.producer, r.namespace), []).append((r.written_at, r.raw_path, r.body))
-    want = set().union(*(walk([(p, b) for _, p, b in sorted(s)]) for s in series.values()))
+        every.append((r.raw_path, r.body))
+    want = set().union(*(walk([(p, b) for _, p, b in sorted(s)], shared(every)) for s in series.values()))
     assert {tuple(r) for r in drift.changes(m).collect()} == want and want
 
 
@@ -83,11 +98,28 @@ def test_consistent_table_follows_renames(spark):
 
 
 def test_flooding_keeps_different_metrics_apart():
-    assert name_affinity("mAP50", "mAP50-95") == 0
+    assert name_similarity(Field("mAP50"), Field("mAP50-95")) == 0
     n = "number"
     assert set(match_fields((("gpu_mem", n), ("map_50_95", n)), (("GPU_mem", n),))) == {("gpu_mem", "GPU_mem")}
     assert match_fields((("params", n),), (("nImages", n),)) == ()
     assert set(match_fields((("lr", n), ("loss_box", n)), (("train/box_loss", n), ("learning_rate", n)))) == {("lr", "learning_rate"), ("loss_box", "train/box_loss")}
+    fans = (("loss", 2), ("train", 3))
+    assert match_fields((Field("train/box_loss", n, None, fans),), (Field("train/cls_loss", n, None, fans),)) == ()
+    assert match_fields((("velocity", n),), (("speed", n),)) == ()  # neither names nor structure say so
+
+
+def test_flooding_decides_by_structure():
+    shape = lambda v: json.dumps(drift.skeleton(v), sort_keys=True)
+    box = shape({"x": 1, "y": 2, "label": "a", "sub": {"p": [1, 2], "q": True}})
+    same = match_fields((Field("alpha", "object", box), Field("beta", "object", shape({"k": 1}))), (Field("omega", "object", box), Field("gamma", "object", shape({"z": "t"}))))
+    assert same == (("alpha", "omega"),)
+    # Children whose names are spelled otherwise still carry the score to a parent that shares no word.
+    near = match_fields((Field("alpha", "object", shape({"learning_rate": 1, "batchSize": 2, "momentum": 3})),), (Field("omega", "object", shape({"lr": 1, "batch_size": 2, "Momentum": 3})),))
+    assert near == (("alpha", "omega"),)
+    lists = match_fields((Field("rows", "list", shape([{"a": 1, "b": "x"}, {"a": 2}])),), (Field("items", "list", shape([{"a": 1, "b": "y"}])),))
+    assert lists == (("rows", "items"),)
+    # The same name over another structure is not enough where the structure speaks against it.
+    assert match_fields((Field("opt_cfg", "object", shape({"a": 1, "b": 2, "c": 3})),), (Field("opt_log", "object", shape({"u": "", "v": "", "w": ""})),)) == ()
 
 
 @pytest.mark.parametrize(
