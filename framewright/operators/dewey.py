@@ -1,12 +1,13 @@
 """Deeply nested records as related flat tables, by Dewey labels.
 
-Every node of a record gets an ordinal path from the root (0.2.1 ...), so its parent is the path without its last part and its
-table is its schema path (the path without positions). One pass over the text, no shuffle: the flat tables are filters on it.
+Every node of a record gets an ordinal path from the root (0.2.1 ...). Both links of a row are derived by truncating its label until
+a row above is met, and its table is its schema path (the path without positions). One pass over the text, no shuffle: the flat
+tables are filters on it.
 Every object is a row with its own scalars as fields (the record itself too, with schema path ''), and so is every scalar in a list
 (field "value"), so each leaf value of a record stands in exactly one row. kind says what a row is: root, element (an object in a
 named list), object (any other) or value. parent_dewey is the row above of any kind, parent_path the nearest element of a named list.
 
-Defined results: text that is not valid JSON, or null, gives no rows; repeated rows of a record count once; null elements keep
+Defined results: text that is not valid JSON (or nested deeper than the JSON reader follows), or null, gives no rows; repeated rows of a record count once; null elements keep
 their position and give no row, null fields give no entry; a named list given as JSON text is read and is no field of its parent;
 empty input gives empty output; extra columns are ignored.
 """
@@ -44,36 +45,48 @@ def as_text(value: Any) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def above(label: str, rows: dict[str, tuple[str, str]], kind: str | None = None) -> str:
+    """The nearest row above a label, of a kind if one is given: the label truncated until one is there; '' if none."""
+    while (cut := label.rfind(".")) >= 0:
+        label = label[:cut]
+        if label in rows and kind in (None, rows[label][0]):
+            return label
+    return ""
+
+
 def nodes(key: str, text: str, lists: frozenset[str]) -> Iterator[tuple]:
     """One tuple per object and per scalar in a list, in document order, without recursion."""
     try:
         root = json.loads(text, parse_constant=no_constant)
     except (ValueError, RecursionError):
         return
-    # path, dewey label, label of the row above, path of the nearest list element above, schema path, name of the list, kind, value
-    stack: list[tuple[str, str, str, str, str, str, str, Any]] = [("", "0", "", "", "", "", "root", root)]
+    # path, dewey label, schema path, name of the list, kind, value
+    stack: list[tuple[str, str, str, str, str, Any]] = [("", "0", "", "", "root", root)]
+    rows: dict[str, tuple[str, str]] = {}  # label -> kind and path of the rows so far, by which links are derived
     while stack:
-        path, label, above, up, schema, name, kind, value = stack.pop()
-        below: list[tuple[str, str, str, str, str, str, str, Any]] = []
+        path, label, schema, name, kind, value = stack.pop()
+        below: list[tuple[str, str, str, str, str, Any]] = []
+        fields: dict[str, str] | None = None
         if isinstance(value, dict):
-            fields, inner = {}, path if kind == "element" else up
+            fields = {}
             for i, (k, v) in enumerate(value.items()):
                 v = as_list(v) if k in lists else v
                 if isinstance(v, dict | list):
-                    below.append((f"{path}.{k}" if path else k, f"{label}.{i}", label, inner, f"{schema}.{k}" if schema else k, k if k in lists else "", "object", v))
+                    below.append((f"{path}.{k}" if path else k, f"{label}.{i}", f"{schema}.{k}" if schema else k, k if k in lists else "", "object", v))
                 elif v is not None:
                     fields[k] = as_text(v)
-            yield key, label, above, schema, name, path, up, fields, kind
         elif isinstance(value, list):
-            if kind == "root":
-                yield key, label, above, schema, name, path, up, {}, kind
-                above = label
+            fields = {} if kind == "root" else None
             for j, x in enumerate(value):
                 if x is not None:
                     what = "value" if not isinstance(x, dict | list) else "element" if name and isinstance(x, dict) else "object"
-                    below.append((f"{path}[{j}]", f"{label}.{j}", above, up, schema, "" if isinstance(x, list) else name, what, x))
+                    below.append((f"{path}[{j}]", f"{label}.{j}", schema, "" if isinstance(x, list) else name, what, x))
         elif value is not None:
-            yield key, label, above, schema, name, path, up, {"value": as_text(value)}, kind
+            fields = {"value": as_text(value)}
+        if fields is not None:
+            element = above(label, rows, "element")
+            yield key, label, above(label, rows), schema, name, path, rows[element][1] if element else "", fields, kind
+            rows[label] = kind, path
         stack += reversed(below)
 
 

@@ -78,7 +78,26 @@ judged as (select *, case when bad_quotes then 'quoting' when bad_count then 'co
   when not regexp_full_match(trim(g[1]), '[+-]?[0-9]+') or len(list_filter(g[2:], lambda x: not regexp_matches(trim(x), {NUM}) or coalesce(isinf(try_cast(trim(x) as double)), true))) > 0 then 'number'
   when len(list_filter(g[2:], lambda x: try_cast(trim(x) as double) < 0 or try_cast(trim(x) as double) > 1)) > 0 or (len(g) = 5 and (try_cast(trim(g[4]) as double) <= 0 or try_cast(trim(g[5]) as double) <= 0)) then 'range'
   when not exists (select 1 from classes k where k.dataset = parts.dataset and k.cls_id = try_cast(replace(trim(g[1]), '+', '') as bigint)) then 'class_id' end as reason from parts)"""
+JSON_LISTS = "('artifacts', 'models', 'runs', 'metrics', 'predictions', 'test_metrics', 'per_class', 'thresholds', 'history', 'inputs', 'regions')"
+AS_TEXT = "json_type(c0) = 'VARCHAR' and left(ltrim(c0 ->> '$'), 1) in ('[', '{') and json_valid(c0 ->> '$')"
+# All nodes of all records: kind is root, element, object, value (a row each, but for lists) or field (a scalar of the object at above).
+NODES = f"""with recursive src as (select k, max(t) as t from (select payload_id as k, payload as t from run_payloads union all select dataset, catalog_entry from dataset_catalog) where k is not null and t is not null group by 1),
+node as (select k, '' as path, '0' as label, '' as above, '' as up, '' as schema, '' as name, 'root' as kind, t::json as j from src where json_valid(t) and json_type(t) <> 'NULL'
+ union all
+ select k, case when jk is null then path || '[' || i || ']' when path = '' then jk else path || '.' || jk end, label || '.' || i, case when json_type(j) = 'OBJECT' or kind = 'root' then label else above end, case when kind = 'element' then path else up end,
+  case when jk is null then schema when schema = '' then jk else schema || '.' || jk end,
+  case when jk is not null then case when jk in {JSON_LISTS} then jk else '' end when json_type(c) = 'ARRAY' then '' else name end,
+  case when jk is not null then case when json_type(c) in ('OBJECT', 'ARRAY') then 'object' else 'field' end when json_type(c) not in ('OBJECT', 'ARRAY') then 'value' when name <> '' and json_type(c) = 'OBJECT' then 'element' else 'object' end, c
+ from (select *, case when jk not in {JSON_LISTS} or jk is null then c0 when {AS_TEXT} then case when json_type((c0 ->> '$')::json) = 'OBJECT' then json_array((c0 ->> '$')::json) else (c0 ->> '$')::json end when json_type(c0) = 'OBJECT' then json_array(c0) else c0 end as c
+  from (select k, path, label, above, up, schema, name, kind, j, jk, i, json_extract(j, '/' || replace(replace(jk, '~', '~0'), '/', '~1')) as c0 from (select *, unnest(json_keys(j)) as jk, unnest(range(len(json_keys(j)))) as i from node where json_type(j) = 'OBJECT')
+   union all select k, path, label, above, up, schema, name, kind, j, null, i, json_extract(j, '$[' || i || ']') from (select *, unnest(range(json_array_length(j)::bigint)) as i from node where json_type(j) = 'ARRAY')))
+ where json_type(c) <> 'NULL'),
+held as (select k, above, count(*) as n from node where kind = 'field' group by 1, 2),
+flat as (select n.*, case when json_type(j) not in ('OBJECT', 'ARRAY') then 1 else coalesce(h.n, 0) end as n_fields from node n left join held h on h.k = n.k and h.above = n.label and json_type(j) = 'OBJECT' where kind <> 'field' and (json_type(j) <> 'ARRAY' or kind = 'root'))"""
 ORACLES: dict[str, str] = {
+    "p6_found": f"{NODES} select distinct k as record_key, up as parent_path, path as child_path from flat where kind = 'element'",
+    "p6_tables": f"{NODES} select schema as schema_path, count(*) as n_rows, count(distinct k) as n_records, count(*) filter (up = '') as n_roots, sum(n_fields)::bigint as n_values from flat group by 1",
+    "p6_per_class": f"{NODES} select k as record_key, label as dewey, above as parent_dewey, up as parent_path, path as child_path, j ->> '$.class' as class, try_cast(j ->> '$.ap50' as double) as ap50, try_cast(j ->> '$.support' as bigint) as support from flat where schema = 'runs.test_metrics.per_class' and k in (select payload_id from run_payloads)",
     "p3_found": f"with {LINES} select distinct line_id, reason from judged where reason is not null",
     "p3_report": f"with {LINES}, once as (select line_id, max((dataset, split, coalesce(reason, ''))) as r, any_value(dataset) as dataset, any_value(split) as split, any_value(coalesce(reason, '')) as reason from judged group by 1) select dataset, split, count(*) filter (reason = '') as valid_lines, count(*) filter (reason not in ('', 'class_id')) as broken_label_lines, count(*) filter (reason = 'class_id') as unknown_class_ids from once group by 1, 2",
     "p4_parts": f"with kept as (select arg_max(file_id, (delivered_at, file_id)) as file_id from {FILES} where strlen(content) = n_bytes group by dataset, split, cam, stem), placed as (select k.file_id, f.export_id, f.dataset, f.split, floor((sum(strlen(content) + 1) over (partition by f.dataset, f.split order by cam, stem, f.file_id) - strlen(content) - 1) / 8388608) as part from kept k join {FILES} f using (file_id)), per as (select export_id, count(*) as n, count(distinct (dataset, split, part)) as p from placed group by 1) select e.export_id, e.dataset, parts_count as stated_parts_count, case when export_files_per_dir > 0 then ceil(images_exported / export_files_per_dir)::bigint end as expected_parts_count, coalesce(n, 0) as kept_files, coalesce(p, 0) as new_parts_count from exports e left join per using (export_id)",
