@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.geometry import visibility
+from framewright.operators.ordered import at_rank, ranks
+from framewright.operators.skew import lookup_join
 from framewright.session import cut_lineage
 
 
@@ -56,17 +58,31 @@ def touches_edge(eps: float) -> Column:
     return F.size(edge_sides(eps)) > 0
 
 
-def baseline(geo: DataFrame, c: EdgeConfig = EdgeConfig()) -> DataFrame:
+CLASS = ["dataset", "cls_id"]
+INSIDE = ("w_inset", "h_inset", "w_clear", "h_clear")
+SIZES = ("w_all", "h_all")
+
+
+def class_ranks(geo: DataFrame, c: EdgeConfig, measures: tuple[str, ...]) -> DataFrame:
+    """The distributions of the box sizes of each class, one for each measure: of all boxes, of inset ones, of ones clear of the edge zone."""
+    within = {"all": F.lit(True), "inset": is_inset(c), "clear": ~in_zone(c)}
+    value = lambda m: F.when(within[m[2:]], F.col(f"{m[0]}_px"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), value(m).alias("px")) for m in measures]))
+    return ranks(geo.where("cls_id is not null").select(*CLASS, each.alias("m")).select(*CLASS, "m.measure", "m.px"), [*CLASS, "measure"], "px")
+
+
+def baseline(geo: DataFrame, c: EdgeConfig = EdgeConfig(), ranked: DataFrame | None = None) -> DataFrame:
     """Per class: inset boxes, percentiles of their size, and which sample the relative thresholds rest on."""
-    q = "array(0.1, 0.25, 0.5, 0.9)"
-    g = geo.where("cls_id is not null").withColumn("inset", is_inset(c)).withColumn("zone", in_zone(c))
-    s = g.groupBy("dataset", "cls_id").agg(
-        F.count(F.lit(1)).alias("n_all"), F.count_if("inset").alias("n_inset"), F.count_if(~F.col("zone")).alias("n_clear"),
-        *[F.expr(f"percentile({v}, {q}) filter (where {cond})").alias(f"{v}_{cond.replace('not ', '')}") for v in ("w_px", "h_px") for cond in ("inset", "not zone")],
-    )
+    at = {10: 0.1, 25: 0.25, 50: 0.5, 90: 0.9}
+    if ranked is None:
+        ranked = class_ranks(geo, c, INSIDE)
+    q = ranked.where(F.col("measure").isin(*INSIDE)).groupBy(*CLASS, "measure").agg(*[at_rank("px", x * (F.col("total") - 1)).alias(f"p{p}") for p, x in at.items()])
+    n = geo.where("cls_id is not null").groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(is_inset(c)).alias("n_inset"), F.count_if(~in_zone(c)).alias("n_clear"))
+    # Added up rather than joined: null data sets meet.
+    s = n.unionByName(q, allowMissingColumns=True).groupBy(*CLASS).agg(F.max("n_all").alias("n_all"), F.max("n_inset").alias("n_inset"), F.max("n_clear").alias("n_clear"), *[F.max(F.when(F.col("measure") == m, F.col(f"p{p}"))).alias(f"{m}_{p}") for m in INSIDE for p in at])
     mode = F.when(F.col("n_inset") >= c.least_samples, "inset").when(F.col("n_clear") >= c.least_samples, "non_edge_samples").otherwise("absolute_only")
-    pick = lambda v, i: F.round(F.when(F.col("mode") == "inset", F.col(f"{v}_inset")[i]).when(F.col("mode") == "non_edge_samples", F.col(f"{v}_zone")[i]), 6)
-    return s.withColumn("mode", mode).select("dataset", "cls_id", "n_all", "n_inset", "mode", *[pick(v, i).alias(f"{v[0]}_p{p}") for v in ("w_px", "h_px") for i, p in enumerate((10, 25, 50, 90))])
+    pick = lambda v, p: F.round(F.when(F.col("mode") == "inset", F.col(f"{v}_inset_{p}")).when(F.col("mode") == "non_edge_samples", F.col(f"{v}_clear_{p}")), 6)
+    return s.withColumn("mode", mode).select(*CLASS, "n_all", "n_inset", "mode", *[pick(v, p).alias(f"{v}_p{p}") for v in "wh" for p in at])
 
 
 def edge_reason(c: EdgeConfig = EdgeConfig()) -> Column:
@@ -81,27 +97,33 @@ def global_reason(c: EdgeConfig = EdgeConfig()) -> Column:
     return F.when(w * h < c.min_area_px, "min_area").when((w > 0) & (h > 0) & (F.greatest(w / h, h / w) > c.max_aspect), "max_aspect")
 
 
-def size_baseline(geo: DataFrame, c: EdgeConfig = EdgeConfig()) -> DataFrame:
-    """Per class: the stable size threshold (median, bulk above ratio x median, quantile of the bulk x factor)."""
-    g = geo.where("cls_id is not null")
-    med = g.groupBy("dataset", "cls_id").agg(F.count(F.lit(1)).alias("n_all"), F.expr("percentile(w_px, 0.5)").alias("mw"), F.expr("percentile(h_px, 0.5)").alias("mh"))
-    b = g.join(med, ["dataset", "cls_id"])
-    q, r, k = c.typical_quantile, c.split_ratio, c.least_samples
-    out = b.groupBy("dataset", "cls_id").agg(
-        F.max("n_all").alias("n_all"), F.expr(f"count_if(w_px >= {r} * mw)").alias("n_bulk_w"), F.expr(f"count_if(h_px >= {r} * mh)").alias("n_bulk_h"),
-        F.expr(f"percentile(w_px, {q}) filter (where w_px >= {r} * mw)").alias("bw"), F.expr(f"percentile(h_px, {q}) filter (where h_px >= {r} * mh)").alias("bh"), F.expr(f"percentile(w_px, {q})").alias("aw"), F.expr(f"percentile(h_px, {q})").alias("ah"),
-    )
-    th = lambda n, bulk, every: F.round(c.rel_factor * F.when(F.col(n) >= k, F.col(bulk)).otherwise(F.col(every)), 6)
-    return out.select("dataset", "cls_id", "n_all", th("n_bulk_w", "bw", "aw").alias("min_w"), th("n_bulk_h", "bh", "ah").alias("min_h"))
+def size_baseline(geo: DataFrame, c: EdgeConfig = EdgeConfig(), ranked: DataFrame | None = None) -> DataFrame:
+    """Per class: the stable size threshold (median, bulk above ratio x median, quantile of the bulk x factor).
+
+    The bulk is the upper end of the sorted distribution, so its quantile is a rank in it: nothing is sorted twice.
+    """
+    key = [*CLASS, "measure"]
+    r = cut_lineage((class_ranks(geo, c, SIZES) if ranked is None else ranked).where(F.col("measure").isin(*SIZES)))
+    med = r.groupBy(*key).agg((c.split_ratio * at_rank("px", 0.5 * (F.col("total") - 1))).alias("least"))
+    r = lookup_join(r, med, key, ["px"], "inner", null_safe=True)
+    below = r.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("px") < F.col("least"), F.col("times"))), F.lit(0)).alias("below"))
+    r = lookup_join(r, below, key, ["px"], "inner", null_safe=True).withColumn("bulk", F.col("total") - F.col("below"))
+    rank = F.when(F.col("bulk") >= c.least_samples, F.col("below") + c.typical_quantile * (F.col("bulk") - 1)).otherwise(c.typical_quantile * (F.col("total") - 1))
+    th = r.groupBy(*key).agg(F.round(c.rel_factor * at_rank("px", rank), 6).alias("least"))
+    n = geo.where("cls_id is not null").groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n_all"))
+    both = n.unionByName(th, allowMissingColumns=True).groupBy(*CLASS)
+    return both.agg(F.max("n_all").alias("n_all"), F.max(F.when(F.col("measure") == "w_all", F.col("least"))).alias("min_w"), F.max(F.when(F.col("measure") == "h_all", F.col("least"))).alias("min_h"))
 
 
 def decisions(geo: DataFrame, c: EdgeConfig = EdgeConfig()) -> DataFrame:
     """Every label with reason (null: kept): edge reasons first, then small_size against the stable baseline of its class."""
     # The geometry feeds both passes; it is written once instead of being derived four times.
     geo = cut_lineage(geo)
-    base = baseline(geo, c).select("dataset", "cls_id", "w_p50", "h_p50")
-    size = size_baseline(geo, c).select("dataset", "cls_id", "min_w", "min_h")
-    g = geo.join(base, ["dataset", "cls_id"], "left").join(size, ["dataset", "cls_id"], "left")
+    ranked = cut_lineage(class_ranks(geo, c, (*INSIDE, *SIZES)))
+    base = baseline(geo, c, ranked).select(*CLASS, "w_p50", "h_p50")
+    size = size_baseline(geo, c, ranked).select(*CLASS, "min_w", "min_h")
+    both = base.unionByName(size, allowMissingColumns=True).groupBy(*CLASS).agg(*[F.max(x).alias(x) for x in ("w_p50", "h_p50", "min_w", "min_h")])
+    g = lookup_join(geo, cut_lineage(both), CLASS, ["image_id"])
     small = F.when((F.col("w_px") < F.col("min_w")) & (F.col("h_px") < F.col("min_h")), "small_size")
     reason = F.when(F.col("cls_id").isNotNull() & F.col("w_px").isNotNull(), F.coalesce(edge_reason(c), small))
     return g.withColumn("reason", reason)
@@ -131,10 +153,19 @@ def prune_empty(frames: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def empirical_bounds(geo: DataFrame, low: float, high: float) -> DataFrame:
-    """Percentile hull of boxes that touch no edge, per class and per class and frame size, in one pass."""
-    g = geo.where("cls_id is not null").where(~touches_edge(0.002))
-    q = lambda v, p: F.round(F.expr(f"percentile({v}, {p})"), 6)
-    return g.groupingSets([[g["cls_id"], g["width"], g["height"]], [g["cls_id"]]], "cls_id", "width", "height").agg(F.count(F.lit(1)).alias("n"), q("x1", low).alias("x_low"), q("y1", low).alias("y_low"), q("x2", high).alias("x_high"), q("y2", high).alias("y_high"))
+    """Percentile hull of boxes that touch no edge, per class and per class and frame size, in one pass.
+
+    Bounds have nine digits: at six, sums of doubles on the half of the last digit come out differently from engine to engine.
+    """
+    g = geo.where("cls_id is not null").where(~touches_edge(0.002)).select("cls_id", "width", "height", "x1", "y1", "x2", "y2")
+    bounds = {"x_low": ("x1", low), "y_low": ("y1", low), "x_high": ("x2", high), "y_high": ("y2", high)}
+    levels = F.explode(F.array(F.struct(F.lit(0).alias("level"), "width", "height"), F.struct(F.lit(1).alias("level"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))))
+    g = g.select("cls_id", levels.alias("l"), "x1", "y1", "x2", "y2").select("cls_id", "l.*", "x1", "y1", "x2", "y2")
+    key = ["cls_id", "width", "height", "level"]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("bound"), F.col(v).alias("v"), F.lit(q).alias("q")) for n, (v, q) in bounds.items()]))
+    r = ranks(g.select(*key, each.alias("b")).select(*key, "b.bound", "b.q", "b.v"), [*key, "bound", "q"], "v")
+    per = r.groupBy(*key, "bound").agg(F.max("total").alias("n"), F.round(at_rank("v", F.col("q") * (F.col("total") - 1)), 9).alias("v"))
+    return per.groupBy(*key).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("bound") == n, F.col("v"))).alias(n) for n in bounds]).drop("level")
 
 
 def hull(geo: DataFrame, keys: list[str]) -> DataFrame:

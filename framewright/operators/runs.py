@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.scalars import composite_score
+from framewright.operators.ordered import quantiles
 
 
 def latency_stats(perf: DataFrame, keys: list[str], ms: str = "ms") -> DataFrame:
     """count, mean, p50, p90, p95, p99, min, max and population std."""
-    p = F.expr(f"percentile({ms}, array(0.5, 0.9, 0.95, 0.99))")
-    out = perf.groupBy(*keys).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean"), p.alias("p"), F.min(ms).alias("min"), F.max(ms).alias("max"), F.stddev_pop(ms).alias("std"))
-    return out.select(*keys, "n", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max", "std")], *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))])
+    names = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    some = perf.groupBy(*keys).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean"), F.min(ms).alias("min"), F.max(ms).alias("max"), F.stddev_pop(ms).alias("std"))
+    both = some.unionByName(quantiles(perf, keys, ms, names).drop("n"), allowMissingColumns=True)
+    return both.groupBy(*keys).agg(F.max("n").alias("n"), *[F.round(F.max(c), 6).alias(c) for c in ("mean", "min", "max", "std", *names)])
 
 
 def steady(perf: DataFrame, run: str, seq: str, warmup: int = 5) -> DataFrame:

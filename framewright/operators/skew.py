@@ -11,18 +11,27 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = SALTS, null_safe: bool = False) -> DataFrame:
     """Join big to a lookup with unique keys.
 
     The lookup is counted first: up to max_rows narrow rows it is broadcast; beyond that every lookup row is repeated for each of
     `salts` salts and the big side is salted by a hash of salt_by, so that a hot key is shared by `salts` tasks.
-    Null keys match nothing.
+    Null keys match nothing, or one another with null_safe.
     """
     on = list(on)
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+    few = small.limit(max_rows + 1).count() <= max_rows
+    if not few:
+        small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        big = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+        on.append("_salt")
+    right = F.broadcast(small) if few else small
+    if not null_safe:
+        return big.join(right, on, how).drop("_salt")
+    right = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in small.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return big.join(right, same, how).drop("_salt", *[f"_on_{c}" for c in on])
 
 
 def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.ordered import quantiles
+
 
 def class_split_counts(labels: DataFrame) -> DataFrame:
     """Per data set and class: instances by split and in total, images that show it, mean instances per image."""
@@ -87,9 +89,9 @@ def compare_datasets(labels: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def percentiles(values: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    out = values.groupBy(*keys).agg(F.expr(f"percentile({value}, array({', '.join(map(str, at))}))").alias("p"))
-    return out.select(*keys, *[F.round(F.col("p")[i], 6).alias(f"p{int(round(q * 100))}") for i, q in enumerate(at)])
+    """Exact percentiles with linear interpolation; keys without a value give no row."""
+    names = {f"p{int(round(q * 100))}": q for q in at}
+    return quantiles(values, keys, value, names).select(*keys, *[F.round(n, 6).alias(n) for n in names])
 
 
 def label_kinds(labels: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def _(s, d):
     return E.frame_outcomes(E.decisions(V.geometries(s, d)))
 
 
-@query("empirical_bounds", V.with_(V.ANN, V.IMG, V.GEO) + "select cls_id, width, height, count(*) as n, round(quantile_cont(x1, 0.05), 6) as x_low, round(quantile_cont(y1, 0.05), 6) as y_low, round(quantile_cont(x2, 0.95), 6) as x_high, round(quantile_cont(y2, 0.95), 6) as y_high from geo where cls_id is not null and not (x1 <= 0.002 or y1 <= 0.002 or x2 >= 0.998 or y2 >= 0.998) group by grouping sets ((cls_id, width, height), (cls_id))")
+@query("empirical_bounds", V.with_(V.ANN, V.IMG, V.GEO) + "select cls_id, width, height, count(*) as n, round(quantile_cont(x1, 0.05), 9) as x_low, round(quantile_cont(y1, 0.05), 9) as y_low, round(quantile_cont(x2, 0.95), 9) as x_high, round(quantile_cont(y2, 0.95), 9) as y_high from geo where cls_id is not null and not (x1 <= 0.002 or y1 <= 0.002 or x2 >= 0.998 or y2 >= 0.998) group by grouping sets ((cls_id, width, height), (cls_id))")
 def _(s, d):
     return E.empirical_bounds(V.geometries(s, d), 0.05, 0.95)
 
@@ -157,7 +157,7 @@ def _(s, d):
     return V.geometries(s, d).groupBy("image_id", "width", "height").agg(F.min("x1").alias("a"), F.min("y1").alias("b"), F.max("x2").alias("c"), F.max("y2").alias("e")).select("image_id", F.round(F.col("a") * F.col("width"), 4).alias("x1"), F.round(F.col("b") * F.col("height"), 4).alias("y1"), F.round(F.col("c") * F.col("width"), 4).alias("x2"), F.round(F.col("e") * F.col("height"), 4).alias("y2"))
 
 
-@query("cvat_to_yolo", "select box_id, round((a + c) / 2, 6) as cx, round((b + d) / 2, 6) as cy, round(c - a, 6) as w, round(d - b, 6) as h from (select box_id, greatest(0.0, least(1.0, least(xtl, xbr) / 1920)) as a, greatest(0.0, least(1.0, least(ytl, ybr) / 1080)) as b, greatest(0.0, least(1.0, greatest(xtl, xbr) / 1920)) as c, greatest(0.0, least(1.0, greatest(ytl, ybr) / 1080)) as d from cvat_boxes) where c > a and d > b")
+@query("cvat_to_yolo", "select box_id, round((a + c) / 2, 11) as cx, round((b + d) / 2, 11) as cy, round(c - a, 11) as w, round(d - b, 11) as h from (select box_id, greatest(0.0, least(1.0, least(xtl, xbr) / 1920)) as a, greatest(0.0, least(1.0, least(ytl, ybr) / 1080)) as b, greatest(0.0, least(1.0, greatest(xtl, xbr) / 1920)) as c, greatest(0.0, least(1.0, greatest(ytl, ybr) / 1080)) as d from cvat_boxes) where c > a and d > b")
 def _(s, d):
     b = table(s, d, "cvat_boxes").withColumn("r", G.cvat_box(F.col("xtl"), F.col("ytl"), F.col("xbr"), F.col("ybr"), F.lit(1920.0), F.lit(1080.0))).where("r is not null")
-    return b.select("box_id", *[F.round(f"r.{c}", 6).alias(c) for c in ("cx", "cy", "w", "h")])
+    return b.select("box_id", *[F.round(f"r.{c}", 11).alias(c) for c in ("cx", "cy", "w", "h")])
