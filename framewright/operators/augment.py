@@ -97,9 +97,10 @@ def grid_positions(frames: DataFrame, boxes: DataFrame, patch_w: int, patch_h: i
     g = frames.withColumn("x", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("width") - patch_w), F.lit(step)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("height") - patch_h), F.lit(step))))
     j = g.join(boxes.select("image_id", "x1", "y1", "x2", "y2"), "image_id", "left")
     over = F.coalesce(iou((F.col("x").cast("double"), F.col("y").cast("double"), F.col("x") + float(patch_w), F.col("y") + float(patch_h)), tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))), F.lit(0.0))
-    far = F.hypot(F.col("x") + patch_w / 2 - (F.col("x1") + F.col("x2")) / 2, F.col("y") + patch_h / 2 - (F.col("y1") + F.col("y2")) / 2)
+    dx, dy = F.col("x") + patch_w / 2 - (F.col("x1") + F.col("x2")) / 2, F.col("y") + patch_h / 2 - (F.col("y1") + F.col("y2")) / 2
+    far = dx * dx + dy * dy  # squares order as the distances do, and alike in every engine
     p = j.groupBy("image_id", "x", "y").agg(F.max(over).alias("over"), F.min(far).alias("far")).where("over = 0")
-    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.coalesce("far", F.lit(1e9)).alias("far"), (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))))), 1, k)
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.coalesce("far", F.lit(1e18)).alias("far"), (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))))), 1, k)
     return p.groupBy("image_id").agg(best.alias("b")).select("image_id", F.posexplode("b").alias("rank", "b")).select("image_id", "rank", (-F.col("b.nx")).alias("x"), (-F.col("b.ny")).alias("y"))
 
 

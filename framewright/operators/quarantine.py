@@ -115,9 +115,10 @@ def checked_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def valid_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """Boxes (cx, cy, w, h) and polygons (points) of the valid lines; a line_id gives one row."""
+    """Boxes (cx, cy, w, h) and polygons (points) of the valid lines; a line_id gives one row (the greatest of rows that differ)."""
     c = F.col("coords")
-    ok = checked_lines(lines, classes).where("reason is null").dropDuplicates(["line_id"])
+    rest = ["dataset", "split", "rel_label", "line_no", "kind", "cls_id", "coords", "stem", "note"]
+    ok = checked_lines(lines, classes).where("reason is null").groupBy("line_id").agg(F.max(F.struct(*rest)).alias("r")).select("line_id", "r.*")
     box = F.col("kind") == "bbox"
     return ok.select("line_id", "dataset", "split", "rel_label", "line_no", "kind", F.col("cls_id").cast("int").alias("cls_id"), *[F.when(box, F.get(c, i)).alias(n) for i, n in enumerate(("cx", "cy", "w", "h"))], F.when(~box, F.expr("transform(sequence(0, size(coords) div 2 - 1), i -> named_struct('x', coords[2 * i], 'y', coords[2 * i + 1]))")).alias("points"), "stem", "note")
 

@@ -24,7 +24,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_valid(spark: SparkSession, d: str) -> DataFrame:
-    return quarantine.valid_lines(table(spark, d, "label_lines"), table(spark, d, "classes"))
+    return quarantine.valid_lines(table(spark, d, "label_lines"), table(spark, d, "classes")).drop("points")
+
+
+def p3_points(spark: SparkSession, d: str) -> DataFrame:
+    valid = quarantine.valid_lines(table(spark, d, "label_lines"), table(spark, d, "classes"))
+    return valid.select("line_id", F.posexplode("points").alias("at", "p")).select("line_id", "at", "p.x", "p.y")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +68,7 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
     return dewey.table_profile(flat)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_valid, p3_report, p4_found, p4_consolidated, p4_reconcile, p4_parts, p6_found, p6_per_class, p6_tables)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_valid, p3_points, p3_report, p4_found, p4_consolidated, p4_reconcile, p4_parts, p6_found, p6_per_class, p6_tables)}
 FILES = r"""(select *, lower(regexp_extract(p, '(?i)(?:^|/)(cam\d+)/', 1)) as cam, lower(trim(regexp_replace(regexp_replace(regexp_extract(p, '([^/]*)$', 1), '(?i)\.txt\s*$', ''), '(?i)(\s*\(\d+\)|[-_ ]+copy\d*)+$', ''))) as stem
   from (select *, replace(replace(url_decode(replace(label_path, '+', '%2B')), chr(92), '/'), '//', '/') as p from label_files))"""
 SPLIT = "case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation') then 'val' when lower(trim(split)) in ('test', 'testing') then 'test' else split end"
@@ -81,8 +86,8 @@ judged as (select *, case when bad_quotes then 'quoting' when bad_count then 'co
 JSON_LISTS = "('artifacts', 'models', 'runs', 'metrics', 'predictions', 'test_metrics', 'per_class', 'thresholds', 'history', 'inputs', 'regions')"
 AS_TEXT = "json_type(c0) = 'VARCHAR' and left(ltrim(c0 ->> '$'), 1) in ('[', '{') and json_valid(c0 ->> '$')"
 # All nodes of all records: kind is root, element, object, value (a row each, but for lists) or field (a scalar of the object at above).
-NODES = f"""with recursive src as (select k, max(t) as t from (select payload_id as k, payload as t from run_payloads union all select dataset, catalog_entry from dataset_catalog) where k is not null and t is not null group by 1),
-node as (select k, '' as path, '0' as label, '' as above, '' as up, '' as schema, '' as name, 'root' as kind, t::json as j from src where json_valid(t) and json_type(t) <> 'NULL'
+SOURCE = "src as (select k, max(t) as t from (select payload_id as k, payload as t from run_payloads union all select dataset, catalog_entry from dataset_catalog) where k is not null and t is not null group by 1)"
+TREE = f"""node as (select k, '' as path, '0' as label, '' as above, '' as up, '' as schema, '' as name, 'root' as kind, t::json as j from src where json_valid(t) and json_type(t) <> 'NULL'
  union all
  select k, case when jk is null then path || '[' || i || ']' when path = '' then jk else path || '.' || jk end, label || '.' || i, case when json_type(j) = 'OBJECT' or kind = 'root' then label else above end, case when kind = 'element' then path else up end,
   case when jk is null then schema when schema = '' then jk else schema || '.' || jk end,
@@ -94,11 +99,17 @@ node as (select k, '' as path, '0' as label, '' as above, '' as up, '' as schema
  where json_type(c) <> 'NULL'),
 held as (select k, above, count(*) as n from node where kind = 'field' group by 1, 2),
 flat as (select n.*, case when json_type(j) not in ('OBJECT', 'ARRAY') then 1 else coalesce(h.n, 0) end as n_fields from node n left join held h on h.k = n.k and h.above = n.label and json_type(j) = 'OBJECT' where kind <> 'field' and (json_type(j) <> 'ARRAY' or kind = 'root'))"""
+NODES = f"with recursive {SOURCE},\n{TREE}"
+CELLS = r"""list_transform(regexp_extract_all(t || ',', '("(?:[^"]|"")*"|[^",]*),', 1), lambda x: case when left(x, 1) = '"' then replace(x[2:-2], '""', '"') else x end)"""
+VALID = rf"""{LINES}, valid as (select line_id, l.dataset, l.split, l.rel_label, l.line_no, case when len(g) = 5 then 'bbox' else 'segment' end as kind, try_cast(replace(trim(g[1]), '+', '') as int) as cls_id, list_transform(g[2:], lambda x: trim(x)::double) as n, case when p.fmt = 'csv' then {CELLS}[1] end as stem, case when p.fmt = 'csv' then {CELLS}[7] end as note
+  from (select distinct on (line_id) * from judged where reason is null order by line_id) p join (select line_id, any_value(dataset) as dataset, any_value(split) as split, any_value(rel_label) as rel_label, any_value(line_no) as line_no, any_value(regexp_replace(raw, '^\s+|\s+$', '', 'g')) as t from label_lines group by 1) l using (line_id))"""
 ORACLES: dict[str, str] = {
     "p6_found": f"{NODES} select distinct k as record_key, up as parent_path, path as child_path from flat where kind = 'element'",
     "p6_tables": f"{NODES} select schema as schema_path, count(*) as n_rows, count(distinct k) as n_records, count(*) filter (up = '') as n_roots, sum(n_fields)::bigint as n_values from flat group by 1",
     "p6_per_class": f"{NODES} select k as record_key, label as dewey, above as parent_dewey, up as parent_path, path as child_path, j ->> '$.class' as class, try_cast(j ->> '$.ap50' as double) as ap50, try_cast(j ->> '$.support' as bigint) as support from flat where schema = 'runs.test_metrics.per_class' and k in (select payload_id from run_payloads)",
     "p3_found": f"with {LINES} select distinct line_id, reason from judged where reason is not null",
+    "p3_valid": f"with {VALID} select line_id, dataset, split, rel_label, line_no, kind, cls_id, case when kind = 'bbox' then n[1] end as cx, case when kind = 'bbox' then n[2] end as cy, case when kind = 'bbox' then n[3] end as w, case when kind = 'bbox' then n[4] end as h, stem, note from valid",
+    "p3_points": f"with {VALID} select line_id, i::int as \"at\", n[2 * i + 1] as x, n[2 * i + 2] as y from (select line_id, n, unnest(range(len(n) // 2)) as i from valid where kind = 'segment')",
     "p3_report": f"with {LINES}, once as (select line_id, max((dataset, split, coalesce(reason, ''))) as r, any_value(dataset) as dataset, any_value(split) as split, any_value(coalesce(reason, '')) as reason from judged group by 1) select dataset, split, count(*) filter (reason = '') as valid_lines, count(*) filter (reason not in ('', 'class_id')) as broken_label_lines, count(*) filter (reason = 'class_id') as unknown_class_ids from once group by 1, 2",
     "p4_parts": f"with kept as (select arg_max(file_id, (delivered_at, file_id)) as file_id from {FILES} where strlen(content) = n_bytes group by dataset, split, cam, stem), placed as (select k.file_id, f.export_id, f.dataset, f.split, floor((sum(strlen(content) + 1) over (partition by f.dataset, f.split order by cam, stem, f.file_id) - strlen(content) - 1) / 8388608) as part from kept k join {FILES} f using (file_id)), per as (select export_id, count(*) as n, count(distinct (dataset, split, part)) as p from placed group by 1) select e.export_id, e.dataset, parts_count as stated_parts_count, case when export_files_per_dir > 0 then ceil(images_exported / export_files_per_dir)::bigint end as expected_parts_count, coalesce(n, 0) as kept_files, coalesce(p, 0) as new_parts_count from exports e left join per using (export_id)",
     "p4_consolidated": f"with {KEPT} select dataset, split, part::bigint as part_no, count(*) as n_files, sum(n)::bigint as n_records, sum(strlen(txt))::bigint as n_bytes, md5(string_agg(txt, '' order by cam, stem, file_id)) as content_md5 from placed group by 1, 2, 3",

@@ -38,5 +38,10 @@ FLIP = f"case when {U(3)} < 0.5 then case floor({U(4)} * 3)::int when 0 then 'ho
 ORACLES = {
     "flip_plan": V.with_(V.IMG) + f"select image_id, {FLIP} as flip from img where split = 'train'",
     "augmented_boxes": V.with_(V.ANN, f"f as (select cls_id, image_id, {FLIP} as flip, cx, cy, w, h, case when {U(5)} < 0.5 then floor({U(6)} * 3)::int + 1 else 0 end as turns from ann where kind = 'bbox' and split = 'train')", "g as (select cls_id, flip, turns, case when flip in ('horizontal', 'both') then 1 - cx else cx end as cx, case when flip in ('vertical', 'both') then 1 - cy else cy end as cy, w, h from f)") + "select cls_id, flip, turns, count(*) as n, round(sum(case turns when 1 then 1 - cy when 2 then 1 - cx when 3 then cy else cx end), 4) as cx, round(sum(case turns when 1 then cx when 2 then 1 - cy when 3 then 1 - cx else cy end), 4) as cy, round(sum(case when turns in (1, 3) then h else w end), 4) as w from g group by 1, 2, 3",
-    "donor_turns": V.with_(V.ANN, V.IMG, V.GEO) + "select cls_id, turn, image_id, line_no from (select cls_id, image_id, line_no, row_number() over (partition by cls_id order by (('0x' || substr(md5(concat_ws(':', image_id, line_no::varchar, '0')), 1, 8))::bigint / 4294967296.0), image_id, line_no) - 1 as turn from geo where split = 'train' and w_px >= 100 and h_px >= 100 and cls_id is not null) where turn < 3",
+    "donor_turns": V.with_(V.ANN, V.IMG, V.GEO) + "select cls_id, turn, image_id, line_no from (select cls_id, image_id, line_no, row_number() over (partition by cls_id order by (('0x' || substr(md5(concat_ws(':', image_id, line_no::varchar, '0')), 1, 8))::bigint / 4294967296.0), image_id, line_no) - 1 as turn from geo where split = 'train' and w_px >= 100 and h_px >= 100 and cls_id is not null)",
+    "paste_positions": V.with_(
+        V.ANN, V.IMG, V.GEO, "b as (select image_id, x1 * width as x1, y1 * height as y1, x2 * width as x2, y2 * height as y2 from geo where split = 'train')",
+        "g as (select image_id, x, unnest(range(0, greatest(0, height - 200) + 1, 160)) as y from (select image_id, height, unnest(range(0, greatest(0, width - 200) + 1, 160)) as x from img where split = 'train'))",
+        "j as (select g.image_id, x, y, case when x1 is not null and least(x + 200.0, x2) > greatest(x, x1) and least(y + 200.0, y2) > greatest(y, y1) then 1 else 0 end as hit, (x + 100.0 - (x1 + x2) / 2) * (x + 100.0 - (x1 + x2) / 2) + (y + 100.0 - (y1 + y2) / 2) * (y + 100.0 - (y1 + y2) / 2) as far from g left join b using (image_id))",
+    ) + "select image_id, rank::int as rank, x::int as x, y::int as y from (select image_id, x, y, row_number() over (partition by image_id order by coalesce(min(far), 1e18) desc, y, x) - 1 as rank from j group by image_id, x, y having max(hit) = 0) where rank < 10",
 }

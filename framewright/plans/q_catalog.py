@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from framewright.operators import catalog as C
 from framewright.operators import dedup as D
+from framewright.operators.ordered import numbered
 from framewright.plans import views as V
+from framewright.plans.core_problems import TREE
 from framewright.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +70,18 @@ def _(s, d):
     return D.label_signatures(V.annotations(s, d, "kind", "cls_id", "cx", "cy", "w", "h"))
 
 
-@query("merge_label_union")
+UNION = """with recursive """ + V.ANN + ", " + V.IMG + """,
+f as (select image_id, content_hash, case split when 'train' then 0 when 'val' then 1 when 'test' then 2 else 3 end as r, count(*) over (partition by content_hash) as copies from img where content_hash is not null),
+b as (select a.*, f.content_hash, r, copies from ann a join f using (image_id) where kind = 'bbox'),
+once as (select content_hash, cls_id, cx, cy, w, h, row_number() over (partition by content_hash order by o) as rn from (select content_hash, cls_id, round(cx, 8) as cx, round(cy, 8) as cy, round(w, 8) as w, round(h, 8) as h, min((r, image_id, line_no)) as o from b where copies > 1 group by 1, 2, 3, 4, 5, 6)),
+pair as (select p.content_hash, p.rn, g.rn as other, least(p.cx + p.w / 2, g.cx + g.w / 2) - greatest(p.cx - p.w / 2, g.cx - g.w / 2) as wide, least(p.cy + p.h / 2, g.cy + g.h / 2) - greatest(p.cy - p.h / 2, g.cy - g.h / 2) as high, p.w * p.h + g.w * g.h as both_ from once p join once g on p.content_hash = g.content_hash and p.cls_id = g.cls_id and g.rn < p.rn),
+block as (select content_hash, rn, list(other) as by_ from pair where wide > 0 and high > 0 and wide * high / (both_ - wide * high) >= 0.95 group by 1, 2),
+walk as (select distinct content_hash, 0::bigint as rn, []::bigint[] as kept from once
+ union all select w.content_hash, o.rn, case when coalesce(list_has_any(w.kept, k.by_), false) then w.kept else list_append(w.kept, o.rn) end from walk w join once o on o.content_hash = w.content_hash and o.rn = w.rn + 1 left join block k on k.content_hash = o.content_hash and k.rn = o.rn)
+"""
+
+
+@query("merge_label_union", UNION + "select content_hash, count(*) as n_boxes from b where copies = 1 group by 1 union all select content_hash, max(len(kept))::bigint from walk group by 1")
 def _(s, d):
     return D.merged_labels(V.annotations(s, d, "kind", "cls_id", "cx", "cy", "w", "h"), V.frames(s, d, "content_hash")).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_boxes"))
 
@@ -84,7 +97,8 @@ REFS = "refs as (select label, vec_id as ref_id, embedding as ref from embedding
 @query("template_similarity", V.with_(REFS) + "select vec_id, ref_id, sim from (select vec_id, ref_id, round(list_cosine_similarity(embedding::double[], ref::double[]), 6) as sim from embeddings join refs using (label)) qualify row_number() over (partition by vec_id order by sim desc, ref_id) = 1")
 def _(s, d):
     e = table(s, d, "embeddings")
-    first = e.groupBy("label").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, 3).alias("v")).select(F.explode("v").alias("vec_id"))
+    # The first three of each label by rank: no label's ids are collected.
+    first = numbered(e.select("label", "vec_id"), ["label"], ["vec_id"]).where("pos < 3").select("vec_id")
     return D.template_similarity(e, e.join(first, "vec_id"))
 
 
@@ -94,7 +108,13 @@ def _(s, d):
     return e.select("vec_id", F.bit_count("sig").cast("long").alias("ones"))
 
 
-@query("diverse_sample")
+SPREAD = """with recursive v as (select label, vec_id, array_to_string([case when x::double >= m then '1' else '0' end for x in embedding], '')::bit as sig from (select label, vec_id, embedding, list_sum(embedding::double[]) / 64 as m from embeddings)),
+walk as (select label, 0 as turn, [min(vec_id)] as ids, [arg_min(sig, vec_id)] as sigs from v group by 1
+ union all select label, turn + 1, list_append(ids, best.vec_id), list_append(sigs, best.sig) from (select w.label, w.turn, w.ids, w.sigs, arg_max({'vec_id': v.vec_id, 'sig': v.sig}, (list_min(list_transform(w.sigs, lambda x: bit_count(xor(x, v.sig)))), -v.vec_id)) as best from walk w join v on v.label = w.label where w.turn < 4 and not list_contains(w.ids, v.vec_id) group by all))
+"""
+
+
+@query("diverse_sample", SPREAD + "select label, turn, ids[turn + 1] as vec_id from walk")
 def _(s, d):
     e = table(s, d, "embeddings").select("label", "vec_id", D.average_hash(F.transform("embedding", lambda x: x.cast("double"))).alias("sig"))
     return D.farthest_first(e, 5)
@@ -143,16 +163,14 @@ def _(s, d):
     return C.remapped(V.annotations(s, d, "cls_id"), cmap(s, d)).groupBy("dataset", "new_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("catalog_diff", "select dataset, 'added' as change from (select distinct dataset from images except select dataset from dataset_catalog where images > 100) union all select dataset, 'removed' from (select dataset from dataset_catalog where images > 100 except select distinct dataset from images)")
+@query("catalog_diff", "select dataset_name as dataset, 'added' as change from (select distinct dataset_name from runs except select dataset from dataset_catalog) union all select dataset, 'removed' from (select dataset from dataset_catalog except select distinct dataset_name from runs)")
 def _(s, d):
-    return C.diff(table(s, d, "dataset_catalog").where("images > 100"), table(s, d, "images"), "dataset")
+    return C.diff(table(s, d, "dataset_catalog"), table(s, d, "runs").withColumnRenamed("dataset_name", "dataset"), "dataset")
 
 
-@query("catalog_sync", "with s as (select dataset, dataset_hash from dataset_catalog where coalesce(structure, '') <> 'flat'), t as (select dataset, case when images % 3 = 0 then 'x' else dataset_hash end as dataset_hash from dataset_catalog where coalesce(structure, '') <> 'split') select coalesce(s.dataset, t.dataset) as dataset, case when t.dataset is null then 'new' when s.dataset is null then 'missing' when s.dataset_hash is not distinct from t.dataset_hash then 'same' else 'conflict' end as action from s full join t using (dataset)")
+@query("catalog_sync", V.with_(V.IMG, "t as (select dataset, substr(md5(cast(sum(('0x' || substr(md5(concat_ws(':', stem, n_bytes::varchar)), 1, 10))::hugeint) as varchar)), 1, 8) as dataset_hash from img group by 1)") + "select coalesce(s.dataset, t.dataset) as dataset, case when t.dataset is null then 'new' when s.dataset is null then 'missing' when s.dataset_hash is not distinct from t.dataset_hash then 'same' else 'conflict' end as action from dataset_catalog s full join t using (dataset)")
 def _(s, d):
-    c = table(s, d, "dataset_catalog")
-    target = c.where("coalesce(structure, '') <> 'split'").withColumn("dataset_hash", F.when(F.col("images") % 3 == 0, "x").otherwise(F.col("dataset_hash")))
-    return C.sync_plan(c.where("coalesce(structure, '') <> 'flat'"), target)
+    return C.sync_plan(table(s, d, "dataset_catalog"), D.dataset_hashes(V.frames(s, d, "stem", "n_bytes")))
 
 
 @query("catalog_refresh", V.with_(V.IMG, "f as (select dataset, substr(md5(cast(sum(('0x' || substr(md5(concat_ws(':', stem, n_bytes::varchar)), 1, 10))::hugeint) as varchar)), 1, 8) as dataset_hash from img group by 1)") + "select f.dataset, f.dataset_hash, coalesce(c.modified, false) or (c.dataset_hash is not null and c.dataset_hash is distinct from f.dataset_hash) as modified from f left join dataset_catalog c using (dataset)")
@@ -168,29 +186,42 @@ REFERENCES = {
 DOCUMENTS = ("dataset_catalog.catalog_entry", "run_payloads.payload")
 
 
-@query("rename_plan", "select distinct 'runs' as table_name, run_dir as old_value, replace(run_dir || '/', '/yard_north/', '/yard_south/')[:-2] as new_value from runs where ('/' || run_dir || '/') like '%/yard_north/%'")
+PATHS = {f"{t}.{c}": (t, c) for t, columns in REFERENCES.items() for c in columns.split() if f"{t}.{c}" not in DOCUMENTS}
+RENAMED = " union all ".join(rf"select distinct '{name}' as table_name, {c} as old_value, regexp_replace(regexp_replace({c}, '(^|[/\\])yard_north($|[/\\])', '\1yard_south\2', 'g'), '(^|[/\\])yard_north($|[/\\])', '\1yard_south\2', 'g') as new_value from {t} where regexp_matches({c}, '(^|[/\\])yard_north($|[/\\])')" for name, (t, c) in ({"runs": ("runs", "run_dir")} | PATHS).items())
+
+
+@query("rename_plan", RENAMED)
+def _(s, d):
+    at = {name: (table(s, d, t), c) for name, (t, c) in PATHS.items()}
+    return C.rename_plan({"runs": (table(s, d, "runs"), "run_dir")} | at, "yard_north", "yard_south")
+
+
+@query("rename_documents")
 def _(s, d):
-    at = {f"{t}.{c}": (table(s, d, t), c) for t, columns in REFERENCES.items() for c in columns.split()}
-    return C.rename_plan({"runs": (table(s, d, "runs"), "run_dir")} | at, "yard_north", "yard_south", DOCUMENTS)
+    at = {name: (table(s, d, name.split(".")[0]), name.split(".")[1]) for name in DOCUMENTS}
+    return C.rename_plan(at, "yard_north", "yard_south", DOCUMENTS)
 
 
-LINEAGE = "steps as (select dataset as output, unnest(range(0, json_array_length(catalog_entry, '$.history')::bigint))::int as step, catalog_entry as e from dataset_catalog where json_valid(catalog_entry) and json_type(catalog_entry, '$.history') = 'ARRAY'), edges as (select output, step, command, json_extract_string(i, '$.name') as input, json_extract_string(i, '$.hash') as input_hash from (select output, step, json_extract_string(e, '$.history[' || step || '].command') as command, unnest(json_extract(e, '$.history[' || step || '].inputs')::json[]) as i from steps where json_type(e, '$.history[' || step || '].inputs') = 'ARRAY'))"
+STEPS = "with recursive src as (select distinct md5(catalog_entry) || dataset as k, catalog_entry as t from dataset_catalog where catalog_entry is not null and dataset is not null),\n" + TREE + """,
+edges as (select substr(i.k, 33) as output, regexp_extract(i.path, '^history\\[(\\d+)\\]', 1)::int as step, h.j ->> '$.command' as command, i.j ->> '$.name' as input, i.j ->> '$.hash' as input_hash
+  from flat i left join flat h on h.k = i.k and h.schema = 'history' and h.kind = 'element' and h.path = regexp_extract(i.path, '^history\\[\\d+\\]') where i.schema = 'history.inputs' and i.kind = 'element')"""
 
 
-@query("lineage_edges", V.with_(LINEAGE) + "select * from edges")
+@query("lineage_edges", STEPS + " select * from edges")
 def _(s, d):
     return C.lineage(table(s, d, "dataset_catalog"))
 
 
-@query("lineage_ancestors", "with recursive " + LINEAGE + ", e as (select distinct output, input from edges where input is not null and input <> output), r as (select output, input as ancestor, 1 as depth from e union select r.output, e.input, depth + 1 from r join e on e.output = r.ancestor where e.input <> r.output and depth < 20) select output, ancestor, min(depth)::int as depth from r group by 1, 2")
+@query("lineage_ancestors", STEPS + ", e as (select distinct output, input from edges where input is not null and input <> output), r as (select output, input as ancestor, 1 as depth from e union select r.output, e.input, depth + 1 from r join e on e.output = r.ancestor where e.input <> r.output and depth < (select count(*) from (select output from e union select input from e))) select output, ancestor, min(depth)::int as depth from r group by 1, 2")
 def _(s, d):
     return C.ancestors(C.lineage(table(s, d, "dataset_catalog")))
 
 
-@query("scan_delta", "select dataset, source_signature from dataset_catalog where images % 2 = 0 and not exists (select 1 from dataset_catalog f where f.dataset = dataset_catalog.dataset and f.source_signature = dataset_catalog.source_signature and f.labels % 2 = 0)")
+# A source is scanned unless its row is up to date: its signature is in the catalog and it was not modified since.
+@query("scan_delta", "select dataset, source_signature from dataset_catalog c where not exists (select 1 from dataset_catalog f where f.dataset = c.dataset and f.source_signature = c.source_signature and not f.modified)")
 def _(s, d):
     c = table(s, d, "dataset_catalog")
-    return C.scan_delta(c.where("images % 2 = 0").select("dataset", "source_signature"), c.where("labels % 2 = 0"))
+    return C.scan_delta(c.select("dataset", "source_signature"), c.where("not modified"))
 
 
 @query("unknown_labels", "select label, count(*) as n from cvat_boxes where label is not null and label not in (select name from classes where name is not null) group by 1")

@@ -87,7 +87,7 @@ def _(s, d):
     return E.confidence_recommendations(E.threshold_curves(*flags(s, d)))
 
 
-@query("confidence_pivot")
+@query("confidence_pivot", BASE.rstrip() + ",\n" + FLAGS + "," + CURVE + ", lv as (select cls_id::varchar as level, grid, precision, recall from curve union all select 'macro', grid, avg(precision), avg(recall) from curve group by 2 union all select 'weighted', grid, sum(n_gt * precision) / sum(n_gt), sum(n_gt * recall) / sum(n_gt) from curve where precision is not null group by 2), rec as (" + REC + ') select level, max(conf) filter (objective = \'A\') as "A", max(conf) filter (objective = \'B\') as "B", max(conf) filter (objective = \'C\') as "C" from rec group by 1')
 def _(s, d):
     r = E.confidence_recommendations(E.threshold_curves(*flags(s, d)))
     return r.groupBy("level").pivot("objective", ["A", "B", "C"]).agg(F.first("conf"))
@@ -108,24 +108,44 @@ def _(s, d):
     return E.best_iou_histogram(*tables(s, d))
 
 
-@query("match_greedy")
+# Greedy steps of all images side by side: the n-th prediction of each image takes its best truth that is still free.
+GREEDY = lambda base, pred, key, thr: (
+    base.replace("with ", "with recursive ", 1).rstrip() + f""",
+pr_ as (select *, row_number() over (partition by image_id order by conf desc, pred_idx) as rn from {pred}),
+cand as (select p.image_id, p.rn, p.pred_idx, p.cls_id, list({{'g': c.gt_idx, 'c': c.gt_cls}} order by c.iou desc, c.gt_idx) filter (c.iou >= {thr}) as cands from pr_ p left join (select p.image_id, p.pred_idx, g.gt_idx, g.cls_id as gt_cls, case when {WIDE} > 0 and {HIGH} > 0 then {WIDE} * {HIGH} / ((p.x2 - p.x1) * (p.y2 - p.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) - {WIDE} * {HIGH}) else 0.0 end as iou from pred p join gt g on p.image_id = g.image_id and {key}) c on c.image_id = p.image_id and c.pred_idx = p.pred_idx group by 1, 2, 3, 4),
+walk as (select distinct image_id, 0::bigint as rn, []::int[] as used, null::int as pred_idx, null::int as pred_cls, null::int as gt_idx, null::int as gt_cls from pr_
+ union all select image_id, rn, case when pick is null then used else list_append(used, pick.g) end, pred_idx, cls_id, pick.g, pick.c from (select w.image_id, c.rn, w.used, c.pred_idx, c.cls_id, list_filter(c.cands, lambda x: not list_contains(w.used, x.g))[1] as pick from walk w join cand c on c.image_id = w.image_id and c.rn = w.rn + 1)),
+done as (select image_id, pred_idx, pred_cls, gt_idx, gt_cls from walk where rn > 0 union all select image_id, null, null, gt_idx, cls_id from gt g where not exists (select 1 from walk w where w.image_id = g.image_id and w.gt_idx = g.gt_idx))"""
+)
+
+
+@query("match_greedy", GREEDY(BASE, "pred", "p.cls_id = g.cls_id", 0.5) + " select coalesce(gt_cls, pred_cls)::bigint as cls_id, count(*) filter (pred_idx is not null and gt_idx is not null) as tp, count(*) filter (gt_idx is null) as fp, count(*) filter (pred_idx is null) as fn from done group by 1")
 def _(s, d):
     m = E.greedy_matches(*tables(s, d), 0.5)
     return m.groupBy(F.coalesce("gt_cls", "pred_cls").alias("cls_id")).agg(F.count("iou").alias("tp"), F.count_if(F.col("gt_idx").isNull()).alias("fp"), F.count_if(F.col("pred_idx").isNull()).alias("fn"))
 
 
-@query("confusion_matrix")
+@query("confusion_matrix", GREEDY(BASE, "(select * from pred where conf >= 0.25)", "true", 0.45) + " select coalesce(gt_cls, -1)::bigint as true_cls, coalesce(pred_cls, -1)::bigint as pred_cls, count(*) as n, round(count(*) / greatest(1, sum(count(*)) over (partition by coalesce(gt_cls, -1))), 6) as share from done group by 1, 2, coalesce(gt_cls, -1)")
 def _(s, d):
     p, g = tables(s, d)
     return E.confusion(E.greedy_matches(p.where("conf >= 0.25"), g, 0.45, by_class=False))
 
 
-@query("nms")
+NMS = (
+    BASE.replace("with ", "with recursive ", 1).rstrip() + f""",
+pr_ as (select *, row_number() over (partition by image_id order by conf desc, pred_idx) as rn from pred),
+block as (select p.image_id, p.rn, list(g.rn) as by_ from pr_ p join pr_ g on p.image_id = g.image_id and p.cls_id = g.cls_id and g.rn < p.rn where case when {WIDE} > 0 and {HIGH} > 0 then {WIDE} * {HIGH} / ((p.x2 - p.x1) * (p.y2 - p.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) - {WIDE} * {HIGH}) else 0.0 end > 0.3 group by 1, 2),
+walk as (select distinct image_id, 0::bigint as rn, []::bigint[] as kept, null::int as cls_id, false as stays from pr_
+ union all select w.image_id, p.rn, case when len(w.kept) < 300 and not coalesce(list_has_any(w.kept, b.by_), false) then list_append(w.kept, p.rn) else w.kept end, p.cls_id, len(w.kept) < 300 and not coalesce(list_has_any(w.kept, b.by_), false) from walk w join pr_ p on p.image_id = w.image_id and p.rn = w.rn + 1 left join block b on b.image_id = p.image_id and b.rn = p.rn)"""
+)
+
+
+@query("nms", NMS + " select cls_id, count(*) as n_kept from walk where stays group by 1")
 def _(s, d):
     return E.nms(tables(s, d)[0], 0.3).groupBy("cls_id").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
-@query("pr_trapezoid")
+@query("pr_trapezoid", BASE.rstrip() + ",\n" + FLAGS + "," + PR + ", top as (select cls_id, least(100, floor(recall * 100 + 1e-9))::int as grid, max(precision) as p from pr group by 1, 2), g as (select e.cls_id, e.grid, round(coalesce(max(p) over (partition by e.cls_id order by e.grid desc), 0.0), 6) as precision from (select distinct cls_id, unnest(range(0, 101))::int as grid from (select distinct cls_id from pr)) e left join top t on e.cls_id = t.cls_id and e.grid = t.grid) select cls_id, round(sum(a), 6) as area from (select cls_id, (grid / 100.0 - lag(grid) over w / 100.0) * (precision + lag(precision) over w) / 2 as a from g window w as (partition by cls_id order by grid)) group by 1")
 def _(s, d):
     f, g = flags(s, d)
     x = E.recall_grid(E.pr_points(f, g)).withColumn("recall", F.col("grid") / 100.0)

@@ -109,7 +109,7 @@ def test_rename_plan_reaches_every_reference(spark):
     got = {r.old_value: r.new_value for r in catalog.rename_plan({"t": (df, "j")}, "ds_a", "new", ("t",)).collect()}
     assert got == {texts[0]: json.dumps({"history": json.dumps([{"name": "new"}]), "p": "x\\new\\y"}), texts[2]: None}
     sf = "/root/testdata/sf0.01"
-    plan = __spark_entry__.queries()["rename_plan"](spark, sf).collect()
+    plan = [r for q in ("rename_plan", "rename_documents") for r in __spark_entry__.queries()[q](spark, sf).collect()]
     want = {"runs"} | {f"{t}.dataset" for t in ("annotations", "dataset_catalog", "images", "label_files")} | {"runs.dataset_name", "run_payloads.payload", "run_payloads.run_dir", "metric_files.raw_path", "label_files.label_path"}
     assert want <= {r.table_name for r in plan} and len(plan) == len(set(plan))
     assert all(f"{t}.{c}" in {f"{n}.{x}" for n, cs in q_catalog.REFERENCES.items() for x in cs.split()} for t in q_catalog.REFERENCES for c in spark.read.parquet(f"{sf}/{t}.parquet").columns if c == "dataset")
