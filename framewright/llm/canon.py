@@ -1,19 +1,23 @@
 """Free-typed names mapped to a reference list: a trie of all reference paths, searched with a Levenshtein automaton.
 
 Every reference name and alias enters the trie under each order of its words and each way its letters are written; all paths lead to
-the entry's class. A typed name is stripped of decoration and read as one run of letters; the search returns all entries within a
-distance that depends on its length. The nearest class wins; a tie between classes is reported as ambiguous, never guessed.
-Names that the search does not reach are tried as shortened words. The lists are reference data: their size is checked against
-MAX_ENTRIES and only then collected. Labels are mapped where they are read, one search per distinct label of a worker, no shuffle.
-
-Defined results: null, empty and letterless names map to nothing; very long names (over MAX_LENGTH letters) are farther than any limit
-and map to nothing; repeated rows map alike; an empty reference list maps nothing; extra columns are kept.
+the entry's class. Entries of more than four words enter in their own order alone; their other orders are found by the words
+they share with the typed name, all but as many as the edits allowed. A typed name is stripped of decoration and read as one run of
+letters, however long: the automaton ends by itself where no entry can follow. The search returns all entries within a distance that
+depends on the entry's length. The nearest class wins; a tie between classes is reported as ambiguous, never guessed. Names that the
+search does not reach are tried as shortened words. The lists are reference data: their size is checked against MAX_ENTRIES and only
+then collected. Labels are mapped where they are read, one search per distinct label of a worker, no shuffle.
+
+Defined results: null, empty and letterless names map to nothing; repeated rows map alike; an empty reference list maps nothing; more
+than MAX_ENTRIES entries are an error; extra columns are kept.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -25,12 +29,12 @@ from framewright.llm.text import ACCENT, FOLD, INVISIBLE
 from framewright.operators.skew import spread
 
 MAX_ENTRIES = 100_000
-MAX_LENGTH = 200
-MAX_WORDS_PERMUTED = 4
+PERMUTED = 4
+MOST = 2
 CACHE = 200_000
-# Words before a colon, and remarks after a name, that are not part of it.
+# Words before a colon, and signs of remarks after a name, that are not part of it.
 PREFIX = re.compile(r"^\s*(?:class|label|object|obj|name|type|cls)\s*[:=]\s*", re.I)
-REMARK = re.compile(r"\s+[-–—]\s+.*$|(?<=\S)\s*[(\[{][^)\]}]*[)\]}]\s*$|\s*#\s*\d*\s*$")
+DASHED, NUMBERED = re.compile(r"\s[-–—]\s"), re.compile(r"\s?#\s?\d*$")
 # How German letters are also written.
 WRITTEN = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
 RESULT = "class_id int, distance int, how string"
@@ -38,10 +42,7 @@ RESULT = "class_id int, distance int, how string"
 
 def limit(length: int) -> int:
     """Edits allowed to a reference entry of so many letters."""
-    return 0 if length < 5 else 1 if length < 8 else 2
-
-
-MOST = limit(MAX_LENGTH)
+    return 0 if length < 5 else 1 if length < 8 else MOST
 
 
 def plain(text: str) -> str:
@@ -55,12 +56,24 @@ def name_words(text: str) -> list[str]:
     return re.findall(r"[^\W\d_]+", plain(text))
 
 
+def remark_at(text: str) -> int:
+    """Where a remark begins (after a dash, in a last pair of brackets, a last number sign); the length of the text if there is none. Blanks are single."""
+    at = [m.start() for m in (DASHED.search(text), NUMBERED.search(text)) if m]
+    if text and text[-1] in ")]}":
+        # The first bracket that opens after the last one closed before.
+        after = max(text.rfind(c, 0, len(text) - 1) for c in ")]}") + 1
+        opened = [i for c in "([{" if (i := text.find(c, after)) > 0]
+        if opened and text[: min(opened)].strip():
+            at.append(len(text[: min(opened)].rstrip()))
+    return min(at, default=len(text))
+
+
 def undecorated(label: str) -> str:
-    text = PREFIX.sub("", unicodedata.normalize("NFKC", INVISIBLE.sub("", label)).strip())
+    text = PREFIX.sub("", " ".join(unicodedata.normalize("NFKC", INVISIBLE.sub("", label)).split()))
     if m := re.fullmatch(r"[(\[{\"'«](.*?)[)\]}\"'»]", text):
-        text = m[1]
-    while (cut := REMARK.sub("", text)) != text and re.search(r"[^\W\d_]", cut):
-        text = cut
+        text = m[1].strip()
+    while (at := remark_at(text)) < len(text) and re.search(r"[^\W\d_]", text[:at]):
+        text = text[:at]
     return text
 
 
@@ -91,24 +104,39 @@ class Automaton:
     def distance(self, state: tuple) -> int | None:
         return dict(state[2]).get(len(self.word))
 
+    def to(self, other: str) -> int | None:
+        """Edits to another word, or None if they are too many."""
+        state = self.start()
+        for char in other:
+            state = self.step(state, char)
+        return self.distance(state)
+
 
 class ReferenceTrie:
     """Paths of letters to sets of class ids; the empty key of a node holds the ids that end there."""
 
     def __init__(self, entries: list[tuple[str, int]]) -> None:
         self.root: dict = {}
-        self.word_lists: list[tuple[list[str], int]] = []
+        self.by_size: dict[int, list[tuple[list[str], int]]] = defaultdict(list)
+        self.long: list[tuple[list[str], int]] = []
+        self.long_with: dict[str, set[int]] = defaultdict(set)
         for name, class_id in entries:
             for written in {name, name.casefold().translate(WRITTEN)}:
                 w = name_words(written)
                 if not w:
                     continue
-                self.word_lists.append((w, class_id))
-                for order in permutations(w) if len(w) <= MAX_WORDS_PERMUTED else [tuple(w)]:
+                self.by_size[len(w)].append((w, class_id))
+                if len(w) > PERMUTED:
+                    for x in w:
+                        self.long_with[x].add(len(self.long))
+                    self.long.append((w, class_id))
+                for order in permutations(w) if len(w) <= PERMUTED else [tuple(w)]:
                     node = self.root
                     for char in "".join(order):
                         node = node.setdefault(char, {})
                     node.setdefault("", set()).add(class_id)
+        for rows in self.by_size.values():
+            rows.sort()
 
     def within(self, word: str) -> dict[int, int]:
         """class id -> least distance, of all entries within as many edits of the word as their length allows."""
@@ -125,10 +153,35 @@ class ReferenceTrie:
                     stack.append((child, after, depth + 1))
         return found
 
+    def reordered(self, typed: list[str]) -> dict[int, int]:
+        """class id -> least distance, of the entries of more than PERMUTED words that have the typed words in any order, up to MOST of them misspelt."""
+        found: dict[int, int] = {}
+        if len(typed) <= PERMUTED:
+            return found
+        for i in set().union(*(self.long_with.get(t, set()) for t in typed)):
+            w, class_id = self.long[i]
+            mine, theirs = Counter(typed) - Counter(w), Counter(w) - Counter(typed)
+            if len(w) != len(typed) or mine.total() > MOST:
+                continue
+            own = list(mine.elements())
+            for order in permutations(theirs.elements()):
+                apart = [Automaton(a, MOST).to(b) for a, b in zip(own, order, strict=True)]
+                if None not in apart and (d := sum(apart)) <= limit(sum(map(len, w))):
+                    found[class_id] = min(d, found.get(class_id, d))
+        return found
+
     def shortened(self, typed: list[str]) -> set[int]:
         """Classes of which each word begins with the typed word in its place: three letters of two words and more, four of one."""
         least = 3 if len(typed) > 1 else 4
-        return {class_id for w, class_id in self.word_lists if len(w) == len(typed) and all(len(t) >= least and full.startswith(t) for t, full in zip(typed, w, strict=True))}
+        if min(map(len, typed)) < least:
+            return set()
+        rows, out = self.by_size.get(len(typed), []), set()
+        for w, class_id in rows[bisect_left(rows, ([typed[0]],)) :]:
+            if not w[0].startswith(typed[0]):
+                break
+            if all(full.startswith(t) for t, full in zip(typed, w, strict=True)):
+                out.add(class_id)
+        return out
 
     def read(self, label: str | None) -> tuple[int | None, int | None, str]:
         """(class id, distance, how): how is exact, near, shortened, ambiguous or none."""
@@ -136,9 +189,11 @@ class ReferenceTrie:
             return None, None, "none"
         typed = name_words(undecorated(label))
         word = "".join(typed)
-        if not word or len(word) > MAX_LENGTH:
+        if not word:
             return None, None, "none"
         found = self.within(word)
+        for class_id, d in self.reordered(typed).items():
+            found[class_id] = min(d, found.get(class_id, d))
         if found:
             nearest = min(found.values())
             best = [c for c, d in found.items() if d == nearest]
@@ -204,10 +259,10 @@ def meant(names: DataFrame, record: Column, label: Column, origin: str, ref: Dat
     return got.select(F.lit(origin).alias("origin"), "record_id", "class_id").distinct()
 
 
-def unmatched(names: DataFrame, column: str, ref: DataFrame, alias: DataFrame) -> DataFrame:
-    """Typed names that mean no class (or more than one), with their rows."""
-    counted = names.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return mapped(counted, "label", ref, alias).where("class_id is null").select("label", "n_rows", "how")
+def unmatched(names: DataFrame, ref: DataFrame, alias: DataFrame) -> DataFrame:
+    """origin, label, rows and how, of the names (origin, label) that mean no class (none) or more than one (ambiguous)."""
+    counted = names.groupBy("origin", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return mapped(counted, "label", ref, alias).where("class_id is null").select("origin", "label", "n_rows", "how")
 
 
 def new_class_map(classes: DataFrame, ref: DataFrame, alias: DataFrame) -> DataFrame:

@@ -30,7 +30,9 @@ def p5_class_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    return canon.unmatched(table(spark, d, "cvat_boxes"), "label", table(spark, d, "ref_classes"), table(spark, d, "class_alias"))
+    boxes = table(spark, d, "cvat_boxes").select(F.lit("cvat_boxes").alias("origin"), "label")
+    names = table(spark, d, "classes").select(F.lit("classes").alias("origin"), F.col("name").alias("label"))
+    return canon.unmatched(boxes.unionByName(names), table(spark, d, "ref_classes"), table(spark, d, "class_alias"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
