@@ -7,7 +7,8 @@ lower ones pool both, so a rare expression is smoothed alike in both models and
 The reviews label documents, not sentences, and slip at times. Training therefore alternates: models fitted on other folds score the
 sentences of each labelled document, and only sentences that look toxic there move to the toxic model (of a toxic document at least
 its worst one while it is above the ordinary level). The threshold is the one that separates held-out reviewed documents best.
-Models are fitted on at most MAX_LABELLED reviewed documents (whole texts, chosen by a hash of the id); every document is scored in full.
+Models are fitted on at most MAX_LABELLED reviewed documents of at most MAX_LETTERS letters (whole texts, chosen by a hash of the id);
+every document is scored in full.
 
 Defined results: null and empty texts score nothing below any threshold (score null, not offensive); opinions that are null count for
 nothing, and a tie of opinions drops the document from training; without labels of both kinds no document is a case; repeated rows
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.text import fold
 from framewright.operators.skew import spread
+from framewright.session import cut_lineage
 
 ORDER = 6
 SHARED = 2
@@ -35,6 +37,7 @@ WINDOW = 48
 FOLDS = 3
 ROUNDS = 2
 MAX_LABELLED = 8_000
+MAX_LETTERS = 50_000_000
 PIECE = 160
 CACHE = 300_000
 DISCOUNT = 0.75
@@ -55,105 +58,166 @@ def plain(sentence: str) -> str:
     return DIGITS.sub("0", OTHER.sub(" ", REPEAT.sub(r"\1", s))).strip()
 
 
+def raw_sentences(text: str) -> list[str]:
+    return SPLIT.split(fold(text))
+
+
+def pieces(raw: str) -> list[str]:
+    """A sentence as written plainly; one over PIECE letters is cut into overlapping pieces at blanks."""
+    s, out = plain(raw), []
+    if len(s) <= PIECE:
+        return [s] if s else []
+    start = 0
+    while start < len(s):
+        end = start + PIECE
+        if end < len(s) and (cut := s.rfind(" ", start + PIECE // 2, end)) > 0:
+            end = cut
+        out.append(s[start:end].strip())
+        if end >= len(s):
+            break
+        start = s.rfind(" ", start, (start + end) // 2) + 1 or (start + end) // 2
+        start = max(start, end - PIECE + 1)
+    return out
+
+
 def sentences(text: str) -> list[str]:
-    """Plain sentences of a text; one over PIECE letters is cut into overlapping pieces at blanks."""
-    out = []
-    for raw in SPLIT.split(fold(text)):
-        s = plain(raw)
-        if len(s) <= PIECE:
-            if s:
-                out.append(s)
-            continue
-        start = 0
-        while start < len(s):
-            end = start + PIECE
-            if end < len(s) and (cut := s.rfind(" ", start + PIECE // 2, end)) > 0:
-                end = cut
-            out.append(s[start:end].strip())
-            if end >= len(s):
-                break
-            start = s.rfind(" ", start, (start + end) // 2) + 1 or (start + end) // 2
-            start = max(start, end - PIECE + 1, out and start)
+    """Plain sentences of a text, long ones in pieces."""
+    return [p for raw in raw_sentences(text) for p in pieces(raw)]
+
+
+class Letters:
+    """Hashes of the grams that end at each letter (and end mark) of some texts, with the filling letters before each text's first."""
+
+    def __init__(self, texts: list[str]) -> None:
+        pad = "\x02" * (ORDER - 1)
+        codes = np.frombuffer("".join(f"{pad}{t}\x03" for t in texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        sizes = np.array([len(t) + ORDER for t in texts], dtype=np.int64)
+        self.real = np.flatnonzero(codes != 2)
+        self.owner = np.repeat(np.arange(len(texts)), sizes)[self.real]
+        past = codes + np.uint64(1)
+        h = np.zeros(len(codes), np.uint64)
+        #: By order, over all places; a gram's history is the gram of one order less at the place before.
+        self.hash = [h]
+        for k in range(1, ORDER + 1):
+            # Built to the left, so that the hash of order k - 1 is that of the gram without its first letter.
+            shifted = np.zeros_like(past)
+            shifted[k - 1 :] = past[: len(past) - k + 1]
+            h = (h * BASE) ^ (shifted * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k))
+            self.hash.append(h)
+
+
+class GramSet:
+    """The distinct grams of some texts by order, each with its suffix (one letter less) and its history, and where they stand."""
+
+    def __init__(self, texts: list[str]) -> None:
+        x = Letters(texts)
+        self.owner, self.ids, self.kinds = x.owner, [], []
+        for k in range(1, ORDER + 1):
+            u, first, at = np.unique(x.hash[k][x.real], return_index=True, return_inverse=True)
+            place = x.real[first]
+            self.ids.append(at)
+            self.kinds.append((u, x.hash[k - 1][place], x.hash[k - 1][place - 1], x.hash[max(0, k - 2)][place - 1]))
+
+    def of(self, chosen: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
+        """By order: the grams of the chosen texts (all by default), their suffixes, histories, histories of the suffixes, and counts."""
+        here = None if chosen is None else chosen[self.owner]
+        out = []
+        for ids, kinds in zip(self.ids, self.kinds, strict=True):
+            n = np.bincount(ids if here is None else ids[here], minlength=len(kinds[0]))
+            on = n > 0
+            out.append((*(x[on] for x in kinds), n[on]))
+        return out
+
+
+Table = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def kneser_ney(sets: list[list[tuple[np.ndarray, ...]]], orders: range) -> dict[int, Table]:
+    """Per order: grams with their discounted share, and histories with their backoff weight, of the texts of all sets together."""
+    out = {}
+    for k in orders:
+        if k == ORDER:
+            (u, _, hist, _, n), *rest = [s[k - 1] for s in sets]
+            if rest:
+                raise ValueError("the highest order is not shared")
+        else:
+            # Continuations: distinct (k+1)-grams that end in the k-gram.
+            gram, suffix, _, back = (np.concatenate([s[k][i] for s in sets]) for i in range(4))
+            if len(sets) > 1:
+                _, one = np.unique(gram, return_index=True)
+                suffix, back = suffix[one], back[one]
+            u, at, n = np.unique(suffix, return_index=True, return_counts=True)
+            hist = back[at]
+        h, group = np.unique(hist, return_inverse=True)
+        total = np.bincount(group, weights=n)
+        out[k] = (u, (n - DISCOUNT) / total[group], h, DISCOUNT * np.bincount(group) / total)
     return out
 
 
-def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of the 0- to ORDER-grams that end at each letter (and at the end mark), and the text each letter is of."""
-    pad = "\x02" * (ORDER - 1)
-    codes = np.frombuffer("".join(f"{pad}{t}\x03" for t in texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    sizes = np.array([len(t) + ORDER for t in texts])
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    real = np.flatnonzero(codes != 2)
-    out, h = [np.zeros(len(real), np.uint64)], np.zeros(len(codes), np.uint64)
-    past = codes + np.uint64(1)
-    for k in range(1, ORDER + 1):
-        # Hash of the k-gram ending at i, built to the left, so that h[i-1] of order k-1 is its history.
-        shifted = np.zeros_like(past)
-        shifted[k - 1 :] = past[: len(past) - k + 1]
-        h = (h * BASE) ^ (shifted * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k))
-        out.append(h[real])
-    before = [np.zeros(len(real), np.uint64)]
-    g = np.zeros(len(codes), np.uint64)
-    for k in range(1, ORDER):
-        shifted = np.zeros_like(past)
-        shifted[k - 1 :] = past[: len(past) - k + 1]
-        g = (g * BASE) ^ (shifted * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k))
-        before.append(g[real - 1])
-    return [*out, *before], owner[real]
-
-
-class Counts:
-    """Kneser-Ney counts of one set of texts: per order the distinct grams with discounted share, and per history the backoff weight."""
-
-    def __init__(self, full: list[np.ndarray]) -> None:
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in range(ORDER, 0, -1):
-            gram, hist = full[k], full[ORDER + k]
-            if k == ORDER:
-                u, first, n = np.unique(gram, return_index=True, return_counts=True)
-            else:
-                # Continuations: distinct (k+1)-grams that end in the k-gram.
-                _, one = np.unique(full[k + 1], return_index=True)
-                u, at, n = np.unique(gram[one], return_index=True, return_counts=True)
-                first = one[at]
-            h, back = np.unique(hist[first], return_inverse=True)
-            total = np.bincount(back, weights=n)
-            kinds = np.bincount(back)
-            share = (n - DISCOUNT) / total[back]
-            self.tables[k] = (u, share, h, DISCOUNT * kinds / total)
-
-
-def lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, default: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(asked), default)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, values[at], default)
+class Lookup:
+    """Places of 64-bit keys by their leading hash bits; keys that meet another in their slot are searched."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.n, self.bits = len(keys), np.uint64(max(4, int(4 * len(keys) + 1).bit_length()))
+        self.keys = np.concatenate([keys, [np.uint64(0)]])
+        self.slot = np.full(1 << int(self.bits), self.n, np.int32)
+        s = self.slots(keys)
+        self.slot[s[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
+        late = np.flatnonzero(self.slot[s] != np.arange(len(keys)))
+        order = np.argsort(keys[late], kind="stable")
+        self.late_keys, self.late = keys[late][order], late[order].astype(np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - self.bits)
+
+    def places(self, asked: np.ndarray) -> np.ndarray:
+        """Place of each key, or the number of keys where it is not one."""
+        at = self.slot[self.slots(asked)]
+        miss = np.flatnonzero((self.keys[at] != asked) & (at < self.n))
+        if len(miss):
+            at[miss] = self.n
+            if len(self.late):
+                want = asked[miss]
+                i = np.minimum(np.searchsorted(self.late_keys, want), len(self.late) - 1)
+                ok = self.late_keys[i] == want
+                at[miss[ok]] = self.late[i[ok]]
+        return at
 
 
 class Model:
-    """Both class models with their shared low orders."""
-
-    def __init__(self, toxic: list[str], ordinary: list[str]) -> None:
-        self.own = [Counts(grams(x)[0]).tables for x in (toxic, ordinary)]
-        self.shared = Counts(grams(toxic + ordinary)[0]).tables
-        self.own = [{k: t for k, t in own.items() if k > SHARED} for own in self.own]
-        self.shared = {k: t for k, t in self.shared.items() if k <= SHARED}
+    """Both class models with their shared low orders: one table per order, with the shares of its grams and their weights as histories."""
+
+    def __init__(self, toxic: list[tuple[np.ndarray, ...]], ordinary: list[tuple[np.ndarray, ...]]) -> None:
+        shared = kneser_ney([toxic, ordinary], range(1, SHARED + 1))
+        both = [shared | kneser_ney([x], range(SHARED + 1, ORDER + 1)) for x in (toxic, ordinary)]
+        self.first = [t[1][3][0] for t in both]  # weight of the empty history
+        self.tables = []
+        for k in range(1, ORDER + 1):
+            keys = np.unique(np.concatenate([t[k][0] for t in both] + [t[k + 1][2] for t in both if k < ORDER]))
+            share, back = np.zeros((2, len(keys) + 1), np.float32), np.ones((2, len(keys) + 1), np.float32)
+            for c, t in enumerate(both):
+                share[c, np.searchsorted(keys, t[k][0])] = t[k][1]
+                if k < ORDER:
+                    back[c, np.searchsorted(keys, t[k + 1][2])] = t[k + 1][3]
+            self.tables.append((Lookup(keys), share, back))
+
+    def probabilities(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Probability of each letter (and end mark) of all texts under both models, and the text it is of."""
+        x = Letters(texts)
+        p, last = [np.full(len(x.real), 1e-4), np.full(len(x.real), 1e-4)], None
+        for k, (lookup, share, back) in enumerate(self.tables, 1):
+            at = lookup.places(x.hash[k])
+            here = at[x.real]
+            for c in range(2):
+                weight = self.first[c] if last is None else last[1][c][last[0]]
+                p[c] = share[c][here] + weight * p[c]
+            last = at[x.real - 1], back
+        return p, x.owner
 
     def letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood ratio of each letter (and end mark) of all texts, and the text it is of."""
-        full, owner = grams(texts)
-        base = np.full(len(owner), 1e-4)
-        for k in range(1, SHARED + 1):
-            u, share, h, back = self.shared[k]
-            base = lookup(u, share, full[k], 0.0) + lookup(h, back, full[ORDER + k], 1.0) * base
-        both = []
-        for own in self.own:
-            p = base
-            for k in range(SHARED + 1, ORDER + 1):
-                u, share, h, back = own[k]
-                p = lookup(u, share, full[k], 0.0) + lookup(h, back, full[ORDER + k], 1.0) * p
-            both.append(np.log(p))
-        return both[0] - both[1], owner
+        p, owner = self.probabilities(texts)
+        return np.log(p[0] / p[1]), owner
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -205,24 +269,35 @@ def trained(labelled: list[tuple[int, int, str]]) -> tuple[Model, float] | None:
     docs = [x for x in docs if x[2]]
     if {y for _, y, _ in docs} != {0, 1}:
         return None
+    # Every sentence's grams are found once; a fold's counts are then sums over its sentences.
+    every = sorted({s for _, _, sents in docs for s in sents})
+    place, grams = {s: i for i, s in enumerate(every)}, GramSet(every)
     fold_of = [zlib.crc32(str(d).encode()) % FOLDS for d, _, _ in docs]
     clean = {s for _, y, sents in docs if not y for s in sents}
     # First guess: what toxic documents say and clean ones do not. Later: what models of the other folds find toxic.
     bad: dict[str, str] = {s: s for _, y, sents in docs if y for s in sents if s not in clean}
     slips: set[str] = set()
     threshold = 0.0
+
+    def fitted(some: list[tuple[int, int, list[str]]]) -> Model | None:
+        toxic, ordinary = training_sets(some, bad, slips)
+        if not toxic or not ordinary:
+            return None
+        chosen = np.zeros(len(every), bool)
+        chosen[[place[s] for s in ordinary]] = True
+        return Model(GramSet(toxic).of(), grams.of(chosen))
+
     for _ in range(ROUNDS + 1):
         got: dict[str, list[float]] = {}
         cut: dict[str, str] = {}
         held: list[tuple[float, int]] = []
         for f in range(FOLDS):
-            toxic, ordinary = training_sets([x for x, g in zip(docs, fold_of, strict=True) if g != f], bad, slips)
-            if not toxic or not ordinary:
+            model = fitted([x for x, g in zip(docs, fold_of, strict=True) if g != f])
+            if model is None:
                 continue
-            model = Model(toxic, ordinary)
             test = [x for x, g in zip(docs, fold_of, strict=True) if g == f]
-            every = sorted({s for _, _, sents in test for s in sents})
-            value = dict(zip(every, model.scores(every).tolist(), strict=True))
+            asked = sorted({s for _, _, sents in test for s in sents})
+            value = dict(zip(asked, model.scores(asked).tolist(), strict=True))
             for s, v in value.items():
                 got.setdefault(s, []).append(v)
             suspect = sorted({s for _, y, sents in test if y for s in sents if value[s] > 0})
@@ -236,8 +311,8 @@ def trained(labelled: list[tuple[int, int, str]]) -> tuple[Model, float] | None:
         # A clean document's sentence counts as a slip of the review only if it is as toxic as the plainly toxic ones.
         plainly = float(np.median([guess[s] for s in bad])) if bad else np.inf
         slips = {s for s in clean if guess.get(s, 0.0) > plainly}
-    toxic, ordinary = training_sets(docs, bad, slips)
-    return (Model(toxic, ordinary), threshold) if toxic and ordinary else None
+    model = fitted(docs)
+    return (model, threshold) if model else None
 
 
 def training_sets(docs: list[tuple[int, int, list[str]]], bad: dict[str, str], slips: set[str]) -> tuple[list[str], list[str]]:
@@ -247,12 +322,20 @@ def training_sets(docs: list[tuple[int, int, list[str]]], bad: dict[str, str], s
     return sorted(toxic), sorted(ordinary - toxic)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[tuple[int, int, str]]:
-    """(doc_id, label, text) of at most bound reviewed documents, by majority of the opinions."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, letters: int = MAX_LETTERS) -> list[tuple[int, int, str]]:
+    """(doc_id, label, text) of at most bound reviewed documents of at most so many letters in all, by majority of the opinions."""
     votes = labels.where("doc_id is not null and offensive is not null").groupBy("doc_id").agg(F.avg(F.col("offensive").cast("double")).alias("share")).where("share <> 0.5")
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select("doc_id", (F.col("share") > 0.5).cast("int").alias("label"))
     # At most `bound` rows of two numbers are broadcast.
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").toLocalIterator()
+    # At most `bound` rows of two numbers are broadcast, and as many met; their lengths are summed to bound the letters too.
+    met = cut_lineage(documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").withColumn("_h", F.xxhash64("doc_id")))
+    sizes = [(r.doc_id, r.n) for r in met.groupBy("doc_id", "_h").agg(F.sum(F.length("text")).alias("n")).orderBy("_h", "doc_id").select("doc_id", "n").collect()]
+    total, kept = 0, []
+    for doc_id, n in sizes:
+        total += n
+        if total <= letters:
+            kept.append(doc_id)
+    rows = met.where(F.col("doc_id").isin(kept)).toLocalIterator() if len(kept) < len(sizes) else met.toLocalIterator()
     return sorted((r.doc_id, r.label, r.text) for r in rows)
 
 
@@ -269,13 +352,16 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             for start in range(0, len(b), 200):
                 part = b.iloc[start : start + 200]
-                split = [sentences(t) if isinstance(t, str) else [] for t in part["text"]]
+                split = [raw_sentences(t) if isinstance(t, str) else [] for t in part["text"]]
                 if len(known) > CACHE:
                     known.clear()
-                fresh = list({s for sents in split for s in sents if s not in known})
+                # A sentence is read and scored once, however often it stands in the documents of a task.
+                fresh = [(raw, ps) for raw in dict.fromkeys(x for xs in split for x in xs) if raw not in known if (ps := pieces(raw)) or known.update({raw: None})]
                 for at in range(0, len(fresh), 2000):
-                    known.update(zip(fresh[at : at + 2000], m.scores(fresh[at : at + 2000]).tolist(), strict=True))
-                worst = [max((known[s] for s in sents), default=None) for sents in split]
+                    some = fresh[at : at + 2000]
+                    values = iter(m.scores([p for _, ps in some for p in ps]).tolist())
+                    known.update((raw, max(next(values) for _ in ps)) for raw, ps in some)
+                worst = [max((v for x in xs if (v := known[x]) is not None), default=None) for xs in split]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "score": pd.Series(worst, dtype="Float64"), "offensive": [w is not None and w >= threshold for w in worst]})
 
     return spread(base, ["doc_id"]).mapInPandas(score, "doc_id long, source string, score double, offensive boolean")

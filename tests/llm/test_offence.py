@@ -44,24 +44,31 @@ def test_without_labels_or_documents(spark):
 
 
 def test_models_are_distributions():
-    m = offence.Model(["abab", "abba"], ["bcbc", "cccb"])
-    full = offence.grams(["ab", "bc"])[0]
-    assert len(full) == 2 * offence.ORDER + 1
-    alphabet = "abc\x03"
-    total = 0.0
-    base = np.zeros(1)
-    for c in alphabet:
-        f, _ = offence.grams(["ab" + ("" if c == "\x03" else c)])
-        at = 2
-        p = 1e-4
-        for k in range(1, offence.SHARED + 1):
-            u, share, h, back = m.shared[k]
-            p = offence.lookup(u, share, f[k][at : at + 1], 0.0) + offence.lookup(h, back, f[offence.ORDER + k][at : at + 1], 1.0) * p
-        for k in range(offence.SHARED + 1, offence.ORDER + 1):
-            u, share, h, back = m.own[0][k]
-            p = offence.lookup(u, share, f[k][at : at + 1], 0.0) + offence.lookup(h, back, f[offence.ORDER + k][at : at + 1], 1.0) * p
-        total += float(p[0])
-    assert base.size == 1 and 0.9 < total <= 1.0  # the rest is for letters never seen
+    m = offence.Model(offence.GramSet(["abab", "abba"]).of(), offence.GramSet(["bcbc", "cccb"]).of())
+    # The letter after "ab": each of the alphabet, or the end; the rest is for letters never seen.
+    total = [sum(float(m.probabilities(["ab" + x])[0][c][2]) for x in ("a", "b", "c", "")) for c in range(2)]
+    assert 0.9 < total[0] <= 1.0 and 0.8 < total[1] <= 1.0  # the second never saw "ab"
+
+
+def test_counts_of_chosen_texts_are_counts_of_their_own():
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcde "), rng.integers(1, 40))) for _ in range(60)]
+    chosen = rng.random(60) < 0.5
+    for a, b in zip(offence.GramSet(texts).of(chosen), offence.GramSet([t for t, on in zip(texts, chosen, strict=True) if on]).of(), strict=True):
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
+
+
+def test_lookup_finds_what_is_there():
+    keys = np.unique(np.random.default_rng(6).integers(0, 2**64, 5000, dtype=np.uint64))
+    look = offence.Lookup(keys)
+    look.bits, tight = np.uint64(4), offence.Lookup.__new__(offence.Lookup)  # few slots: most keys meet another
+    tight.__dict__ |= {"n": look.n, "bits": np.uint64(4), "keys": look.keys, "slot": np.full(16, look.n, np.int32)}
+    s = tight.slots(keys)
+    tight.slot[s[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
+    late = np.flatnonzero(tight.slot[s] != np.arange(len(keys)))
+    tight.late_keys, tight.late = keys[late], late.astype(np.int32)
+    for x in (offence.Lookup(keys), tight):
+        assert (x.places(keys) == np.arange(len(keys))).all() and (x.places(keys + np.uint64(1)) == len(keys)).all()
 
 
 def test_plain_spelling():
