@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.evaluation import iou_matrix
+from framewright.operators.skew import stated_tasks
+from framewright.session import cut_lineage
 
 
 def split_rank():
@@ -39,20 +41,38 @@ def pruned_duplicates(frames: DataFrame) -> DataFrame:
 RUNS = ((0, 22), (22, 21), (43, 21))
 
 
-def near_pairs(frames: DataFrame, most: int = 5) -> DataFrame:
-    """Pairs of distinct hash values of a data set within `most` (up to 5) bits.
+def run_keys(column: str, neighbours: bool) -> Column:
+    """Hashes of (data set, run number, bits of the run) of a 64-bit hash, one a row; with neighbours also with each single bit turned."""
+    keys = []
+    for i, (first, bits) in enumerate(RUNS):
+        value = f"(shiftrightunsigned({column}, {first}) & {(1 << bits) - 1})"
+        turned = f"transform(sequence(-1, {bits - 1}), _bit -> xxhash64(dataset, {i}, {value} ^ if(_bit < 0, 0L, shiftleft(1L, _bit))))"
+        keys.append(turned if neighbours else f"array(xxhash64(dataset, {i}, {value}))")
+    return F.explode(F.expr(f"array_distinct(concat({', '.join(keys)}))"))
+
 
-    Of three runs of bits one differs in at most one bit, so one side asks with each run and its one-bit neighbours and the other with
-    its three runs: keys of 21 bits, where equal bands of six would have 10 and a thousand times the candidates.
+def hamming_pairs(left: DataFrame, right: DataFrame, most: int = 5) -> DataFrame:
+    """dataset, a, b: all pairs of a hash of left (dataset, a) and one of right (dataset, b) of a data set within `most` (up to 5) bits.
+
+    Of three runs of bits one differs in at most one bit, so the smaller side stores each run and its one-bit neighbours (67 keys) and the
+    other asks with its three runs: keys of 21 bits, where equal bands of six would have 10 and a thousand times the candidates. Only key
+    and hash are moved; the data set comes back by a join of the few hits with both sides, which also undoes chance meetings of keys.
     """
     if most > 5:
         raise ValueError("three runs serve at most 5 differing bits")
-    h = frames.where("ahash is not null").select("dataset", "ahash").distinct()
-    run = lambda i, turned: f"xxhash64(dataset, {i}, (shiftrightunsigned(ahash, {RUNS[i][0]}) & {(1 << RUNS[i][1]) - 1}){turned})"
-    asked = ", ".join(f"transform(sequence(-1, {bits - 1}), b -> {run(i, ' ^ if(b < 0, 0L, shiftleft(1L, b))')})" for i, (_, bits) in enumerate(RUNS))
-    left = h.withColumn("k", F.explode(F.expr(f"concat({asked})")))
-    right = h.select("dataset", F.col("ahash").alias("other"), F.explode(F.expr(f"array({', '.join(run(i, '') for i in range(3))})")).alias("k"))
-    return left.join(right, ["dataset", "k"]).where((F.col("ahash") < F.col("other")) & (F.bit_count(F.col("ahash").bitwiseXOR(F.col("other"))) <= most)).select("dataset", "ahash", "other").distinct()
+    tasks = stated_tasks(left.sparkSession)
+    few, many, x, y = (left, right, "a", "b") if left.count() <= right.count() else (right, left, "b", "a")
+    stored = few.repartition(tasks, "dataset", x).select(run_keys(x, True).alias("_key"), x)
+    asked = many.repartition(tasks, "dataset", y).select(run_keys(y, False).alias("_key"), y)
+    hits = stored.join(asked, "_key").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b").distinct()
+    return hits.join(left, "a").join(right, ["dataset", "b"]).select("dataset", "a", "b")
+
+
+def near_pairs(frames: DataFrame, most: int = 5) -> DataFrame:
+    """dataset, ahash, other: pairs of distinct hash values of a data set within `most` (up to 5) bits, the lower one first."""
+    h = cut_lineage(frames.where("ahash is not null").select("dataset", "ahash").distinct())
+    found = hamming_pairs(h.select("dataset", F.col("ahash").alias("a")), h.select("dataset", F.col("ahash").alias("b")), most)
+    return found.where("a < b").select("dataset", F.col("a").alias("ahash"), F.col("b").alias("other"))
 
 
 def label_signatures(labels: DataFrame) -> DataFrame:
@@ -125,8 +145,6 @@ def leaders(pairs: DataFrame) -> DataFrame:
 
     Rounds halve paths (label of the label), so they grow with the logarithm of the longest chain; each round is cut from its lineage.
     """
-    from framewright.session import cut_lineage
-
     edges = pairs.select("dataset", F.col("ahash").alias("a"), F.col("other").alias("b"))
     edges = cut_lineage(edges.unionByName(edges.select("dataset", F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut_lineage(edges.groupBy("dataset", "a").agg(F.least(F.min("b"), F.min("a")).alias("leader")))
@@ -146,8 +164,6 @@ def farthest_first(vectors: DataFrame, k: int) -> DataFrame:
 
     Each round keeps every value's distance to the nearest chosen one and takes the farthest; no group is collected.
     """
-    from framewright.session import cut_lineage
-
     state = cut_lineage(vectors.select("label", "vec_id", "sig").where("sig is not null").withColumn("near", F.lit(65)).withColumn("turn", F.lit(None).cast("int")))
     for turn in range(k):
         pick = state.where("turn is null").groupBy("label").agg(F.max(F.struct("near", (-F.col("vec_id")).alias("v"), "sig")).alias("p")).select("label", (-F.col("p.v")).alias("v"), F.col("p.sig").alias("s"))

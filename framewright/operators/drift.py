@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from framewright.operators.dedup import leaders
 from framewright.operators.ordered import numbered
 from framewright.operators.schema_match import Field, match_fields, skeleton, spelled, words_of
-from framewright.operators.skew import lookup_join
+from framewright.operators.skew import lookup_join, stated_tasks
 from framewright.session import cut_lineage
 
 BLOCK = 2000
@@ -186,14 +186,10 @@ def walked_blocks(parsed: DataFrame) -> DataFrame:
     # The last file of a block is also the context of the next one.
     placed = placed.withColumn("block", F.explode(F.when(F.col("pos") % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))))
     # A stated number of partitions: adaptive execution would put all of these small groups into one or two tasks.
-    placed = placed.select(*SERIES, "block", "pos", "raw_path", "fields").repartition(tasks(parsed), *SERIES, "block")
+    placed = placed.select(*SERIES, "block", "pos", "raw_path", "fields").repartition(stated_tasks(parsed.sparkSession), *SERIES, "block")
     return cut_lineage(placed.groupBy(*SERIES, "block").applyInPandas(walk_block, WALKED))
 
 
-def tasks(df: DataFrame) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def changes(files: DataFrame) -> DataFrame:
     """raw_path, change (added, removed, renamed, retyped), field: every difference of a file to the one before it in its series."""
     walked = walked_blocks(parsed_files(files))

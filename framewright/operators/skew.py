@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -41,3 +41,8 @@ def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores, *by)
+
+
+def stated_tasks(spark: SparkSession) -> int:
+    """A number of partitions to state where few bytes mean much work, which adaptive execution would put into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
