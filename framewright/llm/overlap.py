@@ -2,8 +2,9 @@
 
 A frame has no words; its 64-bit average hash is its text, and position-tagged runs of bits are the n-grams. Evaluation frames
 are indexed by the hashes of their runs, the training frames are scanned for hits, and containment is the share of equal bits:
-at least (64 - MAX_BITS) of 64. Three runs of 21 and 22 bits are used: of five differing bits one run holds at most one, so the
-evaluation side stores each run and its one-bit neighbours (67 keys) and the training side asks with three. No pair is lost.
+at least (64 - MAX_BITS) of 64. Three runs of 21 and 22 bits are used: of five differing bits one run holds at most one, so one side (the
+one with fewer hashes, as a rule the evaluation frames) stores each run and its one-bit neighbours and the other asks with three
+(framewright.operators.dedup.hamming_pairs). No pair is lost.
 
 Frames with one hash form a class first; classes are compared, and only hits are written out as pairs, with large classes cut into
 slots. Defined results: rows without data set, image_id or split count for nothing; null hashes match nothing; several listings of
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.splits import canonical_split
+from framewright.operators.dedup import hamming_pairs
+from framewright.session import cut_lineage
 
 MAX_BITS = 5
-RUNS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 SLOT = 2000
 
 
@@ -34,22 +36,14 @@ def classes_of(rows: DataFrame, column: str, side: str) -> DataFrame:
     return rows.where((F.col("side") == side) & F.col(column).isNotNull()).groupBy("dataset", F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n")).select("dataset", "key", F.ceil(F.col("n") / SLOT).cast("int").alias("slots"))
 
 
-def run_keys(neighbours: bool):
-    """Hashes of (run number, bits of the run), for the column key; with neighbours also with each single bit turned."""
-    keys = []
-    for i, (first, bits) in enumerate(RUNS):
-        value = f"(shiftrightunsigned(key, {first}) & {(1 << bits) - 1})"
-        turned = f"transform(sequence(-1, {bits - 1}), b -> xxhash64(dataset, {i}, {value} ^ if(b < 0, 0L, shiftleft(1L, b))))"
-        keys.append(turned if neighbours else f"array(xxhash64(dataset, {i}, {value}))")
-    return F.explode(F.expr(f"array_distinct(concat({', '.join(keys)}))"))
-
-
 def class_pairs(rows: DataFrame) -> DataFrame:
     """dataset, train_key, eval_key and slots of all pairs of ahash classes within MAX_BITS."""
-    train = classes_of(rows, "ahash", "train").withColumn("gram", run_keys(False))
-    held = classes_of(rows, "ahash", "eval").withColumn("gram", run_keys(True)).select("gram", F.col("dataset").alias("eval_dataset"), F.col("key").alias("eval_key"), F.col("slots").alias("eval_slots"))
-    hits = train.join(held, "gram").where((F.col("dataset") == F.col("eval_dataset")) & (F.bit_count(F.col("key").bitwiseXOR(F.col("eval_key"))) <= MAX_BITS))
-    return hits.select("dataset", F.col("key").alias("train_key"), "eval_key", F.col("slots").alias("train_slots"), "eval_slots").distinct()
+    train, held = (cut_lineage(classes_of(rows, "ahash", side)) for side in ("train", "eval"))
+    hits = hamming_pairs(train.select("dataset", F.col("key").alias("a")), held.select("dataset", F.col("key").alias("b")), MAX_BITS)
+    pairs = hits.select("dataset", F.col("a").alias("train_key"), F.col("b").alias("eval_key"))
+    for side, c in (("train", train), ("eval", held)):
+        pairs = pairs.join(c.select("dataset", F.col("key").alias(f"{side}_key"), F.col("slots").alias(f"{side}_slots")), ["dataset", f"{side}_key"])
+    return pairs
 
 
 def members(rows: DataFrame, column: str, side: str) -> DataFrame:

@@ -94,6 +94,10 @@ q6 as (select *, case when over_ > 0 then room else lack end as part, case when
 q7 as (select *, sum(part) over (partition by plan_id order by dataset nulls first, split nulls first, cls_id nulls first) as upto from q6),
 q8 as (select *, (k + up + (move * upto // whole - move * (upto - part) // whole) * case when over_ > 0 then -1 else 1 end)::bigint as draw from q7)"""
 ORACLES: dict[str, str] = {
+    "p2_report": f"""with fr as {FRAMES}, p as (select a.dataset, a.image_id as t, b.image_id as e, coalesce(bool_or(a.h = b.h), false) as exact from fr a join fr b on a.dataset = b.dataset and a.side = 't' and b.side = 'e' and a.image_id <> b.image_id and (a.h = b.h or bit_count(xor(a.ahash, b.ahash)) <= 5) group by 1, 2, 3),
+src as (select dataset, image_id as e, max(s) as split, max(source_ref) as source_ref from (select *, case when lower(trim(split)) in ('val', 'valid', 'validation') then 'val' when lower(trim(split)) in ('test', 'testing') then 'test' end as s from images) where s is not null and dataset is not null and image_id is not null group by 1, 2),
+per as (select dataset, e, count(*) as n, count(*) filter (exact) as x from p group by 1, 2)
+select dataset, split, source_ref, sum(n)::bigint as near_or_same_pairs, sum(x)::bigint as same_pairs, count(*) as eval_frames from per join src using (dataset, e) group by 1, 2, 3""",
     "p7_report": f"{DRAW} select plan_id, dataset, split, cls_id, need, available, draw as drawn, available < need as short from q8",
     "p7_sample": f"""{DRAW}, each as (select *, unnest(range(draw)) as j from q8 where draw > 0), picks as (select *, case when draw = k then (((m0 + j) * 100 + u - start)::hugeint * available - 1) // n else (j * 100 + u)::hugeint * available // (draw * 100) end as pos from each)
 select a.plan_id, a.dataset, a.split, a.cls_id, r.image_id, r.line_no from picks a join rk r on r.dataset = a.dataset and r.split = a.split and r.cls_id = a.cls_id and r.pos = a.pos""",
