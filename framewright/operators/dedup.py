@@ -39,6 +39,7 @@ def pruned_duplicates(frames: DataFrame) -> DataFrame:
 
 # Three runs of a 64-bit hash, by first bit and length.
 RUNS = ((0, 22), (22, 21), (43, 21))
+FILTER = 1 << 17
 
 
 def run_keys(column: str, neighbours: bool) -> Column:
@@ -55,15 +56,21 @@ def hamming_pairs(left: DataFrame, right: DataFrame, most: int = 5) -> DataFrame
     """dataset, a, b: all pairs of a hash of left (dataset, a) and one of right (dataset, b) of a data set within `most` (up to 5) bits.
 
     Of three runs of bits one differs in at most one bit, so the smaller side stores each run and its one-bit neighbours (67 keys) and the
-    other asks with its three runs: keys of 21 bits, where equal bands of six would have 10 and a thousand times the candidates. Only key
-    and hash are moved; the data set comes back by a join of the few hits with both sides, which also undoes chance meetings of keys.
+    other asks with its three runs: keys of 21 bits, where equal bands of six would have 10 and a thousand times the candidates. Stored
+    keys that no asking hash has are dropped before they are moved, by a bitmap of FILTER words (a broadcast of fixed size). Only
+    key and hash are moved; the data set comes back by a join of the few hits with both sides, which also undoes chance meetings of keys.
     """
     if most > 5:
         raise ValueError("three runs serve at most 5 differing bits")
     tasks = stated_tasks(left.sparkSession)
-    few, many, x, y = (left, right, "a", "b") if left.count() <= right.count() else (right, left, "b", "a")
+    n_left, n_right = left.count(), right.count()
+    few, many, x, y = (left, right, "a", "b") if n_left <= n_right else (right, left, "b", "a")
     stored = few.repartition(tasks, "dataset", x).select(run_keys(x, True).alias("_key"), x)
     asked = many.repartition(tasks, "dataset", y).select(run_keys(y, False).alias("_key"), y)
+    if 3 * max(n_left, n_right) < 16 * FILTER:  # beyond that most bits are set and nothing would be dropped
+        word, bit = F.expr(f"_key & {FILTER - 1}"), F.expr(f"cast(shiftrightunsigned(_key, {FILTER.bit_length() - 1}) & 63 as int)")
+        bits = asked.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_key, {FILTER.bit_length() - 1}) & 63 as int))")).alias("_bits"))
+        stored = stored.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.getbit("_bits", bit) == 1).select("_key", x)
     hits = stored.join(asked, "_key").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b").distinct()
     return hits.join(left, "a").join(right, ["dataset", "b"]).select("dataset", "a", "b")
 
