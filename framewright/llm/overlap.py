@@ -38,7 +38,7 @@ def classes_of(rows: DataFrame, column: str, side: str) -> DataFrame:
 
 def class_pairs(rows: DataFrame) -> DataFrame:
     """dataset, train_key, eval_key and slots of all pairs of ahash classes within MAX_BITS."""
-    train, held = (cut_lineage(classes_of(rows, "ahash", side)) for side in ("train", "eval"))
+    train, held = (classes_of(rows, "ahash", side) for side in ("train", "eval"))
     hits = hamming_pairs(train.select("dataset", F.col("key").alias("a")), held.select("dataset", F.col("key").alias("b")), MAX_BITS)
     pairs = hits.select("dataset", F.col("a").alias("train_key"), F.col("b").alias("eval_key"))
     for side, c in (("train", train), ("eval", held)):
@@ -64,7 +64,8 @@ def written_out(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 
 def cross_split_pairs(images: DataFrame) -> DataFrame:
     """dataset, train_id, eval_id, exact: every pair of a train frame and a val or test frame that is the same or nearly so."""
-    rows = frames(images)
+    # Both searches and the writing out read the frames: brought down to their distinct rows once.
+    rows = cut_lineage(frames(images))
     near = written_out(class_pairs(rows), rows, "ahash").withColumn("exact", F.lit(False))
     t, e = classes_of(rows, "content_hash", "train"), classes_of(rows, "content_hash", "eval")
     same = t.withColumnRenamed("slots", "train_slots").join(e.withColumnRenamed("slots", "eval_slots"), ["dataset", "key"])
