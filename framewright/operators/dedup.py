@@ -65,8 +65,9 @@ def hamming_pairs(left: DataFrame, right: DataFrame, most: int = 5) -> DataFrame
     tasks = stated_tasks(left.sparkSession)
     n_left, n_right = left.count(), right.count()
     few, many, x, y = (left, right, "a", "b") if n_left <= n_right else (right, left, "b", "a")
-    stored = few.repartition(tasks, "dataset", x).select(run_keys(x, True).alias("_key"), x)
-    asked = many.repartition(tasks, "dataset", y).select(run_keys(y, False).alias("_key"), y)
+    # By the hash alone: a partitioning that the inputs may have already would be taken as it is, in one task if they are small.
+    stored = few.repartition(tasks, x).select(run_keys(x, True).alias("_key"), x)
+    asked = many.repartition(tasks, y).select(run_keys(y, False).alias("_key"), y)
     if 3 * max(n_left, n_right) < 16 * FILTER:  # beyond that most bits are set and nothing would be dropped
         word, bit = F.expr(f"_key & {FILTER - 1}"), F.expr(f"cast(shiftrightunsigned(_key, {FILTER.bit_length() - 1}) & 63 as int)")
         bits = asked.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_key, {FILTER.bit_length() - 1}) & 63 as int))")).alias("_bits"))
