@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.operators import evaluation as E
+from framewright.operators.artifacts import overlay
 from framewright.plans import views as V
 from framewright.session import cut_lineage
 
@@ -150,3 +151,9 @@ def _(s, d):
     f, g = flags(s, d)
     x = E.recall_grid(E.pr_points(f, g)).withColumn("recall", F.col("grid") / 100.0)
     return E.trapezoid(x, ["cls_id"], "recall", "precision")
+
+
+@query("overlay", BASE.rstrip() + ",\n v as (select image_id, cls_id, count(*) filter (g) as g, count(*) filter (not g) as p from (select image_id, cls_id, true as g from gt union all select image_id, cls_id, false from pred) group by 1, 2), o as (select image_id, sum(g) as n_gt, sum(p) as n_pred, count(*) filter (p = 0) as gt_only, count(*) filter (g = 0) as pred_only from v group by 1) select image_id, coalesce(n_gt, 0)::bigint as n_gt, coalesce(n_pred, 0)::bigint as n_pred, coalesce(gt_only, 0) as gt_only, coalesce(pred_only, 0) as pred_only from (select image_id from img where split in ('val', 'test')) left join o using (image_id)")
+def _(s, d):
+    p, g = tables(s, d)
+    return overlay(V.frames(s, d, "split").where("split in ('val', 'test')"), g, p)

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import scalars as S
-from framewright.operators import drift
+from framewright.operators import artifacts, dewey, drift
 from framewright.operators import runs as R
+from framewright.plans import registry
+from framewright.plans.core_problems import TREE
 from framewright.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,3 +205,45 @@ def _(s, d):
 @query("name_functions", "select box_id, lower(to_base(box_id, 36)) as b36, left(regexp_replace(regexp_replace(label, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 180) as stem from cvat_boxes where label is not null")
 def _(s, d):
     return table(s, d, "cvat_boxes").where("label is not null").select("box_id", S.base36(F.col("box_id")).alias("b36"), S.sanitized_stem(F.col("label")).alias("stem"))
+
+
+MODELS = "with recursive src as (select payload_id as k, max(payload) as t from run_payloads where payload_id is not null and payload is not null group by 1),\n" + TREE
+
+
+def model_refs(s, d):
+    flat = dewey.flatten(table(s, d, "run_payloads"), "payload_id", "payload", kinds=("element",)).where("schema_path = 'models'")
+    return flat.select(F.col("record_key").alias("payload_id"), F.col("fields")["model_id"].alias("model_id"), F.lit("detection").alias("task_type"), F.col("fields")["format"].alias("model_format"))
+
+
+@query("model_backends", MODELS + " select k as payload_id, j ->> '$.model_id' as model_id, case lower(trim(j ->> '$.format')) when 'pt' then 'ultralytics' when 'onnx' then 'onnxruntime' when 'engine' then 'tensorrt' when 'trt' then 'tensorrt' end as backend from flat where schema = 'models' and kind = 'element'")
+def _(s, d):
+    return artifacts.backends_for(model_refs(s, d), registry.capabilities(s), "test").select("payload_id", "model_id", "backend")
+
+
+@query("incompatible_models", MODELS + " select k as payload_id, j ->> '$.model_id' as model_id, 'backend_format_incompatible' as error_code from flat where schema = 'models' and kind = 'element' and coalesce(lower(trim(j ->> '$.format')), '') not in ('pt', 'onnx', 'engine', 'trt')")
+def _(s, d):
+    return artifacts.incompatible_models(model_refs(s, d), registry.capabilities(s)).select("payload_id", "model_id", "error_code")
+
+
+# What a run must have on file, here for all formats: the metrics of its test and of its last epoch.
+NEEDS = ("last_epoch", "test_metrics")
+
+
+@query("artifact_gaps", "with there as (select distinct run_dir, case namespace when 'train_last_metrics' then 'last_epoch' else namespace end as artifact from metric_files), wanted as (select run_dir, unnest(['last_epoch', 'test_metrics']) as artifact from (select distinct run_dir from runs where run_dir is not null)) select run_dir, 'pt' as model_format, coalesce(string_agg(w.artifact, ',' order by w.artifact) filter (t.run_dir is null), '') as missing, count(*) filter (t.run_dir is null) = 0 as complete from wanted w left join there t using (run_dir, artifact) group by 1")
+def _(s, d):
+    r = table(s, d, "runs").where("run_dir is not null").select("run_dir", F.lit("pt").alias("model_format")).distinct()
+    present = table(s, d, "metric_files").select("run_dir", F.when(F.col("namespace") == "train_last_metrics", "last_epoch").otherwise(F.col("namespace")).alias("artifact"))
+    required = s.createDataFrame([("pt", x) for x in NEEDS], "model_format string, artifact string")
+    return artifacts.artifact_gaps(r, present, required).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("class_first_names", "select dataset, cls_id, coalesce(arg_min(name, class_row_id) filter (trim(name) <> ''), cls_id::varchar) as class_name from classes where cls_id >= 0 group by 1, 2")
+def _(s, d):
+    return artifacts.first_names(table(s, d, "classes").withColumnRenamed("name", "class_name"), ["dataset"], "class_row_id")
+
+
+@query("display_labels", "select run_dir, run_name, model, coalesce(l.label, nullif(trim(run_name), ''), nullif(regexp_extract(rtrim(nullif(trim(run_dir), ''), '/'), '([^/]+)$', 1), ''), nullif(trim(model), ''), '?') as display_label from (select distinct run_dir, run_name, model from runs) r left join (select rtrim(trim(run_dir), '/') as key, min('run ' || model) as label from runs where trim(run_dir) <> '' group by 1) l on l.key = rtrim(trim(r.run_dir), '/')")
+def _(s, d):
+    r = table(s, d, "runs")
+    labels = r.select(F.regexp_replace(F.trim("run_dir"), r"/+$", "").alias("key"), F.concat(F.lit("run "), "model").alias("label")).where("key <> ''")
+    return artifacts.display_labels(r.select("run_dir", "run_name", "model").distinct(), labels)

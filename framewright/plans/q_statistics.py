@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewright.functions import geometry as G
 from framewright.operators import edge_filter as E
 from framewright.operators import statistics as S
+from framewright.operators.artifacts import balanced_sources, instances_by_class
 from framewright.plans import views as V
 from framewright.session import table
 
@@ -161,3 +162,13 @@ def _(s, d):
 def _(s, d):
     b = table(s, d, "cvat_boxes").withColumn("r", G.cvat_box(F.col("xtl"), F.col("ytl"), F.col("xbr"), F.col("ybr"), F.lit(1920.0), F.lit(1080.0))).where("r is not null")
     return b.select("box_id", *[F.round(f"r.{c}", 11).alias(c) for c in ("cx", "cy", "w", "h")])
+
+
+@query("balanced_sources", V.with_(V.IMG) + "select dataset, round(avg(regexp_matches(stem, 'bal_[0-9]+$')::int), 6) as share, avg(regexp_matches(stem, 'bal_[0-9]+$')::int) >= 0.6 as balanced from img where split is not null group by 1")
+def _(s, d):
+    return balanced_sources(V.frames(s, d, "split", "stem"))
+
+
+@query("instances_by_class", V.with_(V.ANN) + "select dataset, split, cls_id, count(*) as n_instances, count(distinct image_id) as n_frames from ann where cls_id is not null group by 1, 2, 3")
+def _(s, d):
+    return instances_by_class(V.annotations(s, d, "cls_id"), ["dataset", "split"])

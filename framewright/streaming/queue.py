@@ -70,6 +70,29 @@ def active_peers(heartbeats: DataFrame, now, stale_seconds: int) -> DataFrame:
     return last.withColumn("active", F.unix_timestamp(now) - F.unix_timestamp("last_at") <= stale_seconds)
 
 
+def stale_leases(leases: DataFrame, now, local_host: str, alive: DataFrame, heartbeat_seconds: int = 30, beats: int = 3) -> DataFrame:
+    """Leases (resource, host, pid, acquired_at, last_heartbeat) with stale: those whose holder is gone.
+
+    A lease lives while its last heartbeat (else its acquisition) is younger than `beats` intervals; on this host also while
+    its process is among the alive ones (pid). A pid of another host means nothing here.
+    """
+    seen = F.coalesce("last_heartbeat", "acquired_at")
+    fresh = F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(seen) < heartbeat_seconds * beats, F.lit(False))
+    here = leases.join(F.broadcast(alive.select("pid").distinct().withColumn("_alive", F.lit(True))), "pid", "left")  # one host's processes
+    running = (F.col("host") == local_host) & F.col("_alive").isNotNull()
+    return here.withColumn("stale", ~(F.coalesce(running, F.lit(False)) | fresh)).drop("_alive").select(*leases.columns, "stale")
+
+
+def taken_over(leases: DataFrame, wanted: DataFrame, now) -> DataFrame:
+    """Leases after the requests (resource, host, pid) are served: free and stale ones go to the first request by host and pid, live ones stay."""
+    held = leases.groupBy("resource").agg(F.max(F.struct(F.coalesce("last_heartbeat", "acquired_at").alias("at"), "host", "pid", "acquired_at", "last_heartbeat", "stale")).alias("h"))
+    asked = wanted.groupBy("resource").agg(F.min(F.struct("host", "pid")).alias("w"))
+    both = held.join(asked, "resource", "full_outer")
+    new = F.col("w").isNotNull() & (F.col("h").isNull() | F.col("h.stale"))
+    pick = lambda c, fresh: F.when(new, fresh).otherwise(F.col(f"h.{c}")).alias(c)
+    return both.select("resource", pick("host", F.col("w.host")), pick("pid", F.col("w.pid")), pick("acquired_at", now), pick("last_heartbeat", now), new.alias("taken"))
+
+
 def append_index(frames: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append-only JSON lines index of streamed frames."""
     return frames.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
