@@ -106,11 +106,10 @@ def head_trim(labels: DataFrame, mult: float, seed: str, groups: int = 32, min_c
     excess = F.least(F.col("n") - F.col("cap"), F.floor(F.col("n") * max_fraction), F.greatest(F.lit(0), F.col("n") - min_count))
     over = n.join(med, "dataset").where("n > cap").select("dataset", "cls_id", "n", excess.alias("excess"))
     lines = train.join(over, ["dataset", "cls_id"]).withColumn("g", hash_bucket(seed, "image_id", F.least(F.lit(groups), F.col("n"))))
-    group = Window.partitionBy("dataset", "cls_id", "g")
-    lines = lines.withColumn("level", F.count(F.lit(1)).over(group) - F.row_number().over(group.orderBy("image_id", "line_no")) + 1)
-    cells = lines.groupBy("dataset", "cls_id", "level").agg(F.count(F.lit(1)).alias("_c"))
-    higher = Window.partitionBy("dataset", "cls_id").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("_c").over(higher), F.lit(0))).drop("_c")
+    # Places in a group and sums over levels by distributed numbering: a class with a third of all lines fills no task.
+    lines = numbered(lines, ["dataset", "cls_id", "g"], ["image_id", "line_no"], total=True).withColumn("level", F.col("total") - F.col("pos"))
+    cells = lines.groupBy("dataset", "cls_id", "level").agg(F.count(F.lit(1)).alias("_c")).withColumn("_down", -F.col("level"))
+    cells = numbered(cells, ["dataset", "cls_id"], ["_down"], "_c").select("dataset", "cls_id", "level", F.col("cum").alias("before"))
     at = Window.partitionBy("dataset", "cls_id", "level").orderBy("g")  # at most `groups` lines
     out = lines.join(cells, ["dataset", "cls_id", "level"]).withColumn("place", F.col("before") + F.row_number().over(at))
     return out.where("place <= excess").select("dataset", "cls_id", "image_id", "line_no")

@@ -76,16 +76,24 @@ def recall_grid(points: DataFrame, n: int = 101) -> DataFrame:
 
 
 def map_by_threshold(pred: DataFrame, gt: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """Per threshold: mean AP over the classes that have predictions."""
+    """Per threshold: mean AP over the classes that have predictions and truths.
+
+    Predictions are numbered once for all thresholds. The envelope only ever rises at a true positive, so from there on only the true
+    positives of each threshold are followed.
+    """
     pred = cut_lineage(pred)
-    m = matches(iou_pairs(pred, gt, min(thresholds)), thresholds)
-    every = pred.select("image_id", "cls_id", "pred_idx", "conf").withColumn("thr", F.explode(F.array(*[F.lit(x) for x in thresholds])))
-    flags = every.join(m.select("thr", "image_id", "cls_id", "pred_idx", F.lit(1).alias("tp")), ["thr", "image_id", "cls_id", "pred_idx"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-    # One class key per threshold and class: all thresholds share one pass.
-    coded = flags.withColumn("cls_id", F.col("cls_id") * 1000 + F.bround(F.col("thr") * 100, 0).cast("int"))
-    truths = gt.withColumn("cls_id", F.explode(F.transform(F.array(*[F.lit(int(round(x * 100))) for x in thresholds]), lambda t: F.col("cls_id") * 1000 + t)))
-    ap = average_precision(pr_points(coded, truths))
-    return ap.groupBy(F.round((F.col("cls_id") % 1000) / 100.0, 2).alias("thr")).agg(F.count(F.lit(1)).alias("n_classes"), F.round(F.avg("ap"), 5).alias("map"))
+    hits = matches(iou_pairs(pred, gt, min(thresholds)), thresholds).select("thr", "image_id", "cls_id", "pred_idx")
+    place = numbered(pred.select("image_id", "cls_id", "pred_idx", (-F.col("conf")).alias("_o")), ["cls_id"], ["_o", "image_id", "pred_idx"]).select("image_id", "cls_id", "pred_idx", F.col("pos").alias("place"))
+    true = numbered(place.join(hits, ["image_id", "cls_id", "pred_idx"]), ["thr", "cls_id"], ["place"])
+    true = true.withColumn("precision", (F.col("pos") + 1) / (F.col("place") + 1)).withColumn("_b", F.floor(F.col("pos") / BLOCK))
+    later = Window.partitionBy("thr", "cls_id").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    top = true.groupBy("thr", "cls_id", "_b").agg(F.max("precision").alias("_m")).withColumn("_later", F.max("_m").over(later)).drop("_m")
+    rest = Window.partitionBy("thr", "cls_id", "_b").orderBy(F.desc("pos"))
+    area = true.join(top, ["thr", "cls_id", "_b"]).withColumn("envelope", F.greatest(F.max("precision").over(rest), F.col("_later"))).groupBy("thr", "cls_id").agg(F.sum("envelope").alias("area"))
+    truths = gt.groupBy("cls_id").agg(F.count(F.lit(1)).alias("n_gt")).join(pred.select("cls_id").distinct(), "cls_id")
+    every = truths.withColumn("thr", F.explode(F.array(*[F.lit(x) for x in thresholds])))
+    ap = every.join(area, ["thr", "cls_id"], "left").withColumn("ap", F.round(F.coalesce("area", F.lit(0.0)) / F.col("n_gt"), 6))
+    return ap.groupBy(F.round("thr", 2).alias("thr")).agg(F.count(F.lit(1)).alias("n_classes"), F.round(F.avg("ap"), 5).alias("map"))
 
 
 def threshold_curves(flags: DataFrame, gt: DataFrame) -> DataFrame:

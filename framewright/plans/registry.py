@@ -57,9 +57,9 @@ def default_registry() -> Registry:
 
 def analyses() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every named query of the core as a builder of a DataFrame, for callers that run analyses by name."""
-    from framewright.plans import core_problems, q_augment, q_balance, q_catalog, q_evaluation, q_runs, q_statistics, q_streams
+    from framewright.plans import core_problems, q_augment, q_balance, q_catalog, q_evaluation, q_runs, q_sources, q_statistics, q_streams
 
-    modules = (core_problems, q_statistics, q_balance, q_evaluation, q_catalog, q_runs, q_streams, q_augment)
+    modules = (core_problems, q_statistics, q_balance, q_evaluation, q_catalog, q_runs, q_sources, q_streams, q_augment)
     return {name: f for m in modules for name, f in m.QUERIES.items()}
 
 

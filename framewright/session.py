@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,7 @@ def local_session(cpus: str | int = "*", name: str = "framewright") -> SparkSess
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -29,18 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df once in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share for intermediate data: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Where none is set and the master is local, a temporary
-    folder is used; on a cluster a missing setting is an error, because a machine-local folder dies with its machine.
+    Where none is set and the master is local, a temporary folder is used; on a cluster a missing setting is an error, because a
+    machine-local folder dies with its machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="framewright-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, for files that one query writes and reads back."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise df once in the cluster's shared folder. With spark.cleaner.referenceTracking.cleanCheckpoints its files go when the frame does."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

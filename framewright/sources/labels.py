@@ -34,10 +34,11 @@ def read_labels(spark: SparkSession, root: str) -> DataFrame:
 
     A line is a box (5 tokens) or polygon (odd count from 7 on); blank lines and comments are skipped.
     """
-    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("raw"))
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("raw"))
     t = t.where("raw <> '' and not startswith(raw, '#')")
     tokens = F.split(F.regexp_replace("raw", r"\s+", " "), " ")
-    nums = F.expr("transform(slice(tokens, 2, size(tokens)), x -> try_cast(x as double))")
+    # Decimals only: a cast alone would also take Java's own spellings (1d, 0.5f, NaN).
+    nums = F.expr(r"transform(slice(tokens, 2, size(tokens)), x -> if(x rlike r'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$', try_cast(x as double), null))")
     n = F.size("tokens")
     t = t.withColumn("tokens", tokens).withColumn("nums", nums).withColumn("cls_id", F.expr("try_cast(tokens[0] as int)"))
     ok = F.col("cls_id").isNotNull() & ((n == 5) | ((n >= 7) & (n % 2 == 1))) & ~F.exists("nums", lambda x: x.isNull())
