@@ -18,6 +18,7 @@ give one row each; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -46,6 +47,7 @@ SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_·]){2,}[^\W\d_](?![^\W_])")
 REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|[\r\n]+|\s\|\s")
 MASKED = re.compile(r"[0134578@$](?<=[^\W\d_][0134578@$])(?=[^\W\d_])")
+NUMBERS = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 GAPS, OTHER, DIGITS = re.compile(r"[ .*_·]"), re.compile(r"[^\w*]+"), re.compile(r"\d+")
 # Signs that stand for letters inside a word.
 LEET = str.maketrans("0134578@$", "oieastbas")
@@ -59,7 +61,8 @@ def plain(sentence: str) -> str:
 
 
 def raw_sentences(text: str) -> list[str]:
-    return SPLIT.split(fold(text))
+    """Sentences of the folded text. Numbers that touch no letter are 0 already here, as they will be in plain(), so more sentences are alike."""
+    return SPLIT.split(NUMBERS.sub("0", fold(text)))
 
 
 def pieces(raw: str) -> list[str]:
@@ -339,6 +342,17 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = MAX_LA
     return sorted((r.doc_id, r.label, r.text) for r in rows)
 
 
+#: What sentences read as, and the scores of their pieces, per worker process and model; tasks of one worker share them.
+_CACHES: dict[str, tuple[dict[str, list[str]], dict[str, float]]] = {}
+
+
+def worker_cache(key: str) -> tuple[dict[str, list[str]], dict[str, float]]:
+    if key not in _CACHES:
+        _CACHES.clear()
+        _CACHES[key] = {}, {}
+    return _CACHES[key]
+
+
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, source, score, offensive of every document."""
     model = trained(labelled_sample(documents, labels))
@@ -347,21 +361,27 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
         return base.select("doc_id", "source", F.lit(None).cast("double").alias("score"), F.lit(False).alias("offensive"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    key = uuid.uuid4().hex
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (m, threshold), known = shared.value, {}
+        m, threshold = shared.value
+        read, known = worker_cache(key)
         for b in batches:
             for start in range(0, len(b), 200):
                 part = b.iloc[start : start + 200]
                 split = [raw_sentences(t) if isinstance(t, str) else [] for t in part["text"]]
-                if len(known) > CACHE:
-                    known.clear()
-                # A sentence is read and scored once, however often it stands in the documents of a task.
-                fresh = [(raw, ps) for raw in dict.fromkeys(x for xs in split for x in xs) if raw not in known if (ps := pieces(raw)) or known.update({raw: None})]
+                for cache in (read, known):
+                    if len(cache) > CACHE:
+                        cache.clear()
+                # A sentence is read once, and what it reads as is scored once, however often either stands in a worker's documents.
+                for raw in dict.fromkeys(x for xs in split for x in xs):
+                    if raw not in read:
+                        read[raw] = pieces(raw)
+                fresh = list(dict.fromkeys(p for xs in split for x in xs for p in read[x] if p not in known))
                 for at in range(0, len(fresh), 2000):
                     some = fresh[at : at + 2000]
-                    values = iter(m.scores([p for _, ps in some for p in ps]).tolist())
-                    known.update((raw, max(next(values) for _ in ps)) for raw, ps in some)
-                worst = [max((v for x in xs if (v := known[x]) is not None), default=None) for xs in split]
+                    known.update(zip(some, m.scores(some).tolist(), strict=True))
+                worst = [max((known[p] for x in xs for p in read[x]), default=None) for xs in split]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "score": pd.Series(worst, dtype="Float64"), "offensive": [w is not None and w >= threshold for w in worst]})
 
     return spread(base, ["doc_id"]).mapInPandas(score, "doc_id long, source string, score double, offensive boolean")
