@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.ordered import numbered
+from framewright.operators.skew import lookup_join
 from framewright.operators.statistics import effective_number
 
 
@@ -153,7 +154,8 @@ def eval_cover(labels: DataFrame, share: float = 0.1, seed: int = 0) -> DataFram
     the reference's greedy loop plays no part and nothing is collected.
     """
     short = eval_targets(labels, share).where("missing > 0").select("dataset", "cls_id", "missing")
-    images = labels.where("split = 'train' and cls_id is not null").select("dataset", "cls_id", "image_id").distinct().join(F.broadcast(short), ["dataset", "cls_id"])
+    images = labels.where("split = 'train' and cls_id is not null").select("dataset", "cls_id", "image_id").distinct()
+    images = lookup_join(images, short, ["dataset", "cls_id"], ["image_id"], "inner")
     ranked = numbered(images.withColumn("_h", F.md5(F.concat_ws(":", F.col("image_id"), F.lit(str(seed))))), ["dataset", "cls_id"], ["_h", "image_id"])
     return ranked.where("pos < missing").groupBy("dataset", "image_id").agg(F.array_sort(F.collect_set("cls_id")).alias("for_classes"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.evaluation import iou_matrix
-from framewright.operators.skew import stated_tasks
+from framewright.operators.skew import lookup_join, stated_tasks
 from framewright.session import cut_lineage
 
 
@@ -167,6 +167,50 @@ def leaders(pairs: DataFrame) -> DataFrame:
             return label.select("dataset", F.col("a").alias("ahash"), "leader")
 
 
+def greedy_leaders(edges: DataFrame) -> DataFrame:
+    """dataset, node: the nodes that a pass in order would make leaders, where a node near an earlier leader is none.
+
+    Edges (dataset, a, b) lead from the earlier node to the later one. In each round all nodes whose earlier neighbours are settled become
+    leaders and settle their later neighbours, which gives the pass's own result without walking the nodes one by one.
+    """
+    edges = cut_lineage(edges)
+    node = lambda df, c: df.select("dataset", F.col(c).alias("node"))
+    open_ = cut_lineage(node(edges, "a").unionByName(node(edges, "b")).distinct())
+    chosen = open_.limit(0)
+    while open_.limit(1).count():
+        waiting = node(edges.join(open_.select("dataset", F.col("node").alias("a")), ["dataset", "a"], "left_semi"), "b")
+        new = cut_lineage(open_.join(waiting, ["dataset", "node"], "left_anti"))
+        taken = node(edges.join(new.select("dataset", F.col("node").alias("a")), ["dataset", "a"], "left_semi"), "b")
+        open_ = cut_lineage(open_.join(new.unionByName(taken), ["dataset", "node"], "left_anti"))
+        chosen = chosen.unionByName(new)
+    return chosen
+
+
+def near_group_counts(frames: DataFrame) -> DataFrame:
+    """Per data set: near-duplicate groups and those that cross splits, as a pass over the frames in order (split, id) finds them.
+
+    A frame that no earlier leader took leads a group of all later frames within 5 bits, taken or not. Frames of one hash have the
+    same neighbours, so the pass runs over hashes in the order of their first frames; frames that come later are known from the last one
+    of each hash and split.
+    """
+    order = F.struct(split_rank().alias("r"), "image_id")
+    f = frames.where("dataset is not null and ahash is not null").select("dataset", "ahash", order.alias("o"))
+    last = f.groupBy("dataset", "ahash", F.col("o.r").alias("r")).agg(F.max("o").alias("last"))
+    first = cut_lineage(f.groupBy("dataset", "ahash").agg(F.min("o").alias("first")))
+    pairs = cut_lineage(near_pairs(frames.where("dataset is not null")))
+    at = lambda c, n: first.select("dataset", F.col("ahash").alias(c), F.col("first").alias(n))
+    both = pairs.join(at("ahash", "x"), ["dataset", "ahash"]).join(at("other", "y"), ["dataset", "other"])
+    edges = both.select("dataset", F.when(F.col("x") < F.col("y"), F.col("ahash")).otherwise(F.col("other")).alias("a"), F.when(F.col("x") < F.col("y"), F.col("other")).otherwise(F.col("ahash")).alias("b"))
+    linked = pairs.select("dataset", F.col("ahash").alias("node")).unionByName(pairs.select("dataset", F.col("other").alias("node"))).distinct()
+    alone = first.select("dataset", F.col("ahash").alias("node")).join(linked, ["dataset", "node"], "left_anti")
+    led = greedy_leaders(edges).unionByName(alone).join(first.select("dataset", F.col("ahash").alias("node"), "first"), ["dataset", "node"])
+    near = pairs.select("dataset", F.col("ahash").alias("node"), F.col("other").alias("ahash")).unionByName(pairs.select("dataset", F.col("other").alias("node"), "ahash"))
+    own = led.select("dataset", "node", F.col("node").alias("ahash"))
+    later = near.unionByName(own).join(led, ["dataset", "node"]).join(last, ["dataset", "ahash"]).where(F.col("last") > F.col("first"))
+    group = later.groupBy("dataset", "node").agg(F.bool_or(F.col("r") != F.col("first.r")).alias("cross"))
+    return group.groupBy("dataset").agg(F.count(F.lit(1)).alias("near_groups"), F.count_if("cross").alias("near_cross_split_groups"))
+
+
 def farthest_first(vectors: DataFrame, k: int) -> DataFrame:
     """Per label, k values spread by Hamming distance (k-centre): rounds of one aggregate each, start at the least id.
 
@@ -175,7 +219,7 @@ def farthest_first(vectors: DataFrame, k: int) -> DataFrame:
     state = cut_lineage(vectors.select("label", "vec_id", "sig").where("sig is not null").withColumn("near", F.lit(65)).withColumn("turn", F.lit(None).cast("int")))
     for turn in range(k):
         pick = state.where("turn is null").groupBy("label").agg(F.max(F.struct("near", (-F.col("vec_id")).alias("v"), "sig")).alias("p")).select("label", (-F.col("p.v")).alias("v"), F.col("p.sig").alias("s"))
-        x = state.join(F.broadcast(pick), "label", "left")  # one row per label
+        x = lookup_join(state, pick, ["label"], ["vec_id"])
         near = F.least("near", F.coalesce(F.bit_count(F.col("sig").bitwiseXOR(F.col("s"))), F.col("near")))
         state = cut_lineage(x.select("label", "vec_id", "sig", near.alias("near"), F.when(F.col("vec_id") == F.col("v"), F.lit(turn)).otherwise(F.col("turn")).alias("turn")))
     return state.where("turn is not null").select("label", "turn", "vec_id")

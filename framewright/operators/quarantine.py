@@ -1,6 +1,7 @@
 """Rows that fail to parse: valid label lines as boxes and polygons, broken ones with their reason.
 
-Each line is parsed where it is read (no shuffle); structural faults are caught before any value is built. The only join is
+Each line is parsed where it is read (no shuffle): its record is assembled quote-aware (a quoted cell may hold line breaks), read by
+the strict csv reader, and structural faults are caught before any value is built. The only join is
 to the known class ids. Blank lines and comments are neither valid nor broken. Defined results: a null line counts as blank,
 a line of another format than yolo or csv is read as yolo, a null data set has no classes (class_id), repeated rows of a line_id
 with one text give one row, empty input gives empty output, extra columns are ignored.
@@ -27,6 +28,9 @@ QUOTED = re.compile(r'(^|,)"(?:[^"]|"")*"(?=,|$)')
 SCHEMA = "line_id long, dataset string, split string, rel_label string, line_no int, fmt string, kind string, cls_id long, coords array<double>, stem string, note string, reason string"
 
 
+BREAK = re.compile(r"\r\n|\n|\r")
+
+
 class Broken(ValueError):
     pass
 
@@ -46,8 +50,11 @@ def assemble(lines: Iterable[str]) -> Iterator[str]:
 def cells(line: str) -> list[str]:
     """The cells of one csv record by the strict reader; quotes inside an unquoted cell are refused as well."""
     csv.field_size_limit(sys.maxsize)
+    physical = BREAK.split(line)
+    if len(physical) > 1 and len(list(assemble(physical))) > 1:
+        raise Broken("column_count")  # several records in one
     try:
-        rows = list(csv.reader([line], strict=True))
+        rows = list(csv.reader([f"{x}\n" for x in physical], strict=True))
     except csv.Error as e:
         raise Broken("quoting") from e
     if '"' in QUOTED.sub(r"\1", line):
@@ -84,6 +91,17 @@ def parse_line(raw: str, fmt: str) -> tuple[str, int, list[float], str | None, s
     return "bbox" if box else "segment", cls if abs(cls) < 2**31 else -(2**31), coords, stem, note
 
 
+def file_records(files: DataFrame, key: str, content: str) -> DataFrame:
+    """key, record_no, raw of the records of whole csv label files: lines that leave a quote open go on in the next one; blank records are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, i, r) for k, t in zip(b["k"], b["t"], strict=True) for i, r in enumerate(x for x in assemble(BREAK.split(t)) if x.strip())]
+            yield pd.DataFrame(rows, columns=["key", "record_no", "raw"])
+
+    return files.select(F.col(key).cast("string").alias("k"), F.col(content).alias("t")).where("k is not null and t is not null").mapInPandas(run, "key string, record_no int, raw string")
+
+
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """One row per label line that is not blank or a comment; reason is null unless the text itself is broken."""
 

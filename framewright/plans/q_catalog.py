@@ -65,6 +65,20 @@ def _(s, d):
     return D.leaders(D.near_pairs(V.frames(s, d, "ahash")))
 
 
+GROUPS = "with recursive " + V.IMG + """,
+o as (select dataset, ahash, coalesce(split, '-') as split, row_number() over (partition by dataset order by case split when 'train' then 0 when 'val' then 1 when 'test' then 2 else 3 end, image_id) as rn from img where ahash is not null and dataset is not null),
+later as (select a.dataset, a.rn, list(b.rn) as ids, count(distinct b.split) > 1 or any_value(a.split) <> any_value(b.split) as crosses from o a join o b on a.dataset = b.dataset and a.rn < b.rn and bit_count(xor(a.ahash, b.ahash)) <= 5 group by 1, 2),
+walk as (select dataset, 0::bigint as rn, []::bigint[] as used, 0 as n, 0 as x from (select distinct dataset from o)
+ union all select w.dataset, w.rn + 1, case when l.ids is null or list_contains(w.used, w.rn + 1) then w.used else list_concat(w.used, l.ids) end, w.n + (l.ids is not null and not list_contains(w.used, w.rn + 1))::int, w.x + (l.ids is not null and l.crosses and not list_contains(w.used, w.rn + 1))::int
+ from walk w left join later l on l.dataset = w.dataset and l.rn = w.rn + 1 where w.rn < (select max(rn) from o where o.dataset = w.dataset))
+"""
+
+
+@query("near_duplicate_counts", GROUPS + "select dataset, max(n)::bigint as near_groups, max(x)::bigint as near_cross_split_groups from walk group by 1 having max(n) > 0")
+def _(s, d):
+    return D.near_group_counts(V.frames(s, d, "ahash"))
+
+
 @query("label_signatures", V.with_(V.ANN) + "select dataset, image_id, md5(string_agg(line, '|' order by line)) as signature, count(*) as n_boxes from (select dataset, image_id, concat_ws(' ', coalesce(cls_id::varchar, '-'), printf('%.6f', cx), printf('%.6f', cy), printf('%.6f', w), printf('%.6f', h)) as line from ann where kind = 'bbox') group by 1, 2")
 def _(s, d):
     return D.label_signatures(V.annotations(s, d, "kind", "cls_id", "cx", "cy", "w", "h"))

@@ -78,7 +78,7 @@ def stale_leases(leases: DataFrame, now, local_host: str, alive: DataFrame, hear
     """
     seen = F.coalesce("last_heartbeat", "acquired_at")
     fresh = F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(seen) < heartbeat_seconds * beats, F.lit(False))
-    here = leases.join(F.broadcast(alive.select("pid").distinct().withColumn("_alive", F.lit(True))), "pid", "left")  # one host's processes
+    here = leases.join(alive.select("pid").distinct().withColumn("_alive", F.lit(True)), "pid", "left")
     running = (F.col("host") == local_host) & F.col("_alive").isNotNull()
     return here.withColumn("stale", ~(F.coalesce(running, F.lit(False)) | fresh)).drop("_alive").select(*leases.columns, "stale")
 

@@ -154,6 +154,15 @@ def test_broken_lines_table(spark):
     assert tuple(quarantine.line_report(lines, classes).where("dataset = 'd'").first())[2:] == (1, 1, 1)
 
 
+def test_records_over_several_lines(spark):
+    assert quarantine.parse_line('f,1,0.5,0.5,0.1,0.1,"a\nb ""c"""', "csv")[4] == 'a\nb "c"'
+    for raw, reason in (("f,1,0.5,0.5,0.1,0.1,x\ng,1,0.5,0.5,0.1,0.1,y", "column_count"), ('f,1,0.5,0.5,0.1,0.1,"a\nb', "quoting")):
+        with pytest.raises(quarantine.Broken, match=reason):
+            quarantine.parse_line(raw, "csv")
+    df = spark.createDataFrame([(1, 'a,"b\r\nc"\nd\n'), (2, ""), (3, None), (None, "x")], "file_id int, body string")
+    assert sorted(map(tuple, quarantine.file_records(df, "file_id", "body").collect())) == [("1", 0, 'a,"b\nc"'), ("1", 1, "d")]
+
+
 def test_assembled_records():
     assert list(quarantine.assemble(['a,"b', 'c"', "d", 'e,"f"'])) == ['a,"b\nc"', "d", 'e,"f"']
 
