@@ -17,6 +17,7 @@ differs (the largest text of an id is packed); empty input gives empty output; e
 from __future__ import annotations
 
 import base64
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -59,17 +60,18 @@ def token_lengths(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
     return texts.mapInPandas(count, "doc_id long, n_tokens long").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Non-negative least squares by the active-set method of Lawson and Hanson."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Non-negative least squares by the active-set method of Lawson and Hanson, which ends after finitely many steps; rounding could make it
+    cycle, so after ten steps a column it stops with a warning (what is not fitted is packed as residual)."""
     n = a.shape[1]
     x, free = np.zeros(n), np.zeros(n, dtype=bool)
     tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
-    for _ in range(rounds):
+    for _ in range(10 * n):
         w = a.T @ (b - a @ x)
         w[free] = -np.inf
         j = int(w.argmax())
         if w[j] <= tolerance:
-            break
+            return x
         free[j] = True
         while True:
             at = np.flatnonzero(free)
@@ -88,6 +90,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
             x[~free] = 0
             if not free.any():
                 break
+    warnings.warn("least squares stopped before it settled; more documents are packed as residual", stacklevel=2)
     return x
 
 
@@ -220,8 +223,11 @@ def packed(documents: DataFrame, pack_specs: DataFrame, tokenizer: str = TOKENIZ
     counts = rest.groupBy("spec_id", "length").agg(F.count(F.lit(1)).alias("n")).collect()
     rows: list[tuple] = []
     offset = {}
+    histograms: dict[int, dict[int, int]] = {i: {} for i in listed}
+    for r in counts:
+        histograms[r.spec_id][r.length] = r.n
     for spec_id, capacity in listed.items():
-        p = Packing({r.length: r.n for r in counts if r.spec_id == spec_id}, capacity)
+        p = Packing(histograms[spec_id], capacity)
         rows += [(spec_id, *r) for r in p.rows]
         offset[spec_id] = p.n_containers
     table = spark.createDataFrame(rows, PLACE)
