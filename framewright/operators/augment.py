@@ -104,6 +104,61 @@ def grid_positions(frames: DataFrame, boxes: DataFrame, patch_w: int, patch_h: i
     return p.groupBy("image_id").agg(best.alias("b")).select("image_id", F.posexplode("b").alias("rank", "b")).select("image_id", "rank", (-F.col("b.nx")).alias("x"), (-F.col("b.ny")).alias("y"))
 
 
+def place(width: int, height: int, taken: np.ndarray, pw: int, ph: int, most_iou: float, least_distance: float) -> tuple[int, int] | None:
+    """The grid place of a patch inside a frame whose centre is farthest from those of all taken boxes, if one keeps clear of them."""
+    if pw > width or ph > height:
+        return None
+    cell = max(8, int(max(pw, ph) * 0.8))
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(0, width - pw + 1, cell), np.arange(0, height - ph + 1, cell)))
+    at = np.stack([x, y, x + pw, y + ph], axis=1).astype(float)
+    if not len(taken):
+        return int(x[0]), int(y[0])
+    centre = lambda b: np.stack([b[:, 0] + b[:, 2], b[:, 1] + b[:, 3]], axis=1) / 2
+    far = np.sqrt(((centre(at)[:, None] - centre(taken)[None]) ** 2).sum(axis=2)).min(axis=1)
+    ok = (iou_matrix(at, taken).max(axis=1) <= most_iou) & (far >= least_distance)
+    if not ok.any():
+        return None
+    best = min(np.flatnonzero(ok), key=lambda i: (-far[i], y[i], x[i]))
+    return int(x[best]), int(y[best])
+
+
+def placed_patches(frames: DataFrame, boxes: DataFrame, patches: DataFrame, most_iou: float = 0.0, least_distance: float = 0.0) -> DataFrame:
+    """image_id, patch_no, x, y of the patches (image_id, patch_no, pw, ph) that find a place, one after another: each counts as taken for the next.
+
+    The three tables meet by union and one grouping by frame; a frame's boxes and patches are few. Frames without size and patches
+    of frames that are not there are left out; of repeated rows of a patch the first by size counts.
+    """
+    null = F.lit(None).cast("double")
+    number = lambda *c: [F.col(x).cast("double").alias(n) for x, n in zip(c, "abcd", strict=False)]
+    rows = frames.where("width > 0 and height > 0").select("image_id", F.lit(0).alias("kind"), null.alias("n"), *number("width", "height"), null.alias("c"), null.alias("d")).distinct()
+    rows = rows.unionByName(boxes.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select("image_id", F.lit(1).alias("kind"), null.alias("n"), *number("x1", "y1", "x2", "y2")))
+    rows = rows.unionByName(patches.where("pw > 0 and ph > 0 and patch_no is not null").select("image_id", F.lit(2).alias("kind"), F.col("patch_no").cast("double").alias("n"), *number("pw", "ph"), null.alias("c"), null.alias("d")))
+
+    def plan(b: pd.DataFrame) -> pd.DataFrame:
+        frame, out = b[b["kind"] == 0], []
+        taken = b.loc[b["kind"] == 1, ["a", "b", "c", "d"]].to_numpy(float)
+        wanted = b[b["kind"] == 2].sort_values(["n", "a", "b"]).drop_duplicates("n")
+        for r in wanted.itertuples() if len(frame) else ():
+            pw, ph = int(round(r.a)), int(round(r.b))
+            if (at := place(int(frame["a"].iloc[0]), int(frame["b"].iloc[0]), taken, pw, ph, most_iou, least_distance)) is not None:
+                taken = np.vstack([taken, [at[0], at[1], at[0] + pw, at[1] + ph]])
+                out.append((b["image_id"].iloc[0], int(r.n), *at))
+        return pd.DataFrame(out, columns=["image_id", "patch_no", "x", "y"])
+
+    return rows.where("image_id is not null").groupBy("image_id").applyInPandas(plan, "image_id string, patch_no int, x int, y int")
+
+
+def feathered(image: np.ndarray, patch: np.ndarray, x: int, y: int, margin: int) -> np.ndarray:
+    """The image with a patch pasted at (x, y), its colours matched to the place and its rim of `margin` pixels blended in."""
+    h, w = patch.shape[:2]
+    under = image[y : y + h, x : x + w]
+    rim = np.minimum(np.minimum(np.arange(h)[:, None] + 1, h - np.arange(h)[:, None]), np.minimum(np.arange(w)[None] + 1, w - np.arange(w)[None]))
+    share = np.minimum(1.0, rim / (margin + 1))[..., None]
+    out = image.copy()
+    out[y : y + h, x : x + w] = np.rint(share * matched_colour(patch, under) + (1 - share) * under).astype(np.uint8)
+    return out
+
+
 def noise_parameters(kind: str, intensity: Column) -> Column:
     """Parameters of a noise at an intensity of 0 to 1, by linear interpolation."""
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), intensity))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.ordered import numbered
 from framewright.operators.skew import lookup_join
+from framewright.session import cut_lineage
 from framewright.operators.statistics import effective_number
 
 
@@ -166,6 +167,25 @@ def budget_prefix(items: DataFrame, order: list[str], cost: str, budget: float)
     return placed.where(F.col("cum") + F.col(cost) <= budget).drop("cum", "pos")
 
 
+def budget_admission(items: DataFrame, order: list[str], cost: str, budget: float) -> DataFrame:
+    """Items admitted in order where one that would exceed the budget is skipped and later ones that still fit are taken.
+
+    Rounds of prefix sums: all items up to the first miss are admitted at once, and what no longer fits at all is left out, so a round
+    ends with at least one item less and as a rule with the budget all but used. Null and negative costs count as 0.
+    """
+    left = cut_lineage(items.withColumn("_cost", F.greatest(F.coalesce(F.col(cost), F.lit(0)).cast("double"), F.lit(0.0))))
+    admitted, room = left.limit(0), float(budget)
+    while True:
+        placed = cut_lineage(numbered(left.where(F.col("_cost") <= room), [], order, "_cost"))
+        first = placed.where(F.col("cum") + F.col("_cost") > room).agg(F.min("pos")).first()[0]
+        taken = placed if first is None else placed.where(F.col("pos") < first)
+        admitted = admitted.unionByName(taken.drop("pos", "cum"))
+        if first is None:
+            return admitted.drop("_cost")
+        room -= taken.agg(F.sum("_cost")).first()[0] or 0.0
+        left = placed.where(F.col("pos") > first).drop("pos", "cum")
+
+
 def scaled_copies(base: int, weight: Column, strength: float) -> Column:
     return F.bround(base * (1 + weight * strength), 0).cast("int")
 

@@ -124,6 +124,15 @@ def _(s, d):
     return B.budget_prefix(f, ["o", "image_id"], "n_bytes", 20_000_000).select("image_id", "n_bytes")
 
 
+ADMIT = "with recursive " + V.IMG + ", o as (select image_id, n_bytes, row_number() over (order by n_bytes desc, image_id) as rn from img where n_bytes is not null), walk as (select 0::bigint as rn, 0::hugeint as used, null as image_id, false as taken union all select o.rn, case when used + n_bytes <= 20000000 then used + n_bytes else used end, o.image_id, used + n_bytes <= 20000000 from walk join o on o.rn = walk.rn + 1) "
+
+
+@query("budget_admission", ADMIT + "select o.image_id, n_bytes from walk join o using (rn) where taken")
+def _(s, d):
+    f = V.frames(s, d, "n_bytes").where("n_bytes is not null").select("image_id", "n_bytes", (-F.col("n_bytes")).alias("o"))
+    return B.budget_admission(f, ["o", "image_id"], "n_bytes", 20_000_000).select("image_id", "n_bytes")
+
+
 @query("unique_names", V.with_(V.IMG) + "select image_id, case when i = 1 then stem else stem || '__' || i end as unique_name from (select image_id, stem, row_number() over (partition by stem order by image_id) as i from img where stem is not null)")
 def _(s, d):
     return B.unique_names(V.frames(s, d, "stem").where("stem is not null").select("image_id", "stem"), [], "stem", ["image_id"]).select("image_id", "unique_name")

@@ -53,3 +53,27 @@ def test_donors_and_places_are_whole(spark, sf):
     places = q["paste_positions"](spark, sf).collect()
     train = {r.image_id for r in V.frames(spark, sf, "split").where("split = 'train'").select("image_id").collect()}
     assert {r.image_id for r in places} <= train and len({r.image_id for r in places}) > 0.9 * len(train) and max(r.rank for r in places) == 9
+
+
+def test_patches_find_places_one_after_another(spark):
+    frames = spark.createDataFrame([("i", 400, 300), ("i", 400, 300), ("j", 90, 90), ("k", None, 5), ("e", 500, 500)], "image_id string, width int, height int")
+    boxes = spark.createDataFrame([("i", 0.0, 0.0, 150.0, 150.0), ("i", None, 0.0, 1.0, 1.0), ("x", 0.0, 0.0, 1.0, 1.0)], "image_id string, x1 double, y1 double, x2 double, y2 double")
+    patches = spark.createDataFrame([("i", 0, 100, 80, "z"), ("i", 1, 100, 80, "z"), ("i", 1, 100, 80, "z"), ("i", 2, 390, 290, "z"), ("j", 0, 100, 80, "z"), ("k", 0, 1, 1, "z"), ("q", 0, 9, 9, "z"), (None, 0, 9, 9, "z"), ("e", 0, None, 9, "z")], "image_id string, patch_no int, pw int, ph int, x string")
+    got = {(r.image_id, r.patch_no): (r.x, r.y) for r in A.placed_patches(frames, boxes, patches).collect()}
+    assert set(got) == {("i", 0), ("i", 1)}
+    rects = [(0, 0, 150, 150)] + [(x, y, x + 100, y + 80) for x, y in got.values()]
+    assert all(a[2] <= b[0] or b[2] <= a[0] or a[3] <= b[1] or b[3] <= a[1] for n, a in enumerate(rects) for b in rects[:n])
+    assert got["i", 0] == (240, 160)  # the grid place farthest from the box
+    assert A.placed_patches(frames.limit(0), boxes, patches).count() == 0
+
+
+def test_feathered_paste():
+    rng = np.random.default_rng(3)
+    image, patch = rng.integers(0, 255, (60, 80, 3), dtype=np.uint8), rng.integers(0, 255, (20, 30, 3), dtype=np.uint8)
+    out = A.feathered(image, patch, 10, 15, 4)
+    inside = np.zeros((60, 80), bool)
+    inside[15:35, 10:40] = True
+    assert (out[~inside] == image[~inside]).all()
+    matched = A.matched_colour(patch, image[15:35, 10:40])
+    assert (out[19:31, 14:36] == matched[4:16, 4:26]).all()  # beyond the rim the patch is whole
+    assert np.abs(out[15, 10].astype(int) - image[15, 10]).max() <= np.abs(matched[0, 0].astype(int) - image[15, 10]).max() / 5 + 1

@@ -130,3 +130,40 @@ def test_report_table_helpers(spark):
     assert {(r.run, r.v, r.status) for r in runs.fill_missing(sel, rows, "run").collect()} == {("r1", 5, "ok"), ("r2", None, "missing")}
     x = runs.with_fallback(spark.createDataFrame([("d1", "n1"), ("d2", "n2")], "run_dir string, run_name string"), spark.createDataFrame([("d1", 1.0)], "run_dir string, fps double"), spark.createDataFrame([("n2", 2.0), ("n1", 9.0)], "run_name string, fps double"), "fps")
     assert {r.run_dir: r.fps for r in x.collect()} == {"d1": 1.0, "d2": 2.0}
+
+
+def test_budget_admission_equals_a_walk(spark):
+    import random
+
+    from framewright.operators import balance
+
+    rng = random.Random(7)
+    rows = [(i, rng.choice([None, 0.0, rng.randint(1, 40) * 1.0]), rng.randint(0, 3)) for i in range(150)] + [(900, 1e9, 0)]
+    used, want = 0.0, set()
+    for i, c, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        if used + (c or 0.0) <= 300:
+            used += c or 0.0
+            want.add(i)
+    df = spark.createDataFrame(rows, "id int, c double, o int").withColumn("pos", F.lit("x"))
+    got = balance.budget_admission(df.drop("pos"), ["o", "id"], "c", 300).collect()
+    assert {r.id for r in got} == want and len(got) == len(want)
+    assert balance.budget_admission(df.drop("pos").limit(0), ["o", "id"], "c", 300).count() == 0
+
+
+def test_greedy_leaders_equal_a_walk(spark):
+    import random
+
+    from framewright.operators import dedup
+
+    rng = random.Random(8)
+    edges = sorted({(d, a, b) for d in ("x", "y") for a, b in (sorted(rng.sample(range(60), 2)) for _ in range(70))})
+    want = set()
+    for d in ("x", "y"):
+        taken = set()
+        for n in sorted({v for e in edges if e[0] == d for v in e[1:]}):
+            if n not in taken:
+                want.add((d, n))
+                taken |= {b for e, a, b in edges if e == d and a == n}
+    df = spark.createDataFrame(edges, "dataset string, a long, b long")
+    assert set(map(tuple, dedup.greedy_leaders(df).collect())) == want
+    assert dedup.greedy_leaders(df.limit(0)).count() == 0

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 
-CHOICE = ["class_imbalance", "dataset_profile", "balance_ready", "edge_filter_forecast", "tile_annotations", "rfs_repeat", "head_trim", "split_by_ratio", "eval_cover", "match_two_window", "pr_curve_ap", "optimal_lrp", "confidence_recommendations", "near_duplicate_groups", "catalog_sync", "leaderboard", "latency_steady", "issue_dedup", "queue_status", "p4_found"]
+CHOICE = ["class_imbalance", "dataset_profile", "balance_ready", "edge_filter_forecast", "tile_annotations", "rfs_repeat", "head_trim", "split_by_ratio", "eval_cover", "match_two_window", "pr_curve_ap", "optimal_lrp", "confidence_recommendations", "near_duplicate_groups", "catalog_sync", "leaderboard", "latency_steady", "issue_dedup", "queue_status", "p4_found", "p4_consolidated", "p4_reconcile", "p3_valid", "p3_points", "p6_found", "p6_tables", "empirical_bounds", "cvat_to_yolo", "stable_size_baseline", "map_by_threshold", "match_greedy", "nms", "merge_label_union", "diverse_sample", "lineage_ancestors", "rename_plan", "near_duplicate_counts", "read_labels", "cvat_round_trip", "artifact_gaps", "overlay", "paste_positions", "donor_turns"]
 
 
 @pytest.fixture(scope="module")
