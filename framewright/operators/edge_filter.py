@@ -103,10 +103,11 @@ def size_baseline(geo: DataFrame, c: EdgeConfig = EdgeConfig(), ranked: DataFram
     The bulk is the upper end of the sorted distribution, so its quantile is a rank in it: nothing is sorted twice.
     """
     key = [*CLASS, "measure"]
-    r = cut_lineage((class_ranks(geo, c, SIZES) if ranked is None else ranked).where(F.col("measure").isin(*SIZES)))
-    med = r.groupBy(*key).agg((c.split_ratio * at_rank("px", 0.5 * (F.col("total") - 1))).alias("least"))
+    r = (cut_lineage(class_ranks(geo, c, SIZES)) if ranked is None else ranked).where(F.col("measure").isin(*SIZES))
+    # One row per class and measure each: written, so that the steps after them do not derive them again.
+    med = cut_lineage(r.groupBy(*key).agg((c.split_ratio * at_rank("px", 0.5 * (F.col("total") - 1))).alias("least")))
     r = lookup_join(r, med, key, ["px"], "inner", null_safe=True)
-    below = r.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("px") < F.col("least"), F.col("times"))), F.lit(0)).alias("below"))
+    below = cut_lineage(r.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("px") < F.col("least"), F.col("times"))), F.lit(0)).alias("below")))
     r = lookup_join(r, below, key, ["px"], "inner", null_safe=True).withColumn("bulk", F.col("total") - F.col("below"))
     rank = F.when(F.col("bulk") >= c.least_samples, F.col("below") + c.typical_quantile * (F.col("bulk") - 1)).otherwise(c.typical_quantile * (F.col("total") - 1))
     th = r.groupBy(*key).agg(F.round(c.rel_factor * at_rank("px", rank), 6).alias("least"))

@@ -8,7 +8,6 @@ histogram of confidences and 51 running totals instead of one pass per threshold
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,30 +169,23 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def greedy_matches(pred: DataFrame, gt: DataFrame, thr: float, by_class: bool = True) -> DataFrame:
     """Greedy assignment within an image (and class): predictions by falling confidence take the best free truth with IoU >= thr.
 
-    Both tables are unioned and grouped once per image, so images without truths or predictions need no special case.
+    Overlaps are found by an equi-join; the pass over one image's predictions is a fold over a sorted array, so it stays in the JVM and
+    no image costs a call into Python. image_id, pred_idx, conf, pred_cls, gt_idx, gt_cls, iou; unmatched rows of either side have nulls.
     """
-    cols = ["image_id", "cls_id", "idx", "conf", "x1", "y1", "x2", "y2", "is_gt"]
-    rows = pred.withColumn("idx", F.col("pred_idx")).withColumn("is_gt", F.lit(False)).select(*cols).unionByName(gt.withColumn("idx", F.col("gt_idx")).withColumn("conf", F.lit(None).cast("double")).withColumn("is_gt", F.lit(True)).select(*cols))
-
-    def assign(b: pd.DataFrame) -> pd.DataFrame:
-        p = b[~b["is_gt"]].sort_values(["conf", "idx"], ascending=[False, True], kind="stable")
-        g = b[b["is_gt"]].sort_values("idx")
-        m = iou_matrix(p[["x1", "y1", "x2", "y2"]].to_numpy(float), g[["x1", "y1", "x2", "y2"]].to_numpy(float))
-        if by_class and m.size:
-            m[p["cls_id"].to_numpy()[:, None] != g["cls_id"].to_numpy()[None, :]] = -1
-        free, out = np.ones(len(g), dtype=bool), []
-        image = b["image_id"].iloc[0]
-        for i, r in enumerate(p.itertuples()):
-            row = np.where(free, m[i], -1) if len(g) else np.zeros(0)
-            j = int(row.argmax()) if len(row) else -1
-            hit = j >= 0 and row[j] >= thr
-            if hit:
-                free[j] = False
-            out.append((image, r.idx, r.conf, r.cls_id, g["idx"].iloc[j] if hit else None, g["cls_id"].iloc[j] if hit else None, row[j] if hit else None))
-        out += [(image, None, None, None, r.idx, r.cls_id, None) for r, f in zip(g.itertuples(), free, strict=True) if f]
-        return pd.DataFrame(out, columns=["image_id", "pred_idx", "conf", "pred_cls", "gt_idx", "gt_cls", "iou"]).astype({c: "Int64" for c in ("pred_idx", "pred_cls", "gt_idx", "gt_cls")})
-
-    return rows.groupBy("image_id").applyInPandas(assign, "image_id string, pred_idx long, conf double, pred_cls long, gt_idx long, gt_cls long, iou double")
+    g = gt.select("image_id", F.col("gt_idx").cast("long").alias("gt_idx"), F.col("cls_id").cast("long").alias("gt_cls"), *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
+    p = pred.select("image_id", F.col("pred_idx").cast("long").alias("pred_idx"), "conf", F.col("cls_id").cast("long").alias("pred_cls"), "x1", "y1", "x2", "y2")
+    on = (F.col("p.image_id") == F.col("g.image_id")) & ((F.col("p.pred_cls") == F.col("g.gt_cls")) if by_class else F.lit(True))
+    both = p.alias("p").join(g.alias("g"), on).withColumn("iou", iou(box(), box("g_"))).where(F.col("iou") >= thr)
+    near = both.groupBy("p.image_id", "pred_idx").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("d"), "gt_idx", "gt_cls"))).alias("near"))
+    one = p.join(near, ["image_id", "pred_idx"], "left").select("image_id", F.struct((-F.col("conf")).alias("o"), "pred_idx", "conf", "pred_cls", "near").alias("p"))
+    images = one.groupBy("image_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    step = """aggregate(ps, named_struct('used', cast(array() as array<bigint>), 'out', cast(array() as array<struct<gt_idx:bigint,gt_cls:bigint,iou:double>>)), (s, p) ->
+      transform(array(get(filter(coalesce(p.near, cast(array() as array<struct<d:double,gt_idx:bigint,gt_cls:bigint>>)), c -> not array_contains(s.used, c.gt_idx)), 0)), k ->
+        named_struct('used', if(k is null, s.used, array_append(s.used, k.gt_idx)), 'out', array_append(s.out, named_struct('gt_idx', k.gt_idx, 'gt_cls', k.gt_cls, 'iou', -k.d))))[0]).out"""
+    rows = images.select("image_id", F.explode(F.arrays_zip("ps", F.expr(step).alias("m"))).alias("r"))
+    matched = cut_lineage(rows.select("image_id", "r.ps.pred_idx", "r.ps.conf", "r.ps.pred_cls", "r.m.gt_idx", "r.m.gt_cls", "r.m.iou"))
+    free = g.select("image_id", "gt_idx", "gt_cls").join(matched.where("gt_idx is not null").select("image_id", "gt_idx"), ["image_id", "gt_idx"], "left_anti")
+    return matched.unionByName(free, allowMissingColumns=True)
 
 
 def confusion(greedy: DataFrame) -> DataFrame:
@@ -203,20 +195,19 @@ def confusion(greedy: DataFrame) -> DataFrame:
 
 
 def nms(pred: DataFrame, thr: float, most: int = 300) -> DataFrame:
-    """Class-wise non-maximum suppression per image: a box stays if its IoU with every kept better box is at most thr."""
-
-    def keep(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["conf", "pred_idx"], ascending=[False, True], kind="stable")
-        m = iou_matrix(*[b[["x1", "y1", "x2", "y2"]].to_numpy(float)] * 2)
-        same = b["cls_id"].to_numpy()[:, None] == b["cls_id"].to_numpy()[None, :]
-        kept: list[int] = []
-        for i in range(len(b)):
-            if len(kept) < most and not any(same[i, j] and m[i, j] > thr for j in kept):
-                kept.append(i)
-        return b.iloc[kept]
+    """Class-wise non-maximum suppression per image: a box stays if its IoU with every kept better box is at most thr; the best `most` stay.
 
+    Like greedy_matches: overlaps by an equi-join, the pass as a fold over an image's sorted boxes.
+    """
     columns = pred.select("image_id", "cls_id", "pred_idx", "conf", "x1", "y1", "x2", "y2")
-    return columns.groupBy("image_id").applyInPandas(keep, columns.schema)
+    better = columns.select("image_id", "cls_id", F.col("pred_idx").alias("b_idx"), F.col("conf").alias("b_conf"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
+    first = (F.col("b_conf") > F.col("conf")) | ((F.col("b_conf") == F.col("conf")) & (F.col("b_idx") < F.col("pred_idx")))
+    over = columns.join(better, ["image_id", "cls_id"]).where(first & (iou(box(), box("b_")) > thr)).groupBy("image_id", "pred_idx").agg(F.collect_list("b_idx").alias("by"))
+    one = columns.join(over, ["image_id", "pred_idx"], "left").select("image_id", F.struct((-F.col("conf")).alias("o"), "pred_idx", F.coalesce("by", F.array().cast("array<int>")).alias("by")).alias("p"))
+    none = F.array().cast(columns.select(F.array("pred_idx")).schema[0].dataType)
+    kept = F.aggregate("ps", none, lambda s, p: F.when((F.size(s) < most) & ~F.arrays_overlap(s, p["by"]), F.array_append(s, p["pred_idx"])).otherwise(s))
+    stay = one.groupBy("image_id").agg(F.array_sort(F.collect_list("p")).alias("ps")).select("image_id", F.explode(kept).alias("pred_idx"))
+    return columns.join(stay, ["image_id", "pred_idx"]).select(*columns.columns)
 
 
 def trapezoid(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
