@@ -7,7 +7,8 @@ up to the capacity (their sum is checked against MAX_CAPACITY), however many doc
 each rank interval of a length is told its containers in closed form, so placing them is one join to a small table.
 
 A document longer than the capacity is cut into full pieces, each a container of its own, and a rest that is packed like any other.
-Where documents are much shorter than the container, few-document patterns cannot fill it and most lengths reach the residual step.
+Where documents are much shorter than the container, no few-document pattern fills it: patterns then fill bundles, several of which
+make a container (class Packing), and longer documents reach the residual step, which also fills what bundles leave.
 
 Defined results: null and empty texts have no tokens and are not packed; specifications with null or non-positive capacity are left
 out; repeated specification rows count once; rows of one doc_id with different texts count as separate documents only if doc_id
@@ -36,7 +37,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 MAX_CAPACITY = 1 << 20
 MAX_SPECS = 1000
 BUCKETS = 256
-PLACE = "spec_id int, length long, from_pos long, to_pos long, shift long, per long, container long"
+KEPT_BACK = 0.1
+PLACE = "spec_id int, length long, from_pos long, to_pos long, shift long, per long, bundle long, bundles long"
 
 
 @lru_cache(maxsize=4)
@@ -109,11 +111,17 @@ def patterns(capacity: int) -> list[tuple[int, ...]]:
 
 
 class Packing:
-    """Rank intervals per length, and how many containers are used."""
+    """Rank intervals per length, and how many containers are used.
+
+    Patterns of a few documents fill a container only where documents are not much shorter than it. Where they are, patterns fill
+    bundles, and `bundles` of them make a container. KEPT_BACK of the documents short enough for bundles are left to the residual
+    step, where they fill what longer documents leave.
+    """
 
     def __init__(self, histogram: dict[int, int], capacity: int) -> None:
         self.capacity, self.n_containers = capacity, 0
-        self.rows: list[tuple[int, int, int, int, int, int]] = []
+        self.rows: list[tuple[int, int, int, int, int, int, int]] = []
+        self.spare: list[tuple[int, int, int]] = []  # space left by bundles: space, first container, containers
         self.left = dict(sorted(histogram.items()))
         self.used = dict.fromkeys(self.left, 0)
         self.by_pattern = 0
@@ -121,13 +129,22 @@ class Packing:
             self.fit_patterns()
             self.pack_residual()
 
+    def bundles(self) -> int:
+        """Into how many bundles a container is cut: none where three documents about fill half of it, else bundles that three of them fill, of
+        at most BUCKETS tokens, so that lengths need no rounding."""
+        mean = sum(k * c for k, c in self.left.items()) / sum(self.left.values())
+        return max(1, self.capacity // max(1, min(BUCKETS, int(3 * mean)))) if self.capacity >= 6 * mean else 1
+
     def fit_patterns(self) -> None:
-        grain = -(-self.capacity // BUCKETS)
-        top = self.capacity // grain
+        per = self.bundles()
+        room = self.capacity // per
+        grain = -(-room // BUCKETS)
+        top = room // grain
         buckets: dict[int, list[int]] = {}
         for length in self.left:
             buckets.setdefault(-(-length // grain), []).append(length)
-        have = {b: sum(self.left[n] for n in lengths) for b, lengths in buckets.items() if b <= top}
+        share = 1.0 if per == 1 else 1 - KEPT_BACK
+        have = {b: int(share * sum(self.left[n] for n in lengths)) for b, lengths in buckets.items() if b <= top}
         usable = [p for p in patterns(top) if all(b in have for b in p)]
         if not usable:
             return
@@ -140,23 +157,26 @@ class Packing:
         # Long documents are hard to place later, so their misfit weighs more.
         weight = np.sqrt(np.array(list(row), dtype=float))
         x = nnls(a * weight[:, None], target * weight)
+        made = 0
         for j in np.argsort(-x, kind="stable"):
             need = {b: usable[j].count(b) for b in usable[j]}
             n = min(int(x[j] + 1e-6), *(have[b] // m for b, m in need.items()))
             if n > 0:
                 for b, m in need.items():
                     have[b] -= n * m
-                    self.take(buckets[b], n * m, m, self.n_containers)
-                self.n_containers += n
-        self.by_pattern = self.n_containers
-
-    def take(self, lengths: list[int], count: int, per: int, container: int) -> None:
-        """Give the next count documents of these lengths, longest first, to containers from `container` on, `per` to each."""
+                    self.take(buckets[b], n * m, m, made, per)
+                made += n
+        whole, rest = divmod(made, per)
+        self.n_containers = self.by_pattern = whole + (rest > 0)
+        self.spare = [(self.capacity - per * room, 0, whole), (self.capacity - rest * room, whole, int(rest > 0))]
+
+    def take(self, lengths: list[int], count: int, per: int, bundle: int, bundles: int = 1) -> None:
+        """Give the next count documents of these lengths, longest first, to bundles from `bundle` on, `per` to each; `bundles` make a container."""
         done = 0
         for n in reversed(lengths):
             k = min(self.left[n], count - done)
             if k:
-                self.rows.append((n, self.used[n], self.used[n] + k, done - self.used[n], per, container))
+                self.rows.append((n, self.used[n], self.used[n] + k, done - self.used[n], per, bundle, bundles))
                 self.left[n] -= k
                 self.used[n] += k
                 done += k
@@ -174,6 +194,8 @@ class Packing:
                     insort(order, space)
                 spaces.setdefault(space, []).append((first, n))
 
+        for space, first, n in self.spare:
+            put(space, first, n)
         for length in sorted((n for n, c in self.left.items() if c), reverse=True):
             while self.left[length]:
                 at = bisect_left(order, length)
@@ -234,7 +256,7 @@ def packed(documents: DataFrame, pack_specs: DataFrame, tokenizer: str = TOKENIZ
     # At most a few intervals per length and pattern, whatever the corpus: bounded by the capacities.
     inside = (F.col("pos") >= F.col("from_pos")) & (F.col("pos") < F.col("to_pos"))
     placed = rest.join(F.broadcast(table), ["spec_id", "length"]).where(inside)
-    placed = placed.select("spec_id", "doc_id", F.col("full").alias("piece_no"), (F.col("full") * capacity_of(listed)).alias("token_from"), F.col("length").alias("n_tokens"), (F.col("container") + F.expr("(pos + shift) div per")).alias("container_id"))
+    placed = placed.select("spec_id", "doc_id", F.col("full").alias("piece_no"), (F.col("full") * capacity_of(listed)).alias("token_from"), F.col("length").alias("n_tokens"), F.expr("(bundle + (pos + shift) div per) div bundles").alias("container_id"))
     whole = every.where("full > 0").select("spec_id", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece_no"), "capacity")
     whole = numbered(whole, ["spec_id"], ["doc_id", "piece_no"])
     first = F.create_map(*[F.lit(x) for kv in offset.items() for x in (kv[0], int(kv[1]))]) if offset else F.create_map(F.lit(0), F.lit(0))

@@ -26,15 +26,31 @@ def test_histogram_packing_is_whole_and_tight(capacity):
     h = Counter(min(capacity, 1 + int(rng.expovariate(3 / capacity))) for _ in range(5000))
     p = packing.Packing(dict(h), capacity)
     load, seen = defaultdict(int), Counter()
-    for length, start, end, shift, per, first in p.rows:
+    for length, start, end, shift, per, bundle, bundles in p.rows:
         for pos in range(start, end):
-            load[first + (pos + shift) // per] += length
+            load[(bundle + (pos + shift) // per) // bundles] += length
             seen[length, pos] += 1
     assert set(seen.values()) == {1} and Counter(k[0] for k in seen) == h
     assert max(load.values()) <= capacity and set(load) == set(range(p.n_containers))
     assert sum(load.values()) / (capacity * p.n_containers) > 0.97
 
 
+@pytest.mark.parametrize(("capacity", "mean"), [(1000, 40), (8192, 120), (4097, 30), (300, 2)])
+def test_bundles_fill_large_containers(capacity, mean):
+    rng = random.Random(capacity)
+    h = Counter(min(capacity, 1 + int(rng.expovariate(1 / mean))) for _ in range(20_000))
+    p = packing.Packing(dict(h), capacity)
+    load, seen, by_pattern = Counter(), Counter(), 0
+    for length, start, end, shift, per, bundle, bundles in p.rows:
+        by_pattern += (end - start) * (bundles > 1)
+        for pos in range(start, end):
+            load[(bundle + (pos + shift) // per) // bundles] += length
+            seen[length, pos] += 1
+    assert set(seen.values()) == {1} and Counter(k[0] for k in seen) == h
+    assert max(load.values()) <= capacity and set(load) == set(range(p.n_containers))
+    assert sum(load.values()) / (capacity * p.n_containers) > 0.99 and by_pattern > 0.6 * 20_000
+
+
 def test_documents_are_packed_once_and_whole(spark):
     rng = random.Random(4)
     texts = ["word " * rng.choice([1, 3, 20, 60, 400]) for _ in range(300)] + [None, "", "x" * 3000, "word " * 128]
