@@ -42,7 +42,7 @@ STRETCH = 20
 EDITS = 2
 SHINGLE = 3
 #: Fingerprints of one block of items, by which the broadcast is bounded; more items go in more blocks.
-MOST_FINGERPRINTS = 2_000_000
+MOST_FINGERPRINTS = 400_000
 WORDS_TOGETHER = 8_000
 
 
