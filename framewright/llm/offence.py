@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -276,10 +277,12 @@ def trained(labelled: list[tuple[int, int, str]]) -> tuple[Model, float] | None:
     every = sorted({s for _, _, sents in docs for s in sents})
     place, grams = {s: i for i, s in enumerate(every)}, GramSet(every)
     fold_of = [zlib.crc32(str(d).encode()) % FOLDS for d, _, _ in docs]
-    clean = {s for _, y, sents in docs if not y for s in sents}
+    # Reviews slip both ways, so a sentence counts as clean only where at least as many clean documents as toxic ones have it.
+    votes = {y: Counter(s for _, label, sents in docs if label == y for s in sents) for y in (0, 1)}
+    clean = {s for s, n in votes[0].items() if n >= votes[1][s]}
     # First guess: what toxic documents say and clean ones do not. Later: what models of the other folds find toxic.
-    bad: dict[str, str] = {s: s for _, y, sents in docs if y for s in sents if s not in clean}
-    slips: set[str] = set()
+    bad: dict[str, str] = {s: s for s in votes[1] if s not in clean}
+    slips = outvoted = {s for s in votes[0] if s not in clean}
     threshold = 0.0
 
     def fitted(some: list[tuple[int, int, list[str]]]) -> Model | None:
@@ -313,7 +316,7 @@ def trained(labelled: list[tuple[int, int, str]]) -> tuple[Model, float] | None:
         bad = {s: c for s, c in cut.items() if guess[s] > threshold}
         # A clean document's sentence counts as a slip of the review only if it is as toxic as the plainly toxic ones.
         plainly = float(np.median([guess[s] for s in bad])) if bad else np.inf
-        slips = {s for s in clean if guess.get(s, 0.0) > plainly}
+        slips = outvoted | {s for s in clean if guess.get(s, 0.0) > plainly}
     model = fitted(docs)
     return (model, threshold) if model else None
 
