@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators import dewey
+from framewright.operators.ordered import numbered
 
 # Fields that a refresh keeps from the former catalog.
 PRESERVED = ("tags", "roi_auto", "data_path", "archive")
@@ -46,12 +47,21 @@ def common_classes(rows: DataFrame) -> DataFrame:
     return per.crossJoin(n).select("canonical", "n_datasets", (F.col("n_datasets") == F.col("_n")).alias("in_all"))  # one row
 
 
-def relatedness(rows: DataFrame) -> DataFrame:
-    """Pairs of data sets with common canonical classes: common, and common over the larger set. Driven by an equi-join on the class."""
+def relatedness(rows: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pairs of data sets whose common canonical classes are at least the share `least` of the larger set: common and share.
+
+    Prefix filter: with classes in one order, rarest first, such a pair shares a class among the first n - ceil(least n) + 1 of each,
+    so only those meet; a class that all data sets have stands last and brings no pairs together. Shares are exact for what met.
+    """
     c = rows.where("canonical is not null").select("dataset", "canonical").distinct()
     size = c.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    pairs = c.join(c.select(F.col("dataset").alias("other"), "canonical"), "canonical").where("dataset < other").groupBy("dataset", "other").agg(F.count(F.lit(1)).alias("common"))
-    return pairs.join(size, "dataset").join(size.select(F.col("dataset").alias("other"), F.col("n").alias("m")), "other").select("dataset", "other", "common", F.round(F.col("common") / F.greatest("n", "m"), 6).alias("related"))
+    often = c.groupBy("canonical").agg(F.count(F.lit(1)).alias("often"))
+    placed = numbered(c.join(often, "canonical"), ["dataset"], ["often", "canonical"], total=True)
+    head = placed.where(F.col("pos") <= F.col("total") - F.ceil(least * F.col("total") - 1e-9)).select("dataset", "canonical")
+    met = head.join(head.select(F.col("dataset").alias("other"), "canonical"), "canonical").where("dataset < other").select("dataset", "other").distinct()
+    common = met.join(c, "dataset").join(c.select(F.col("dataset").alias("other"), "canonical"), ["other", "canonical"]).groupBy("dataset", "other").agg(F.count(F.lit(1)).alias("common"))
+    both = common.join(size, "dataset").join(size.select(F.col("dataset").alias("other"), F.col("n").alias("m")), "other")
+    return both.select("dataset", "other", "common", F.round(F.col("common") / F.greatest("n", "m"), 6).alias("related")).where(F.col("related") >= least)
 
 
 def compact_map(used: DataFrame) -> DataFrame:

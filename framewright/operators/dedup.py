@@ -84,9 +84,12 @@ def near_pairs(frames: DataFrame, most: int = 5) -> DataFrame:
 
 
 def label_signatures(labels: DataFrame) -> DataFrame:
-    """Per image: the md5 of its sorted label lines, rounded to 6 digits."""
-    line = F.concat_ws(" ", F.coalesce(F.col("cls_id").cast("string"), F.lit("-")), *[F.format_string("%.6f", c) for c in ("cx", "cy", "w", "h")])
-    return labels.where("kind = 'bbox'").groupBy("dataset", "image_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "|")).alias("signature"), F.count(F.lit(1)).alias("n_boxes"))
+    """Per image: the md5 of its sorted label lines (boxes and polygons), rounded to 6 digits, and their number."""
+    cls = F.coalesce(F.col("cls_id").cast("string"), F.lit("-"))
+    box = F.concat_ws(" ", cls, *[F.format_string("%.6f", c) for c in ("cx", "cy", "w", "h")])
+    polygon = F.concat_ws(" ", cls, F.array_join(F.transform("points", lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), " "))
+    line = F.when(F.col("kind") == "bbox", box).otherwise(polygon)
+    return labels.groupBy("dataset", "image_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "|")).alias("signature"), F.count(F.lit(1)).alias("n_labels"))
 
 
 def merged_labels(labels: DataFrame, frames: DataFrame, thr: float = 0.95) -> DataFrame:

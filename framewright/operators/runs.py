@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.scalars import composite_score
-from framewright.operators.ordered import quantiles
+from framewright.operators.ordered import numbered, quantiles
 
 
 def latency_stats(perf: DataFrame, keys: list[str], ms: str = "ms") -> DataFrame:
@@ -22,13 +22,8 @@ def latency_stats(perf: DataFrame, keys: list[str], ms: str = "ms") -> DataFrame
 
 
 def steady(perf: DataFrame, run: str, seq: str, warmup: int = 5) -> DataFrame:
-    """Samples after each run's first `warmup` by arrival: the few first rows are found by a bounded aggregate and taken out."""
-    w = Window.partitionBy(run, "_s").orderBy(seq)
-    salted = perf.withColumn("_s", F.pmod(F.xxhash64(seq), F.lit(32)))
-    # The first `warmup` of a run are among the first `warmup` of each of its salts: two short windows instead of one long one.
-    heads = salted.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= warmup)
-    drop = heads.withColumn("_n", F.row_number().over(Window.partitionBy(run).orderBy(seq))).where(F.col("_n") <= warmup).select(run, seq)
-    return perf.join(drop, [run, seq], "left_anti")
+    """Samples after each run's first `warmup` by arrival, numbered over many tasks, however long the run."""
+    return numbered(perf, [run], [seq]).where(F.col("pos") >= warmup).drop("pos")
 
 
 def throughput(perf: DataFrame, run: str, seq: str, ms: str = "ms", warmup: int = 5) -> DataFrame:

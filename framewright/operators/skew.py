@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-SALTS = 16
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = SALTS, null_safe: bool = False) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int | None = None, null_safe: bool = False) -> DataFrame:
     """Join big to a lookup with unique keys.
 
     The lookup is counted first: up to max_rows narrow rows it is broadcast; beyond that every lookup row is repeated for each of
-    `salts` salts and the big side is salted by a hash of salt_by, so that a hot key is shared by `salts` tasks.
+    `salts` salts (by default one for eight cores of the cluster, from 16 to 256) and the big side is salted by a hash of salt_by, so
+    that a hot key is shared by `salts` tasks.
     Null keys match nothing, or one another with null_safe.
     """
     on = list(on)
     few = small.limit(max_rows + 1).count() <= max_rows
     if not few:
+        salts = salts or min(256, max(16, big.sparkSession.sparkContext.defaultParallelism // 8))
         small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         big = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
         on.append("_salt")

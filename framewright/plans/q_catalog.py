@@ -79,9 +79,9 @@ def _(s, d):
     return D.near_group_counts(V.frames(s, d, "ahash"))
 
 
-@query("label_signatures", V.with_(V.ANN) + "select dataset, image_id, md5(string_agg(line, '|' order by line)) as signature, count(*) as n_boxes from (select dataset, image_id, concat_ws(' ', coalesce(cls_id::varchar, '-'), printf('%.6f', cx), printf('%.6f', cy), printf('%.6f', w), printf('%.6f', h)) as line from ann where kind = 'bbox') group by 1, 2")
+@query("label_signatures", V.with_(V.ANN) + "select dataset, image_id, md5(string_agg(line, '|' order by line)) as signature, count(*) as n_labels from (select dataset, image_id, case when kind = 'bbox' then concat_ws(' ', coalesce(cls_id::varchar, '-'), printf('%.6f', cx), printf('%.6f', cy), printf('%.6f', w), printf('%.6f', h)) else concat_ws(' ', coalesce(cls_id::varchar, '-'), array_to_string(list_transform(points, lambda p: printf('%.6f %.6f', p.x, p.y)), ' ')) end as line from ann) group by 1, 2")
 def _(s, d):
-    return D.label_signatures(V.annotations(s, d, "kind", "cls_id", "cx", "cy", "w", "h"))
+    return D.label_signatures(V.annotations(s, d, "kind", "cls_id", "cx", "cy", "w", "h", "points"))
 
 
 UNION = """with recursive """ + V.ANN + ", " + V.IMG + """,
@@ -154,9 +154,9 @@ def _(s, d):
     return C.common_classes(rows(s, d))
 
 
-@query("dataset_relatedness", V.with_(ROWS, "c as (select distinct dataset, canonical from rows)", "n as (select dataset, count(*) as n from c group by 1)") + "select a.dataset, b.dataset as other, count(*) as common, round(count(*) / greatest(any_value(x.n), any_value(y.n)), 6) as related from c a join c b on a.canonical = b.canonical and a.dataset < b.dataset join n x on x.dataset = a.dataset join n y on y.dataset = b.dataset group by 1, 2")
+@query("dataset_relatedness", V.with_(ROWS, "c as (select distinct dataset, canonical from rows)", "n as (select dataset, count(*) as n from c group by 1)") + "select a.dataset, b.dataset as other, count(*) as common, round(count(*) / greatest(any_value(x.n), any_value(y.n)), 6) as related from c a join c b on a.canonical = b.canonical and a.dataset < b.dataset join n x on x.dataset = a.dataset join n y on y.dataset = b.dataset group by 1, 2 having round(count(*) / greatest(any_value(x.n), any_value(y.n)), 6) >= 0.3")
 def _(s, d):
-    return C.relatedness(rows(s, d))
+    return C.relatedness(rows(s, d), 0.3)
 
 
 CMAP = "used as (select distinct c.dataset, c.cls_id, coalesce(a.canonical, c.name) as canonical from classes c left join (select alias, min(canonical) as canonical from class_alias group by 1) a on a.alias = c.name where c.name is not null and c.cls_id is not null), cmap as (select u.dataset, cls_id as old_id, u.canonical, new_id from used u join (select dataset, canonical, (row_number() over (partition by dataset order by canonical) - 1)::int as new_id from (select distinct dataset, canonical from used)) n on n.dataset = u.dataset and n.canonical = u.canonical)"

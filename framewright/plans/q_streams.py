@@ -31,7 +31,7 @@ def windowed_events(s: SparkSession, d: str) -> DataFrame:
 
 
 def label_texts(s: SparkSession, d: str) -> DataFrame:
-    t = sinks.label_texts(V.annotations(s, d).where("kind = 'bbox'"), ["image_id"])
+    t = sinks.label_texts(V.annotations(s, d), ["image_id"])
     return t.select("image_id", F.md5("content").alias("content_md5"))
 
 
@@ -39,5 +39,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLES = {
     "queue_status": "select user_id::varchar as task, case arg_max(event_id, ts) % 3 when 0 then 'waiting' when 1 then 'failed' else 'done' end as status, (arg_max(event_id, ts) % 4 + 1)::int as attempt, round(least(600.0, 30.0 * pow(2, arg_max(event_id, ts) % 4)), 3) as wait_s from events group by user_id",
     "windowed_events": "select event_type, count(distinct date_trunc('day', ts)) as n_windows, count(*) as n_events from events group by 1",
-    "label_texts": V.with_(V.ANN) + "select image_id, md5(string_agg(line, chr(10) order by cls_id, line) || chr(10)) as content_md5 from (select image_id, cls_id, printf('%d %.8f %.8f %.8f %.8f', cls_id, cx, cy, w, h) as line from ann where kind = 'bbox' and cls_id is not null) group by 1",
+    "label_texts": V.with_(V.ANN) + "select image_id, md5(string_agg(line, chr(10) order by cls_id, line) || chr(10)) as content_md5 from (select image_id, cls_id, case when kind = 'bbox' then printf('%d %.8f %.8f %.8f %.8f', cls_id, cx, cy, w, h) else cls_id || ' ' || array_to_string(list_transform(points, lambda p: printf('%.6f %.6f', p.x, p.y)), ' ') end as line from ann where cls_id is not null) group by 1",
 }

@@ -47,12 +47,12 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """Members of zip and tar archives without extraction: archive, member, size. One archive is one task's work."""
+    """Members of zip and tar archives without extraction: archive, member, size; an archive that cannot be read gives one row without member. One archive is one task's work."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
-                rows: list[tuple[str, int]] = []
+                rows: list[tuple[str | None, int | None]] = []
                 try:
                     if zipfile.is_zipfile(io.BytesIO(content)):
                         with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -61,9 +61,9 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
                         with tarfile.open(fileobj=io.BytesIO(content)) as t:
                             rows = [(i.name, i.size) for i in t.getmembers() if i.isfile()]
                 except (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError):
-                    rows = []
+                    rows = [(None, None)]
                 if rows:
-                    yield pd.DataFrame({"archive": p, "member": [r[0] for r in rows], "size": [r[1] for r in rows]})
+                    yield pd.DataFrame({"archive": p, "member": [r[0] for r in rows], "size": pd.array([r[1] for r in rows], "Int64")})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(members, "archive string, member string, size long")

@@ -91,7 +91,9 @@ def test_detections_archives_runs_and_metrics(spark, tmp_path):
     with tarfile.open(r + "/arc/b.tar", "w") as t:
         t.add(r + "/det/a.json", "in/a.json")
     put(r, "arc/broken.zip", "nothing")
-    assert {(x.member, x.size > 0) for x in documents.archive_members(spark, r + "/arc").collect()} == {("images/a.jpg", True), ("in/a.json", True)}
+    got = documents.archive_members(spark, r + "/arc").collect()
+    assert {(x.member, x.size > 0) for x in got if x.member} == {("images/a.jpg", True), ("in/a.json", True)}
+    assert [os.path.basename(x.archive) for x in got if x.member is None] == ["broken.zip"]
     put(r, "runs/m1/training_metadata.json", json.dumps({"training_info": {"model": "m", "epochs": 3}, "status": {"training_ok": True}, "system": {"hostname": "h", "devices": [{"name": "gpu", "memory_gb": 8.0}]}}))
     put(r, "runs/m1/train/results.csv", "epoch, mAP\n1,0.5\n")
     put(r, "runs/m2/test_metrics.csv", "Class, mAP50 ,n\nall,0.7,3\ncat,0.5,x\n")
