@@ -269,7 +269,12 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 
 def trained(labelled: list[tuple[int, int, str]]) -> tuple[Model, float] | None:
     """Model and threshold from (doc_id, label, text); None unless both labels occur."""
-    docs = [(d, y, list(dict.fromkeys(sentences(t)))) for d, y, t in labelled]
+    read: dict[str, list[str]] = {}
+    docs = []
+    for d, y, t in labelled:
+        raws = raw_sentences(t)
+        read.update((raw, pieces(raw)) for raw in raws if raw not in read)
+        docs.append((d, y, list(dict.fromkeys(p for raw in raws for p in read[raw]))))
     docs = [x for x in docs if x[2]]
     if {y for _, y, _ in docs} != {0, 1}:
         return None
@@ -311,7 +316,7 @@ def trained(labelled: list[tuple[int, int, str]]) -> tuple[Model, float] | None:
             held += [(max(value[s] for s in sents), y) for _, y, sents in test]
         if not held:
             break
-        guess = {s: float(np.mean(v)) for s, v in got.items()}
+        guess = {s: sum(v) / len(v) for s, v in got.items()}
         threshold = best_threshold(np.array([v for v, _ in held]), np.array([y for _, y in held]))
         bad = {s: c for s, c in cut.items() if guess[s] > threshold}
         # A clean document's sentence counts as a slip of the review only if it is as toxic as the plainly toxic ones.
