@@ -7,10 +7,11 @@ the reader, since no image library is assumed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,30 +123,118 @@ def place(width: int, height: int, taken: np.ndarray, pw: int, ph: int, most_iou
     return int(x[best]), int(y[best])
 
 
-def placed_patches(frames: DataFrame, boxes: DataFrame, patches: DataFrame, most_iou: float = 0.0, least_distance: float = 0.0) -> DataFrame:
+def places(size: np.ndarray, boxes: np.ndarray, n_boxes: np.ndarray, patches: np.ndarray, n_patches: np.ndarray, most_iou: float = 0.0, least_distance: float = 0.0) -> np.ndarray:
+    """`place` for the patches of many frames at once, a frame's one after another: x and y of each patch, -1 and -1 where it finds no place.
+
+    size has width and height of each frame, boxes x1 y1 x2 y2 and patches width and height, frame by frame; n_boxes and n_patches are
+    the numbers of a frame's. All frames' first patches are placed together, then all second ones; frames whose grids are about as
+    wide share one array, and are sorted by their boxes so that the k-th boxes of all are one slice of it.
+    """
+    held, at = n_boxes.copy(), np.full((len(patches), 2), -1, np.int64)  # a frame's room: its boxes, then its patches as they find a place
+    room = np.concatenate([[0], np.cumsum(n_boxes + n_patches)])[:-1]
+    first = np.cumsum(n_patches) - n_patches
+    taken = np.zeros((len(boxes) + len(patches), 4))
+    taken[np.arange(len(boxes)) + np.repeat(room - (np.cumsum(n_boxes) - n_boxes), n_boxes)] = boxes
+    for turn in range(int(n_patches.max(initial=0))):
+        f = np.flatnonzero(n_patches > turn)
+        f = f[(patches[first[f] + turn] <= size[f]).all(axis=1)]  # NaN fits nowhere
+        pw, ph = patches[first[f] + turn].astype(np.int64).T
+        at[first[f] + turn] = 0  # where nothing is taken yet; the others follow
+        cell = np.maximum(8, (np.maximum(pw, ph) * 0.8).astype(np.int64))
+        nx, ny = (size[f, 0].astype(np.int64) - pw) // cell + 1, (size[f, 1].astype(np.int64) - ph) // cell + 1
+        wide = np.where(nx > 16, -(-nx // 8) * 8, -(-nx // 2) * 2)
+        rest = np.flatnonzero(held[f] > 0)
+        rest = rest[np.lexsort([-held[f[rest]], wide[rest]])]
+        load = np.cumsum(wide[rest] * ny[rest]) // 1_000_000  # frames whose arrays are in memory at a time
+        cuts = np.flatnonzero((np.diff(wide[rest]) != 0) | (np.diff(load) != 0)) + 1
+        for p in np.split(rest, cuts) if len(rest) else ():
+            at[first[f[p]] + turn] = _places(cell[p], nx[p], ny[p], pw[p], ph[p], int(wide[p[0]]), taken, room[f[p]], held[f[p]], most_iou, least_distance)
+        found = np.flatnonzero(at[first[f] + turn, 0] >= 0)
+        xy = at[first[f[found]] + turn]
+        taken[room[f[found]] + held[f[found]]] = np.column_stack([xy, xy[:, 0] + pw[found], xy[:, 1] + ph[found]])
+        held[f[found]] += 1
+    return at
+
+
+def _places(cell: np.ndarray, nx: np.ndarray, ny: np.ndarray, pw: np.ndarray, ph: np.ndarray, wide: int, taken: np.ndarray, room: np.ndarray, held: np.ndarray, most_iou: float, least_distance: float) -> np.ndarray:
+    """x and y of one patch in each of some frames with falling numbers of boxes held: a row of the arrays is a row of a frame's grid."""
+    start, fr = np.cumsum(ny) - ny, np.repeat(np.arange(len(ny)), ny)
+    x, y = np.arange(wide) * cell[:, None], (np.arange(len(fr)) - start[fr]) * cell[fr]
+    xc, yc = (x + (x + pw[:, None])) / 2, (y + (y + ph[fr])) / 2
+    far, clear = np.full((len(fr), wide), np.inf), (np.arange(wide) < nx[:, None])[fr] & (most_iou >= 0)
+    for k in range(int(held[0])):
+        m = int(np.searchsorted(-held, -k))  # frames that hold more than k
+        r = slice(0, int(start[m - 1] + ny[m - 1]))
+        of = fr[r]
+        x1, y1, x2, y2 = taken[room[:m] + k].T
+        dx, dy = (xc[:m] - ((x1 + x2) / 2)[:, None]) ** 2, (yc[r] - ((y1 + y2) / 2)[of]) ** 2
+        d = dx[of]
+        d += dy[:, None]
+        np.minimum(far[r], d, out=far[r])
+        w = np.minimum(x[:m] + pw[:m, None], x2[:, None]) - np.maximum(x[:m], x1[:, None])
+        h = np.minimum(y[r] + ph[of], y2[of]) - np.maximum(y[r], y1[of])
+        low = np.flatnonzero(h > 0)
+        i, j = np.nonzero((w > 0)[of[low]])
+        i = low[i]
+        o = of[i]
+        inter = w[o, j] * h[i]
+        clear[i, j] &= inter / np.maximum((pw * ph)[o] + ((x2 - x1) * (y2 - y1))[o] - inter, 1e-12) <= most_iou
+    far = np.sqrt(far)
+    far[~(clear & (far >= least_distance))] = -1
+    best = far.argmax(axis=1)  # the first of equals, so the lowest x; below, the lowest y
+    far = far[np.arange(len(fr)), best]
+    most = np.maximum.reduceat(far, start)
+    some = np.flatnonzero((far == most[fr]) & (far >= 0))
+    some = some[np.unique(fr[some], return_index=True)[1]]
+    out = np.full((len(ny), 2), -1, np.int64)
+    out[fr[some]] = np.column_stack([x[fr[some], best[some]], y[some]])
+    return out
+
+
+def placed_patches(frames: DataFrame, boxes: DataFrame, patches: DataFrame, most_iou: float = 0.0, least_distance: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
     """image_id, patch_no, x, y of the patches (image_id, patch_no, pw, ph) that find a place, one after another: each counts as taken for the next.
 
-    The three tables meet by union and one grouping by frame; a frame's boxes and patches are few. Frames without size and patches
-    of frames that are not there are left out; of repeated rows of a patch the first by size counts.
+    The result also has the columns of patches named in keep. Each table is grouped by frame before they meet, and frames are placed
+    many at a time; a frame's boxes and patches are few. Frames without size and patches of frames that are not there are left out;
+    of repeated rows of a frame or a patch the first by size counts.
     """
-    null = F.lit(None).cast("double")
-    number = lambda *c: [F.col(x).cast("double").alias(n) for x, n in zip(c, "abcd", strict=False)]
-    rows = frames.where("width > 0 and height > 0").select("image_id", F.lit(0).alias("kind"), null.alias("n"), *number("width", "height"), null.alias("c"), null.alias("d")).distinct()
-    rows = rows.unionByName(boxes.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select("image_id", F.lit(1).alias("kind"), null.alias("n"), *number("x1", "y1", "x2", "y2")))
-    rows = rows.unionByName(patches.where("pw > 0 and ph > 0 and patch_no is not null").select("image_id", F.lit(2).alias("kind"), F.col("patch_no").cast("double").alias("n"), *number("pw", "ph"), null.alias("c"), null.alias("d")))
-
-    def plan(b: pd.DataFrame) -> pd.DataFrame:
-        frame, out = b[b["kind"] == 0], []
-        taken = b.loc[b["kind"] == 1, ["a", "b", "c", "d"]].to_numpy(float)
-        wanted = b[b["kind"] == 2].sort_values(["n", "a", "b"]).drop_duplicates("n")
-        for r in wanted.itertuples() if len(frame) else ():
-            pw, ph = int(round(r.a)), int(round(r.b))
-            if (at := place(int(frame["a"].iloc[0]), int(frame["b"].iloc[0]), taken, pw, ph, most_iou, least_distance)) is not None:
-                taken = np.vstack([taken, [at[0], at[1], at[0] + pw, at[1] + ph]])
-                out.append((b["image_id"].iloc[0], int(r.n), *at))
-        return pd.DataFrame(out, columns=["image_id", "patch_no", "x", "y"])
-
-    return rows.where("image_id is not null").groupBy("image_id").applyInPandas(plan, "image_id string, patch_no int, x int, y int")
+    number = lambda *c: [F.col(x).cast("double").alias(x) for x in c]
+    gathered = lambda df, *c: df.where("image_id is not null").groupBy("image_id").agg(F.collect_list(F.struct(*c)).alias("r"))
+    f = frames.where("width > 0 and height > 0 and image_id is not null").groupBy("image_id").agg(F.min(F.struct(*number("width", "height"))).alias("f"))
+    b = gathered(boxes.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null"), *number("x1", "y1", "x2", "y2")).withColumnRenamed("r", "b")
+    p = gathered(patches.where("pw > 0 and ph > 0 and patch_no is not null"), *number("patch_no", "pw", "ph"), *keep).select("image_id", F.sort_array("r").alias("p"))
+    rows = f.join(p, "image_id").join(b, "image_id", "left").select(F.col("image_id").cast("string").alias("image_id"), "f", F.coalesce("b", F.array().cast(b.schema["b"].dataType)).alias("b"), "p")
+
+    def numbers(structs: pa.StructArray, *names: str) -> np.ndarray:
+        return np.column_stack([structs.field(n).to_numpy(zero_copy_only=False) for n in names]).astype(float)
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _together(batches, 10_000_000):
+            size, (b, p) = np.trunc(numbers(t["f"], "width", "height")), (t[c].flatten() for c in "bp")
+            n_b, n_p = (np.diff(t[c].offsets.to_numpy()).astype(np.int64) for c in "bp")
+            of, n = np.repeat(np.arange(len(size)), n_p), numbers(p, "patch_no")[:, 0]
+            once = np.ones(len(n), bool)
+            once[1:] = (of[1:] != of[:-1]) | (n[1:] != n[:-1])
+            once = np.flatnonzero(once)
+            at = places(size, numbers(b, "x1", "y1", "x2", "y2"), n_b, np.rint(numbers(p, "pw", "ph")[once]), np.bincount(of[once], minlength=len(size)), most_iou, least_distance)
+            found = np.flatnonzero(at[:, 0] >= 0)
+            at, once = at[found], once[found]
+            kept = p.take(pa.array(once))
+            yield pa.RecordBatch.from_arrays([t["image_id"].take(pa.array(of[once])), pa.array(n[once].astype(np.int32)), *(pa.array(c.astype(np.int32)) for c in at.T), *(kept.field(c) for c in keep)], names=["image_id", "patch_no", "x", "y", *keep])
+
+    return rows.mapInArrow(plan, ", ".join(["image_id string, patch_no int, x int, y int", *(f"`{c}` {patches.schema[c].dataType.simpleString()}" for c in keep)]))
+
+
+def _together(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches, some put together to about so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def feathered(image: np.ndarray, patch: np.ndarray, x: int, y: int, margin: int) -> np.ndarray:

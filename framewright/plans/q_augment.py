@@ -36,13 +36,14 @@ def paste_positions(s: SparkSession, d: str) -> DataFrame:
 
 def paste_plan(s: SparkSession, d: str) -> DataFrame:
     """Each train frame takes the next two donors in order of use; where they fit, one after the other, is where they are pasted."""
-    g = V.geometries(s, d).where("split = 'train'")
-    donors = numbered(A.donor_turns(A.donor_pool(g, 100)).select("turn", "cls_id", "image_id", "line_no", "w_px", "h_px"), [], ["turn", "cls_id", "image_id", "line_no"])
+    g = V.geometries(s, d, "cls_id").where("split = 'train'")
+    pool = A.donor_pool(g.select("image_id", "line_no", "cls_id", "w_px", "h_px"), 100)
+    donors = numbered(A.donor_turns(pool).select("turn", "cls_id", "image_id", "line_no", "w_px", "h_px"), [], ["turn", "cls_id", "image_id", "line_no"])
     donors = donors.select(F.col("image_id").alias("donor_image"), F.col("line_no").alias("donor_line"), F.expr("pos div 2").alias("frame_no"), (F.col("pos") % 2).cast("int").alias("patch_no"), F.ceil("w_px").cast("int").alias("pw"), F.ceil("h_px").cast("int").alias("ph"))
     f = V.frames(s, d, "split", "width", "height").where("split = 'train'").select("image_id", "width", "height")
     patches = numbered(f.select("image_id"), [], ["image_id"]).withColumnRenamed("pos", "frame_no").join(donors, "frame_no")
     boxes = g.select("image_id", *[(F.col(c) * F.col(k)).alias(c) for c, k in (("x1", "width"), ("y1", "height"), ("x2", "width"), ("y2", "height"))])
-    return A.placed_patches(f, boxes, patches).join(patches.select("image_id", "patch_no", "donor_image", "donor_line"), ["image_id", "patch_no"])
+    return A.placed_patches(f, boxes, patches, keep=["donor_image", "donor_line"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (flip_plan, augmented_boxes, donor_turns, paste_positions, paste_plan)}

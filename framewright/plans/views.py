@@ -25,12 +25,21 @@ def annotations(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return a.groupBy("image_id", "line_no").agg(F.max_by(F.struct(*rest), "loaded_at").alias("r")).select("image_id", "line_no", "r.*").withColumn("split", canonical_split(F.col("split")))
 
 
-def geometries(spark: SparkSession, d: str) -> DataFrame:
-    """Label lines with the frame's size and their envelope x1 y1 x2 y2 bw bh (0 to 1) and w_px h_px."""
+def geometries(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Label lines with the frame's size and their envelope x1 y1 x2 y2 bw bh (0 to 1) and w_px h_px.
+
+    With columns named, only these of dataset, kind and cls_id are read and moved, and lines move once, by frame: a grouping or join by
+    image_id after it moves nothing.
+    """
     # The envelope is taken before lines are aggregated and joined: eight numbers move instead of the polygons.
-    a = table(spark, d, "annotations").withColumn("width", F.lit(1.0)).withColumn("height", F.lit(1.0))
+    a = envelope(table(spark, d, "annotations").withColumn("width", F.lit(1.0)).withColumn("height", F.lit(1.0)))
     rest = ["dataset", "split", "kind", "cls_id", "x1", "y1", "x2", "y2", "bw", "bh"]
-    once = envelope(a).groupBy("image_id", "line_no").agg(F.max_by(F.struct(*rest), "loaded_at").alias("r")).select("image_id", "line_no", "r.*").withColumn("split", canonical_split(F.col("split")))
+    if columns:
+        rest = list(dict.fromkeys(["split", *columns, "x1", "y1", "x2", "y2"]))
+        a = a.select("image_id", "line_no", "loaded_at", *rest).repartition("image_id")
+    once = a.groupBy("image_id", "line_no").agg(F.max_by(F.struct(*rest), "loaded_at").alias("r")).select("image_id", "line_no", "r.*").withColumn("split", canonical_split(F.col("split")))
+    if columns:
+        once = once.withColumns({"bw": F.col("x2") - F.col("x1"), "bh": F.col("y2") - F.col("y1")})
     g = once.join(frames(spark, d, "width", "height").select("image_id", "width", "height"), "image_id")
     return g.withColumns({"w_px": F.col("bw") * F.col("width"), "h_px": F.col("bh") * F.col("height")})
 

@@ -67,6 +67,46 @@ def test_patches_find_places_one_after_another(spark):
     assert A.placed_patches(frames.limit(0), boxes, patches).count() == 0
 
 
+def test_places_of_many_frames_are_those_of_each_frame():
+    rng = np.random.default_rng(7)
+    for most_iou, least_distance in ((0.0, 0.0), (0.2, 60.0)):
+        n, size = 120, rng.integers(1, 900, (120, 2))
+        n_boxes, n_patches = rng.integers(0, 9, n), rng.integers(0, 4, n)
+        centre, half = rng.integers(0, 900, (n_boxes.sum(), 2)), rng.integers(-3, 200, (n_boxes.sum(), 2)) * 0.37
+        boxes, patches = np.hstack([centre - half, centre + half]), rng.integers(0, 250, (n_patches.sum(), 2))
+        boxes[0, 1] = np.nan
+        want, j = [], 0
+        for i, taken in enumerate(np.split(boxes, np.cumsum(n_boxes)[:-1])):
+            for pw, ph in patches[j : j + n_patches[i]].tolist():
+                at = A.place(int(size[i, 0]), int(size[i, 1]), taken, pw, ph, most_iou, least_distance)
+                taken = taken if at is None else np.vstack([taken, [at[0], at[1], at[0] + pw, at[1] + ph]])
+                want.append(at or (-1, -1))
+            j += n_patches[i]
+        got = A.places(size.astype(float), boxes, n_boxes, patches.astype(float), n_patches, most_iou, least_distance)
+        assert got.tolist() == [list(w) for w in want] and (got >= 0).any() and (got < 0).any()
+
+
+def test_paste_plan_calls_python_by_batches(spark, sf):
+    import __spark_entry__
+    from framewright.plans import views as V
+
+    plan = __spark_entry__.queries()["paste_plan"](spark, sf)
+    physical = plan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in physical and "FlatMapGroups" not in physical  # no call of its own for each frame
+    rows = plan.collect()
+    assert rows and len({(r.donor_image, r.donor_line) for r in rows}) == len({(r.image_id, r.patch_no) for r in rows}) == len(rows)
+    named, whole = V.geometries(spark, sf, "cls_id"), V.geometries(spark, sf)
+    assert named.count() == whole.count() and named.exceptAll(whole.select(named.columns)).count() == 0
+
+
+def test_patches_keep_named_columns(spark):
+    frames = spark.createDataFrame([("i", 400, 300), ("i", 300, 300), (None, 9, 9)], "image_id string, width int, height int")
+    boxes = spark.createDataFrame([], "image_id string, x1 double, y1 double, x2 double, y2 double")
+    patches = spark.createDataFrame([("i", 0, 100, 80.0, "b", 1), ("i", 0, 90, 80.0, "a", 2), ("i", 1, 301, 80.0, "c", 3), ("i", 2, 50, float("nan"), "d", 4), ("i", 3, 50, 50.0, None, None)], "image_id string, patch_no int, pw int, ph double, donor string, line int")
+    got = {r.patch_no: (r.x, r.y, r.donor, r.line) for r in A.placed_patches(frames, boxes, patches, keep=["donor", "line"]).collect()}
+    assert set(got) == {0, 3} and got[0] == (0, 0, "a", 2) and got[3][2:] == (None, None)  # of two sizes of a frame or patch the first, by size
+
+
 def test_feathered_paste():
     rng = np.random.default_rng(3)
     image, patch = rng.integers(0, 255, (60, 80, 3), dtype=np.uint8), rng.integers(0, 255, (20, 30, 3), dtype=np.uint8)
